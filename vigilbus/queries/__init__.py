@@ -7,7 +7,7 @@ from importlib import import_module
 from vigilbus.queries.registry import REGISTRY
 
 _FAMILIES = ["scans", "signals", "packets", "frames", "rules", "windows", "evaluation",
-             "injection", "federated", "privacy", "telemetry", "models", "declared"]
+             "injection", "federated", "privacy", "streams", "models", "declared"]
 
 
 def load_all() -> dict:
