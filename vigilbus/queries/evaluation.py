@@ -212,11 +212,11 @@ def bootstrap_interval(spark, sf):
 
 
 @query("e31_loss_proxy", with_sql(NUMBERED_SQL, """
-w AS (SELECT a.vehicle_id, a.rn, avg(b.brake) AS score FROM num a JOIN num b
+w AS (SELECT a.vehicle_id, a.rn, sqrt(avg(b.brake)) AS score FROM num a JOIN num b
   ON a.vehicle_id = b.vehicle_id AND b.rn BETWEEN a.rn AND a.rn + 19 WHERE a.rn + 19 <= a.n GROUP BY 1, 2)""", """
 SELECT vehicle_id, CASE WHEN count(*) >= 10 THEN round(avg(score), 6) END AS loss FROM w WHERE rn <= 100 GROUP BY vehicle_id"""))
 def loss_proxy(spark, sf):
     w = windows.sliding(views.telemetry(spark, sf), ["brake"])
-    score = F.aggregate(F.flatten("w"), F.lit(0.0), lambda s, x: s + x) / 20
+    score = F.sqrt(F.aggregate(F.flatten("w"), F.lit(0.0), lambda s, x: s + x) / 20)
     rows = w.select("vehicle_id", "start_us", "start_seq", score.alias("score"))
     return r6(evaluate.loss_proxy(rows, "vehicle_id", ["start_us", "start_seq"]), "loss")

@@ -10,9 +10,13 @@ from vigilbus.schema import CAN_FRAMES
 
 
 def files(spark: SparkSession, folder: str, schema: T.StructType, fmt: str = "parquet",
-          glob: str | None = None, files_per_trigger: int | None = None) -> DataFrame:
-    """New files of a folder; ``files_per_trigger`` bounds the size of one micro-batch."""
+          glob: str | None = None, files_per_trigger: int | None = None,
+          bytes_per_trigger: int = 4 << 30) -> DataFrame:
+    """New files of a folder. The two limits bound one micro-batch, and with it the rows of one
+    key that a stateful operator sorts at a time; the file limit wins where both are given."""
     reader = spark.readStream.format(fmt).schema(schema)
+    if not files_per_trigger:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_trigger)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     if files_per_trigger:
