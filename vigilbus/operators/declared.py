@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vigilbus.functions import noise
 from vigilbus.operators.state import ORDER
-from vigilbus.plans.series import rolling, running
+from vigilbus.plans.series import rolling, running, settle
 from vigilbus.plans.stats import percentiles
 
 SERIES = ["vehicle_id", "signal"]
@@ -18,7 +18,7 @@ SERIES = ["vehicle_id", "signal"]
 # Detectors, one per attack type -------------------------------------------------------------
 
 def repeated_sequences(signals: DataFrame, length: int = 5, keys: Sequence[str] = SERIES,
-                       target_rows: int | None = None) -> DataFrame:
+                       target_rows: float | None = None) -> DataFrame:
     """Replay: runs of ``length`` values that occur more than once in a series."""
     def build(w, index):
         run = F.collect_list("value").over(w.rowsBetween(-(length - 1), 0))
@@ -32,7 +32,7 @@ def repeated_sequences(signals: DataFrame, length: int = 5, keys: Sequence[str]
 
 
 def deviation(signals: DataFrame, width: int = 10, limit: float = 3.0,
-              keys: Sequence[str] = SERIES, target_rows: int | None = None) -> DataFrame:
+              keys: Sequence[str] = SERIES, target_rows: float | None = None) -> DataFrame:
     """Spoofing: distance from the mean of the previous ``width`` values in deviations."""
     def build(w, index):
         before = w.rowsBetween(-width, -1)
@@ -45,7 +45,7 @@ def deviation(signals: DataFrame, width: int = 10, limit: float = 3.0,
 
 
 def missing_messages(signals: DataFrame, factor: float = 3.0, keys: Sequence[str] = SERIES,
-                     target_rows: int | None = None) -> DataFrame:
+                     target_rows: float | None = None) -> DataFrame:
     """Suspension: gaps longer than ``factor`` times the median gap of the series."""
     gaps = rolling(
         signals, keys, ORDER, 1,
@@ -56,7 +56,7 @@ def missing_messages(signals: DataFrame, factor: float = 3.0, keys: Sequence[str
 
 
 def trend(signals: DataFrame, width: int = 10, keys: Sequence[str] = SERIES,
-          target_rows: int | None = None) -> DataFrame:
+          target_rows: float | None = None) -> DataFrame:
     """Gradual drift: least-squares slope of the last ``width`` values per row step."""
     def build(w, index):
         frame = w.rowsBetween(-(width - 1), 0)
@@ -73,8 +73,9 @@ def trend(signals: DataFrame, width: int = 10, keys: Sequence[str] = SERIES,
 
 
 def bursts(rated: DataFrame, keys: Sequence[str], flag: str = "is_suspicious",
-           target_rows: int | None = None) -> DataFrame:
+           target_rows: float | None = None) -> DataFrame:
     """Runs of consecutive flagged rows."""
+    target_rows = settle(rated, keys, target_rows)
     rows = rolling(rated, keys, ORDER, 1, lambda w, i: {"_start": (
         F.col(flag) & ~F.coalesce(F.lag(flag).over(w), F.lit(False))).cast("int")}, target_rows)
     rows = running(rows, keys, ORDER, {"burst": ("sum", F.col("_start"))}, target_rows)
@@ -105,7 +106,7 @@ def _copies(rows: DataFrame, copies: int, gap_us: int, kind: str) -> DataFrame:
 
 
 def generate(signals: DataFrame, kind: str, signal: str = "speed_kmh", copies: int = 10,
-             ratio: float = RATIO, seed: int = 21, target_rows: int | None = None) -> DataFrame:
+             ratio: float = RATIO, seed: int = 21, target_rows: float | None = None) -> DataFrame:
     """Signals with one declared attack; ``attack`` is null for untouched rows."""
     plain = signals.withColumn("attack", F.lit(None).cast("string"))
     hit = _chosen(ratio, f"{seed}{kind}")
@@ -144,7 +145,7 @@ def generate(signals: DataFrame, kind: str, signal: str = "speed_kmh", copies: i
 # Policies -----------------------------------------------------------------------------------
 
 def fill_missing(df: DataFrame, column: str, policy: str = "interpolate", key: str = "vehicle_id",
-                 target_rows: int | None = None) -> DataFrame:
+                 target_rows: float | None = None) -> DataFrame:
     """Nulls of a column by linear interpolation in time, zero, or dropping the row.
 
     Before the first and after the last known value the nearest one is used.
@@ -153,6 +154,7 @@ def fill_missing(df: DataFrame, column: str, policy: str = "interpolate", key: s
         return df.fillna({column: 0.0})
     if policy == "drop":
         return df.where(F.col(column).isNotNull())
+    target_rows = settle(df, [key], target_rows)
     us = F.unix_micros("ts")
     point = F.when(F.col(column).isNotNull(), F.struct(us.alias("t"), F.col(column).alias("v")))
     rows = running(df, [key], ORDER, {"_a": ("last", point)}, target_rows)

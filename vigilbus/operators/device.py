@@ -10,7 +10,7 @@ from vigilbus.plans.series import rolling
 
 
 def cpu_usage(df: DataFrame, idle: str = "idle", total: str = "total", key: str = "vehicle_id",
-              target_rows: int | None = None) -> DataFrame:
+              target_rows: float | None = None) -> DataFrame:
     """CPU percent from cumulative counters; 0 for the first sample and for a zero interval."""
     def build(w, index):
         d_idle = F.col(idle) - F.lag(idle).over(w)

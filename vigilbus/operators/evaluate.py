@@ -17,14 +17,14 @@ PERCENTILE, SAFETY, MIN_ERRORS = 0.99, 1.5, 20
 
 def calibrate(scores: DataFrame, score: str = "score", by: Sequence[str] = (),
               fraction: float = PERCENTILE, factor: float = SAFETY, min_rows: int = MIN_ERRORS,
-              target_rows: int | None = None) -> DataFrame:
+              target_rows: float | None = None) -> DataFrame:
     """``threshold`` = percentile * factor; null with ``min_rows`` scores or fewer."""
     p = percentiles(scores, score, {"p": fraction}, by, target_rows)
     return p.withColumn("threshold", F.when(F.col("n") > min_rows, F.col("p") * factor)).drop("p")
 
 
 def distribution(scores: DataFrame, score: str = "score", by: Sequence[str] = (),
-                 target_rows: int | None = None) -> DataFrame:
+                 target_rows: float | None = None) -> DataFrame:
     """n, mean, p50, p95, p99 and max of the scores."""
     p = percentiles(scores, score, {"p50": 0.5, "p95": 0.95, "p99": 0.99}, by, target_rows)
     rows = scores.where(F.col(score).isNotNull())
@@ -58,7 +58,7 @@ def confusion(scores: DataFrame, threshold: Column, score: str = "score", label:
 
 
 def auroc_by_family(scores: DataFrame, kind: str = "kind", score: str = "score",
-                    label: str = "label", target_rows: int | None = None) -> DataFrame:
+                    label: str = "label", target_rows: float | None = None) -> DataFrame:
     """AUROC of each family's positives against all benign rows, ties counted half."""
     benign = F.col(label) == 0
     counts = scores.groupBy(score).agg(F.count_if(benign).alias("_no"))
@@ -83,7 +83,7 @@ def sweep_fractions(low: float = 50.0, high: float = 99.9, points: int = 200) ->
 
 def threshold_sweep(scores: DataFrame, score: str = "score", label: str = "label",
                     fractions: Sequence[float] | None = None,
-                    target_rows: int | None = None) -> DataFrame:
+                    target_rows: float | None = None) -> DataFrame:
     """Confusion and F1 at each distinct candidate threshold.
 
     Scores are counted per distinct value, each value gets the number of candidates below it,
@@ -149,7 +149,7 @@ def mean_square(w: Column) -> Column:
 
 def loss_proxy(scores: DataFrame, key: str, order: Sequence[str], first: int = 100,
                at_least: int = 10, score: str = "score",
-               target_rows: int | None = None) -> DataFrame:
+               target_rows: float | None = None) -> DataFrame:
     """Mean score of the first windows of each key; null if there are too few."""
     rows = positions(scores, [key], order, "_p", target_rows).where(F.col("_p") <= first)
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.avg(score).alias("_m")).select(
@@ -195,7 +195,7 @@ def tolerance_curve(elements: DataFrame, high: float = 0.2, points: int = 41) ->
 
 def bootstrap_mean(values: DataFrame, value: str, order: Sequence[str], n_boot: int = 10_000,
                    alpha: float = 0.05, seed: int = 0,
-                   target_rows: int | None = None) -> DataFrame:
+                   target_rows: float | None = None) -> DataFrame:
     """Mean and percentile interval of the mean over resamples with replacement.
 
     Row i supplies draw i of every resample: it expands to one row per resample holding a

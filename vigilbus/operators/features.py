@@ -16,7 +16,7 @@ SECOND_US = 1_000_000
 
 def message_rate(frames: DataFrame, keys: Sequence[str], span_us: int = SECOND_US,
                  suspicious: int = 20, attack: int = 50,
-                 target_rows: int | None = None) -> DataFrame:
+                 target_rows: float | None = None) -> DataFrame:
     """Messages of the key in the trailing span, with the two alert levels."""
     counted = trailing_count(frames, keys, "ts", span_us, "rate", target_rows)
     return counted.withColumns({
@@ -37,7 +37,7 @@ def rate_alerts(rated: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def alert_hold(rated: DataFrame, keys: Sequence[str], hold_us: int = 3 * SECOND_US,
-               flag: str = "is_attack", target_rows: int | None = None) -> DataFrame:
+               flag: str = "is_attack", target_rows: float | None = None) -> DataFrame:
     """Alert light: on while the last flagged row of the key is at most ``hold_us`` old."""
     us = F.unix_micros("ts")
     rows = running(rated, keys, ORDER, {"_last": ("last", F.when(F.col(flag), us))}, target_rows)
@@ -47,7 +47,7 @@ def alert_hold(rated: DataFrame, keys: Sequence[str], hold_us: int = 3 * SECOND_
 
 
 def deltas(df: DataFrame, columns: Sequence[str], key: str = "vehicle_id",
-           target_rows: int | None = None) -> DataFrame:
+           target_rows: float | None = None) -> DataFrame:
     """``<c>_delta``: change from the previous row, missing values as 0, first row 0."""
     def build(w, index):
         return {
@@ -62,7 +62,7 @@ def deltas(df: DataFrame, columns: Sequence[str], key: str = "vehicle_id",
 
 
 def signal_statistics(df: DataFrame, columns: Sequence[str], width: int,
-                      key: str = "vehicle_id", target_rows: int | None = None) -> DataFrame:
+                      key: str = "vehicle_id", target_rows: float | None = None) -> DataFrame:
     """Value, delta, rolling mean and rolling population deviation over the last ``width`` rows."""
     def build(w, index):
         frame = w.rowsBetween(-(width - 1), 0)
@@ -77,7 +77,7 @@ def signal_statistics(df: DataFrame, columns: Sequence[str], width: int,
 
 
 def row_rate(df: DataFrame, rows: int = 100, key: str = "vehicle_id",
-             target_rows: int | None = None) -> DataFrame:
+             target_rows: float | None = None) -> DataFrame:
     """``message_frequency``: rows per second over the last ``rows`` rows; 1.0 for the first."""
     us = F.unix_micros("ts")
 
@@ -92,7 +92,7 @@ def row_rate(df: DataFrame, rows: int = 100, key: str = "vehicle_id",
 
 
 def inter_arrival(df: DataFrame, default_s: float = 0.1, key: str = "vehicle_id",
-                  target_rows: int | None = None) -> DataFrame:
+                  target_rows: float | None = None) -> DataFrame:
     us = F.unix_micros("ts")
     return rolling(
         df, [key], ORDER, 1,
@@ -103,7 +103,7 @@ def inter_arrival(df: DataFrame, default_s: float = 0.1, key: str = "vehicle_id"
 
 
 def dispersion(df: DataFrame, column: str = "speed_kmh", rows: int = 10, key: str = "vehicle_id",
-               target_rows: int | None = None) -> DataFrame:
+               target_rows: float | None = None) -> DataFrame:
     """``payload_entropy``: capped deviation/mean ratio of the last ``rows`` values, 0 before."""
     def build(w, index):
         frame = w.rowsBetween(-(rows - 1), 0)
@@ -120,7 +120,7 @@ def throttle_brake(throttle: Column, brake: Column) -> Column:
 
 
 def edge_features(state: DataFrame, key: str = "vehicle_id",
-                  target_rows: int | None = None) -> DataFrame:
+                  target_rows: float | None = None) -> DataFrame:
     """All derived features in one pass over one ordering, then the 25-wide vector.
 
     Columns the input lacks enter the vector as 0.
@@ -181,7 +181,7 @@ def newest_rows(df: DataFrame, keep: int, keys: Sequence[str] = ("vehicle_id",),
 
 
 def changed_rows(df: DataFrame, columns: Sequence[str], key: str = "vehicle_id",
-                 target_rows: int | None = None) -> DataFrame:
+                 target_rows: float | None = None) -> DataFrame:
     """Rows where any column differs from the row before; the first row of a key counts.
 
     Rows that are left out equal the last one kept, so comparing neighbours is enough.
@@ -194,7 +194,7 @@ def changed_rows(df: DataFrame, columns: Sequence[str], key: str = "vehicle_id",
 
 
 def charge_estimate(df: DataFrame, start: float = 100.0, rate: float = 0.1,
-                    key: str = "vehicle_id", target_rows: int | None = None) -> DataFrame:
+                    key: str = "vehicle_id", target_rows: float | None = None) -> DataFrame:
     """Charge left after using ``throttle * rate`` per row, never below 0 (throttle >= 0)."""
     rows = running(df, [key], ORDER, {"_used": ("sum", F.col("throttle") * rate)}, target_rows)
     return rows.withColumn(

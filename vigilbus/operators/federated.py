@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilbus.plans.series import positions, rolling, running
+from vigilbus.plans.series import positions, rolling, running, settle
 from vigilbus.schema import weight_shapes
 
 DIVERGENCE_LIMIT, LOSS_LIMIT, STABLE_DIVERGENCE = 0.10, 0.30, 0.01
@@ -108,12 +108,13 @@ def difference(trained: DataFrame, initial: DataFrame, keys: Sequence[str]) -> D
 
 
 def rollback(cycles: DataFrame, client: str = "client_id", order: Sequence[str] = ("cycle",),
-             patience: int = PATIENCE, target_rows: int | None = None) -> DataFrame:
+             patience: int = PATIENCE, target_rows: float | None = None) -> DataFrame:
     """Best loss so far, length of the current worse streak and rollbacks.
 
     A rollback resets the counter but not the best loss, so it recurs every ``patience`` rows.
     """
     order = list(order)
+    target_rows = settle(cycles, [client], target_rows)
     rows = positions(cycles, [client], order, "_i", target_rows)
     rows = running(rows, [client], order, {"best_loss": ("min", F.col("loss"))}, target_rows)
     rows = rolling(rows, [client], order, 1, lambda w, i: {
@@ -128,7 +129,7 @@ def rollback(cycles: DataFrame, client: str = "client_id", order: Sequence[str]
 
 
 def improving(cycles: DataFrame, client: str = "client_id", order: Sequence[str] = ("cycle",),
-              target_rows: int | None = None) -> DataFrame:
+              target_rows: float | None = None) -> DataFrame:
     """Loss no higher than two cycles earlier; true for the first two."""
     return rolling(cycles, [client], list(order), 2, lambda w, i: {
         "improving": F.coalesce(F.col("loss") <= F.lag("loss", 2).over(w), F.lit(True))},
@@ -137,7 +138,7 @@ def improving(cycles: DataFrame, client: str = "client_id", order: Sequence[str]
 
 def phases(rounds: DataFrame, order: str = "round", loss: str = "avg_loss",
            keys: Sequence[str] = (), early_rounds: int = EARLY_ROUNDS,
-           improvement: float = IMPROVEMENT, target_rows: int | None = None) -> DataFrame:
+           improvement: float = IMPROVEMENT, target_rows: float | None = None) -> DataFrame:
     """Early until the first small positive improvement from round ``early_rounds`` on, then late."""
     def build(w, index):
         before = F.lag(loss).over(w)
@@ -145,6 +146,7 @@ def phases(rounds: DataFrame, order: str = "round", loss: str = "avg_loss",
         small = (index >= early_rounds) & (gain > 0) & (gain < improvement)
         return {"_gain": gain, "_small": F.coalesce(small, F.lit(False)).cast("int")}
 
+    target_rows = settle(rounds, keys, target_rows)
     rows = rolling(rounds, list(keys), [order], 1, build, target_rows)
     rows = running(rows, list(keys), [order], {"_late": ("max", F.col("_small"))}, target_rows)
     late = F.col("_late") == 1

@@ -77,7 +77,7 @@ def frames_per_second(frames: DataFrame, seconds: int = 30) -> DataFrame:
 
 
 def modified_replay(frames: DataFrame, dim: DataFrame,
-                    target_rows: int | None = None) -> DataFrame:
+                    target_rows: float | None = None) -> DataFrame:
     """Replay of a capture with values alternately doubled and halved, gear moved by one within
     -1..6, unknown IDs scaled byte by byte, and every non-empty payload marked.
 

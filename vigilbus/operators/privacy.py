@@ -108,7 +108,7 @@ def event_epsilon(multiplier: Column, rate: Column, steps: Column, delta: float
 
 def ledger(events: DataFrame, budget: float, client: str = "client_id",
            order: Sequence[str] = ("step",), delta: float = 1e-5, composed: bool = False,
-           target_rows: int | None = None) -> DataFrame:
+           target_rows: float | None = None) -> DataFrame:
     """Cost per event, running total, budget left and whether it is used up, per client.
 
     By default every event adds the log(1/delta) term; ``composed`` adds it once per client.

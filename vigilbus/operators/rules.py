@@ -43,7 +43,7 @@ def both_pedals(scale: float = 1.0) -> Column:
 
 
 def rapid_change(df: DataFrame, key: str = "vehicle_id",
-                 target_rows: int | None = None) -> DataFrame:
+                 target_rows: float | None = None) -> DataFrame:
     """Jumps against the previous row of the vehicle.
 
     The compared row is the one before; comparing a row with itself could never fire.
@@ -69,7 +69,7 @@ def is_valid(names: list[str] | None = None) -> Column:
 
 
 def all_rules(df: DataFrame, key: str = "vehicle_id", scale: float = 1.0,
-              target_rows: int | None = None) -> DataFrame:
+              target_rows: float | None = None) -> DataFrame:
     """``rules``: every violated rule of the row."""
     rows = rapid_change(df, key, target_rows)
     extra = _present([

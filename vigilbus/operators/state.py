@@ -16,7 +16,7 @@ GRID_CHUNK = 10_000
 
 def assemble_state(signals: DataFrame, defaults: Mapping[str, float] | None = None,
                    keep: Sequence[str] = (), key: str = "vehicle_id",
-                   target_rows: int | None = None) -> DataFrame:
+                   target_rows: float | None = None) -> DataFrame:
     """One row per signal sample holding the last known value of every signal."""
     defaults = dict(STATE_DEFAULTS if defaults is None else defaults)
     values = {
@@ -29,7 +29,7 @@ def assemble_state(signals: DataFrame, defaults: Mapping[str, float] | None = No
 
 def asof_merge(left: DataFrame, right: DataFrame, columns: Sequence[str],
                key: str = "vehicle_id", defaults: Mapping[str, float] | None = None,
-               target_rows: int | None = None) -> DataFrame:
+               target_rows: float | None = None) -> DataFrame:
     """Attach to each left row the latest right values at or before it.
 
     Both sides carry (key, ts, seq). At equal times a right row counts as earlier.
@@ -51,7 +51,7 @@ def asof_merge(left: DataFrame, right: DataFrame, columns: Sequence[str],
 
 
 def label_by_intervals(rows: DataFrame, log: DataFrame, key: str = "vehicle_id",
-                       target_rows: int | None = None) -> DataFrame:
+                       target_rows: float | None = None) -> DataFrame:
     """Mark rows with start <= ts < end for any logged interval of the key.
 
     Among the intervals that have started, the one reaching furthest decides; a row is inside
@@ -75,7 +75,7 @@ def label_by_intervals(rows: DataFrame, log: DataFrame, key: str = "vehicle_id",
 
 
 def sample_grid(state: DataFrame, columns: Sequence[str], step_us: int, key: str = "vehicle_id",
-                target_rows: int | None = None) -> DataFrame:
+                target_rows: float | None = None) -> DataFrame:
     """State at every multiple of ``step_us`` from the first to the last row of the key.
 
     Each row expands to the grid points before its successor, so no per-key grid is built.

@@ -38,7 +38,7 @@ def attribute_series(packets: DataFrame, name: str) -> DataFrame:
 
 
 def vehicle_path(packets: DataFrame, key: str = "vehicle_id",
-                 target_rows: int | None = None) -> DataFrame:
+                 target_rows: float | None = None) -> DataFrame:
     """Ordered path points, one row each (a path is never gathered into one array)."""
     known = packets.select(
         key, "ts", "seq", F.col("location.x").alias("x"), F.col("location.y").alias("y")

@@ -17,7 +17,7 @@ OUT = ["start_seq", "end_seq", "start_us", "end_us", "number", "w"]
 
 
 def _collect(df: DataFrame, features: Sequence[str], length: int, stride: int, ahead: int,
-             key: str, label: str | None, target_rows: int | None) -> DataFrame:
+             key: str, label: str | None, target_rows: float | None) -> DataFrame:
     vector = feature_vector(df.columns, features)
     rows = df.select(key, "ts", "seq", vector.alias("_v"), *([label] if label else []))
 
@@ -43,7 +43,7 @@ def _collect(df: DataFrame, features: Sequence[str], length: int, stride: int, a
 
 def sliding(df: DataFrame, features: Sequence[str] = WINDOW_FEATURES, length: int = WINDOW_LENGTH,
             stride: int = 1, key: str = "vehicle_id", label: str | None = None,
-            target_rows: int | None = None) -> DataFrame:
+            target_rows: float | None = None) -> DataFrame:
     """Every window of ``length`` consecutive rows starting at a multiple of ``stride``.
 
     ``label`` names a 0/1 or boolean column; a window is 1 if any of its rows is.
@@ -53,7 +53,7 @@ def sliding(df: DataFrame, features: Sequence[str] = WINDOW_FEATURES, length: in
 
 def training(df: DataFrame, features: Sequence[str] = WINDOW_FEATURES,
              length: int = WINDOW_LENGTH, stride: int = 20, cap: int = 400,
-             key: str = "vehicle_id", target_rows: int | None = None) -> DataFrame:
+             key: str = "vehicle_id", target_rows: float | None = None) -> DataFrame:
     """Training windows: at most ``cap`` per vehicle, each followed by at least one row."""
     return _collect(df, features, length, stride, 1, key, None, target_rows).where(
         F.col("number") <= cap)
@@ -111,7 +111,7 @@ def explain(windows: DataFrame, fitted: Mapping[str, tuple[float, float]],
 
 
 def uniform_sample(df: DataFrame, k: int, order: Sequence[str],
-                   target_rows: int | None = None) -> DataFrame:
+                   target_rows: float | None = None) -> DataFrame:
     """k rows spread evenly over the whole order, first and last included.
 
     Row p (from 0) is taken if p = floor(i (n-1) / (k-1)) for some i < k.
@@ -128,7 +128,7 @@ def uniform_sample(df: DataFrame, k: int, order: Sequence[str],
 
 
 def sequential_split(df: DataFrame, ratio: float, order: Sequence[str],
-                     target_rows: int | None = None) -> DataFrame:
+                     target_rows: float | None = None) -> DataFrame:
     """``is_train``: the first floor(n * ratio) rows of the whole order."""
     cut = int(df.count() * ratio)
     return positions(df, [], order, "_p", target_rows).withColumn(
@@ -141,7 +141,7 @@ def shuffled(df: DataFrame, seed: int, keys: Sequence[str]) -> DataFrame:
 
 
 def batches(df: DataFrame, seed: int, keys: Sequence[str], size: int,
-            target_rows: int | None = None) -> DataFrame:
+            target_rows: float | None = None) -> DataFrame:
     """Batch number of each row in a seeded random order."""
     drawn = df.withColumn("_d", noise.digest(seed, *keys))
     numbered = positions(drawn, [], ["_d", *keys], "_p", target_rows)

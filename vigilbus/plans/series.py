@@ -25,6 +25,7 @@ from vigilbus.session import cut_lineage
 
 TARGET_ROWS = 2_000_000
 MAX_SMALL_ROWS = 100_000
+BOUNDED = math.inf  # target for callers that know no key is heavy: no check, plain windows
 
 BLOCK, HALO, INDEX = "_block", "_halo", "_index"
 
@@ -49,7 +50,7 @@ def small_side(df: DataFrame, limit: int = MAX_SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def heavy_keys(df: DataFrame, keys: Sequence[str], target_rows: int) -> DataFrame | None:
+def heavy_keys(df: DataFrame, keys: Sequence[str], target_rows: float) -> DataFrame | None:
     """Keys with more than ``target_rows`` rows, with their counts; None if there are none."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     heavy = counts.where(F.col("_rows") > target_rows)
@@ -61,6 +62,15 @@ def heavy_keys(df: DataFrame, keys: Sequence[str], target_rows: int) -> DataFram
     return cut_lineage(heavy)
 
 
+def settle(df: DataFrame, keys: Sequence[str], target_rows: float | None = None) -> float:
+    """Check for heavy keys once, for operators that order the same rows several times."""
+    target = target_rows or TARGET_ROWS
+    if target == BOUNDED:
+        return target
+    heavy = heavy_keys(df, keys, target) if keys else df.limit(target + 1).count() > target
+    return BOUNDED if heavy is None or heavy is False else target
+
+
 @dataclass(frozen=True)
 class Layout:
     """Rows plus the columns that identify one independently ordered group."""
@@ -86,7 +96,7 @@ class Layout:
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence, rows: int,
-                target_rows: int) -> DataFrame:
+                target_rows: float) -> DataFrame:
     """Exact 1-based position per key in column ``_index``, by range partitioning.
 
     The range-partitioned rows are written out once, so that partition numbers cannot change
@@ -114,10 +124,12 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence, rows: int,
 
 
 def lay_out(df: DataFrame, keys: Sequence[str], order: Sequence, lookback: int = 0,
-            target_rows: int | None = None) -> Layout:
+            target_rows: float | None = None) -> Layout:
     """Prepare ``df`` for ordered work per key; see the module text."""
     keys, order = _names(keys), list(order)
     target = target_rows or TARGET_ROWS
+    if target == BOUNDED:
+        return Layout(df, keys, order, False)
     if lookback >= target:
         raise ValueError("look-back must be shorter than a block")
     if keys:
@@ -154,7 +166,7 @@ def lay_out(df: DataFrame, keys: Sequence[str], order: Sequence, lookback: int =
 
 def rolling(df: DataFrame, keys: Sequence[str], order: Sequence, lookback: int,
             build: Callable[[WindowSpec, Column], dict[str, Column]],
-            target_rows: int | None = None) -> DataFrame:
+            target_rows: float | None = None) -> DataFrame:
     """Add columns that look at most ``lookback`` rows back within the key.
 
     ``build(window, index)`` gets the ordered window without a frame and the 1-based position.
@@ -167,7 +179,7 @@ def rolling(df: DataFrame, keys: Sequence[str], order: Sequence, lookback: int,
 
 
 def positions(df: DataFrame, keys: Sequence[str], order: Sequence, name: str,
-              target_rows: int | None = None) -> DataFrame:
+              target_rows: float | None = None) -> DataFrame:
     """Add the exact 1-based position within the key (or over all rows for no keys)."""
     return rolling(df, keys, order, 0, lambda w, index: {name: index}, target_rows)
 
@@ -201,7 +213,7 @@ def _combine(kind: str, carried: Column, local: Column) -> Column:
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-            values: dict[str, tuple[str, Column]], target_rows: int | None = None) -> DataFrame:
+            values: dict[str, tuple[str, Column]], target_rows: float | None = None) -> DataFrame:
     """Add running values from the first row of the key to the current one.
 
     ``values`` maps a new column to (kind, input); kinds are sum, count, min, max and last
@@ -238,12 +250,12 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 
 def trailing_count(df: DataFrame, keys: Sequence[str], ts: str, span_us: int, name: str,
-                   target_rows: int | None = None) -> DataFrame:
+                   target_rows: float | None = None) -> DataFrame:
     """Rows of the key with ``ts`` in (t - span, t], peers at t included."""
     keys = _names(keys)
     target = target_rows or TARGET_ROWS
     micros = F.unix_micros(ts)
-    heavy = heavy_keys(df, keys, target)
+    heavy = None if target == BOUNDED else heavy_keys(df, keys, target)
 
     def plain(part: DataFrame) -> DataFrame:
         frame = Window.partitionBy(*keys).orderBy("_us").rangeBetween(-(span_us - 1), 0)
