@@ -18,14 +18,16 @@ def word(data: Column, endian: str = "big") -> Column:
     return F.when(F.length(data) >= 4, number)
 
 
-def int32(data: Column, endian: str = "big") -> Column:
-    w = word(data, endian)
+def int_of(w: Column) -> Column:
+    """Signed number of an unsigned word."""
     return F.when(w >= 2**31, w - 2**32).otherwise(w)
 
 
-def float32(data: Column, endian: str = "big") -> Column:
-    """IEEE-754 single precision value of the first four bytes."""
-    w = word(data, endian)
+def float_of(w: Column) -> Column:
+    """IEEE-754 single precision value of a word.
+
+    Pass a column that already holds the word: the expression uses it several times.
+    """
     sign = F.when(w >= 2**31, -1.0).otherwise(1.0)
     exponent = F.shiftright(w, 23).bitwiseAND(255)
     fraction = w.bitwiseAND(2**23 - 1)
@@ -36,9 +38,16 @@ def float32(data: Column, endian: str = "big") -> Column:
     return F.when(w.isNotNull(), value)
 
 
-def decode(data: Column, kind: Column, endian: str = "big") -> Column:
-    return F.when(kind == "i32", int32(data, endian).cast("double")).otherwise(
-        float32(data, endian))
+def int32(data: Column, endian: str = "big") -> Column:
+    return int_of(word(data, endian))
+
+
+def float32(data: Column, endian: str = "big") -> Column:
+    return float_of(word(data, endian))
+
+
+def value_of(w: Column, kind: Column) -> Column:
+    return F.when(kind == "i32", int_of(w).cast("double")).otherwise(float_of(w))
 
 
 def signature_flag(data: Column) -> Column:

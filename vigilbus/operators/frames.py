@@ -30,9 +30,10 @@ def unmapped(frames: DataFrame, dim: DataFrame) -> DataFrame:
 
 def decode_signals(frames: DataFrame, dim: DataFrame, endian: str = "big") -> DataFrame:
     """Long signal rows; frames with a short payload give a null value."""
-    return map_signals(data_frames(frames), dim).select(
+    rows = map_signals(data_frames(frames), dim)
+    return rows.withColumn("_w", B.word(F.col("data"), endian)).select(
         "ts", "vehicle_id", "seq", "signal",
-        B.decode(F.col("data"), F.col("kind"), endian).alias("value"),
+        B.value_of(F.col("_w"), F.col("kind")).alias("value"),
         B.signature_flag(F.col("data")).alias("signature_flag"),
     )
 
@@ -85,10 +86,11 @@ def modified_replay(frames: DataFrame, dim: DataFrame,
     payload for unknown IDs and the marked original for known ones.
     """
     numbered = positions(frames, [], ["ts", "seq"], "_n", target_rows)
-    rows = split_id(numbered).join(F.broadcast(dim), "code", "left")
+    rows = split_id(numbered).join(F.broadcast(dim), "code", "left").withColumn(
+        "_w", B.word(F.col("data")))
     up = F.col("_n") % 2 == 1
     data, kind = F.col("data"), F.col("kind")
-    plain = B.decode(data, kind)
+    plain = B.value_of(F.col("_w"), kind)
     gear = F.when(up, F.least(F.lit(6.0), plain + 1)).otherwise(F.greatest(F.lit(-1.0), plain - 1))
     value = F.when(kind == "i32", gear).when(kind == "f32", plain * F.when(up, 2.0).otherwise(0.5))
     unknown = kind.isNull() & (F.length(data) >= 4)

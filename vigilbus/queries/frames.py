@@ -31,12 +31,12 @@ def finite(x):
 
 
 def _decoded(spark, sf, endian):
-    data = F.col("data")
-    x = B.float32(data, endian)
-    return views.frames(spark, sf).select(
+    words = views.frames(spark, sf).select("seq", B.word(F.col("data"), endian).alias("w"))
+    x = F.col("x")
+    return words.select("seq", "w", B.float_of(F.col("w")).alias("x")).select(
         "seq", finite(x).alias("float_value"),
         F.coalesce(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(False)).alias("non_finite"),
-        B.int32(data, endian).alias("int_value"))
+        B.int_of(F.col("w")).alias("int_value"))
 
 
 @query("b01_b02_decode_big_endian", with_sql(FRAMES_SQL, _words(BIG), f"""

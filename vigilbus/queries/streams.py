@@ -26,7 +26,7 @@ def event_stream(spark, sf, per_trigger=None):
         F.col("ts").cast("timestamp").alias("ts"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
         F.col("user_id").alias("vehicle_id"), F.col("event_id").alias("seq"),
         views._event_case(1).alias("signal"), "value",
-        F.get_json_object("props", "$.k").cast("int").alias("k"))
+        views.payload().alias("k"))
 
 
 @query("j01_stream_rate_windows", with_sql(SIGNALS_SQL, END_SQL, f"""

@@ -22,6 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def payload() -> Column:
+    """The number in props, which is always {"k": number}."""
+    return F.trim(F.substring_index(F.substring_index("props", ":", -1), "}", 1)).cast("int")
+
+
 def _event_case(position: int) -> Column:
     out = F.lit(None)
     for row in _EVENT_SIGNALS:
@@ -37,7 +42,7 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("seq"),
         _event_case(1).alias("signal"),
         "value",
-        F.get_json_object("props", "$.k").cast("int").alias("k"),
+        payload().alias("k"),
     )
 
 
@@ -82,7 +87,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     length = F.when(k % 50 == 1, 0).when(k % 25 == 0, 3).otherwise(8)
     code = F.when(k >= 95, 0x60 + k % 8).otherwise(_event_case(2))
     events = table(spark, sf_dir, "events").withColumn(
-        "k", F.get_json_object("props", "$.k").cast("int")
+        "k", payload()
     )
     return events.select(
         F.col("ts").cast("timestamp").alias("ts"),
@@ -110,7 +115,9 @@ FRAMES_SQL = SIGNALS_SQL + """, fr AS (
 
 def signal_dim(spark: SparkSession) -> DataFrame:
     """Signal per low ID byte (six fixed rows)."""
-    return spark.createDataFrame(SIGNAL_CODES, "code int, signal string, kind string")
+    rows = [F.struct(F.lit(c).alias("code"), F.lit(s).alias("signal"), F.lit(k).alias("kind"))
+            for c, s, k in SIGNAL_CODES]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
