@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from vigilbus.operators import features, state
+from vigilbus.operators import declared, features, federated, state, windows
 from vigilbus.plans import stats
 from vigilbus.plans.series import lay_out, positions, running, trailing_count
 
@@ -92,3 +92,30 @@ def test_percentiles_and_auroc(skewed):
     for target in (None, 10):
         assert stats.auroc(rows, "x", "label", target_rows=target).first()["auroc"] == pytest.approx(
             wins / len(pos) / len(neg))
+
+
+def test_higher_operators_equal_plain(skewed):
+    s = skewed.withColumn("speed_kmh", F.coalesce("x", F.lit(0.0)))
+    same(windows.sliding(s, ["speed_kmh"]), windows.sliding(s, ["speed_kmh"], target_rows=60))
+    same(windows.training(s, ["speed_kmh"], stride=7), windows.training(s, ["speed_kmh"], stride=7, target_rows=60))
+    same(features.newest_rows(s, 30), features.newest_rows(s, 30, target_rows=60))
+    same(features.edge_features(s.withColumns({"throttle": F.lit(1.0), "brake": F.lit(2.0)})),
+         features.edge_features(s.withColumns({"throttle": F.lit(1.0), "brake": F.lit(2.0)}), target_rows=120))
+
+
+def test_multi_pass_operators_equal_plain(skewed):
+    same(declared.fill_missing(skewed, "x"), declared.fill_missing(skewed, "x", target_rows=200))
+    cycles = skewed.where("seq % 3 = 0").select(
+        F.col("vehicle_id").alias("client_id"), F.col("seq").alias("cycle"),
+        (F.col("seq") * 31 % 97).cast("double").alias("loss"))
+    same(federated.rollback(cycles), federated.rollback(cycles, target_rows=200))
+
+
+def test_results_do_not_depend_on_partitions(spark, skewed):
+    seen = set()
+    for n in ("2", "9"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        rows = features.signal_statistics(skewed.repartition(int(n)), ["x"], 10, target_rows=300)
+        seen.add(tuple(sorted(map(str, rows.select("seq", "x_delta").collect()))))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(seen) == 1

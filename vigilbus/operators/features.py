@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilbus.operators.state import ORDER
-from vigilbus.plans.series import rolling, running, trailing_count
+from vigilbus.plans.series import (
+    TARGET_ROWS, heavy_keys, join_null_safe, rolling, running, small_side, trailing_count,
+)
 from vigilbus.schema import EDGE_FEATURES
 
 SECOND_US = 1_000_000
@@ -162,24 +164,40 @@ def feature_vector(available: Sequence[str], names: Sequence[str]) -> Column:
 
 
 def newest_rows(df: DataFrame, keep: int, keys: Sequence[str] = ("vehicle_id",),
-                slots: int = 64) -> DataFrame:
-    """The newest ``keep`` rows per key.
+                slots: int = 64, target_rows: float | None = None) -> DataFrame:
+    """The newest ``keep`` rows per key, with ``recency`` 1 for the newest.
 
-    Rows are first cut to ``keep`` per (key, slot), so the final ordering of one key sees at
-    most ``slots * keep`` rows however large the key is.
+    Heavy keys are first cut, before any shuffle, to the hours that hold their newest ``keep``
+    rows; the cut-off hours come from counts. Then rows are cut to ``keep`` per (key, slot), so
+    the last ordering of one key sees at most ``slots * keep`` rows.
     """
+    keys = list(keys)
+    heavy = heavy_keys(df, keys, max(target_rows or TARGET_ROWS, keep))
+    rows = df if heavy is None else _newest_hours(df, heavy.select(*keys), keep, keys)
     backwards = [F.col("ts").desc(), F.col("seq").desc()]
-    slot = F.pmod(F.xxhash64("seq"), F.lit(slots))
     first = Window.partitionBy(*keys, "_slot").orderBy(*backwards)
     last = Window.partitionBy(*keys).orderBy(*backwards)
     return (
-        df.withColumn("_slot", slot)
+        rows.withColumn("_slot", F.pmod(F.xxhash64("seq"), F.lit(slots)))
         .withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= keep)
         .withColumn("recency", F.row_number().over(last)).where(F.col("recency") <= keep)
         .drop("_slot", "_rn")
     )
 
 
+def _newest_hours(df: DataFrame, heavy: DataFrame, keep: int, keys: Sequence[str]) -> DataFrame:
+    rows = df.withColumn("_hour", F.expr("unix_micros(ts) div 3600000000"))
+    counts = join_null_safe(rows.select(*keys, "_hour"), heavy, keys, "left_semi").groupBy(
+        *keys, "_hour").agg(F.count(F.lit(1)).alias("_n"))
+    newest_first = Window.partitionBy(*keys).orderBy(F.col("_hour").desc())
+    reached = F.sum("_n").over(newest_first.rowsBetween(Window.unboundedPreceding, 0)) >= keep
+    cutoff = counts.select(*keys, "_hour", reached.alias("_reached")).where("_reached").groupBy(
+        *keys).agg(F.max("_hour").alias("_cutoff"))
+    joined = join_null_safe(rows, small_side(cutoff), keys, "left")
+    recent = F.col("_cutoff").isNull() | (F.col("_hour") >= F.col("_cutoff"))
+    return joined.where(recent).drop("_hour", "_cutoff")
+
+
 def changed_rows(df: DataFrame, columns: Sequence[str], key: str = "vehicle_id",
                  target_rows: float | None = None) -> DataFrame:
     """Rows where any column differs from the row before; the first row of a key counts.

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilbus.plans.series import positions, rolling, running, settle
+from vigilbus.plans.series import positions, rolling, running, settle, small_side
 from vigilbus.schema import weight_shapes
 
 DIVERGENCE_LIMIT, LOSS_LIMIT, STABLE_DIVERGENCE = 0.10, 0.30, 0.01
@@ -54,7 +54,7 @@ def latest_updates(updates: DataFrame, by: Sequence[str] = ("round", "client_id"
 def average(weights: DataFrame, updates: DataFrame,
             on: Sequence[str] = ("client_id", "round", "update_id")) -> DataFrame:
     """Sample-weighted mean per (round, key, idx); null if the round has no samples."""
-    rows = weights.join(updates.select(*on, "num_samples"), list(on))
+    rows = weights.join(small_side(updates.select(*on, "num_samples")), list(on))
     weighted = F.sum(F.col("value") * F.col("num_samples"))
     return rows.groupBy("round", "key", "idx").agg(
         F.try_divide(weighted, F.sum("num_samples").cast("double")).alias("value"))

@@ -25,6 +25,7 @@ from vigilbus.session import cut_lineage
 
 TARGET_ROWS = 2_000_000
 MAX_SMALL_ROWS = 100_000
+SORT_BLOCKS = 4  # blocks per range partition; sorting spills, so these may be larger
 BOUNDED = math.inf  # target for callers that know no key is heavy: no check, plain windows
 
 BLOCK, HALO, INDEX = "_block", "_halo", "_index"
@@ -103,7 +104,7 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence, rows: int,
     between the two passes that read them.
     """
     keys = _names(keys)
-    parts = max(2, 2 * math.ceil(rows / target_rows))
+    parts = max(2, math.ceil(rows / (SORT_BLOCKS * target_rows)))
     ranged = (
         df.repartitionByRange(parts, *keys, *order)
         .sortWithinPartitions(*keys, *order)
