@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from vigilbus.operators import features, state, windows
+from vigilbus.operators import features, federated, state, windows
 from vigilbus.streaming import sinks, sources, stateful, windowed
 
 
@@ -102,3 +102,15 @@ def test_last_row_per_step(spark, landed):
     want = landed[1].withColumn("start_us", slot).withColumn("r", F.row_number().over(last)).where("r = 1")
     final = landed[1].agg(F.max("us")).first()[0] - 1_000_000
     same(got, want.where(F.col("start_us") + 10_000_000 <= final).select("vehicle_id", "start_us", "seq", "value"))
+
+
+def test_send_decisions_keep_their_state(spark, tmp_path):
+    rows = spark.range(90).select(
+        (F.col("id") % 2).alias("client_id"), (F.col("id") * 400.0).alias("time_s"),
+        (F.col("id") / 30).cast("int").alias("round"),
+        F.array(F.sin(F.col("id") / 50.0), F.lit(0.0)).alias("weights"), F.lit(1.0).alias("loss"))
+    folder = str(tmp_path / "cycles")
+    for i in range(3):
+        rows.where(f"round = {i}").coalesce(1).write.mode("append").parquet(folder)
+    s = sources.files(spark, folder, rows.schema, files_per_trigger=1)
+    same(sinks.finish(stateful.send_decisions(s), "sends"), federated.send_decisions(rows))

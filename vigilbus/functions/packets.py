@@ -9,7 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PACKET_COLUMNS = ["speed_kmh", "battery_level", "throttle", "brake", "steering", "gear"]
+from vigilbus.schema import PACKET_SIGNALS
+
+PACKET_COLUMNS = list(PACKET_SIGNALS.values())
 
 
 def rounded(column: Column, dtype: T.DataType, digits: int) -> Column:
@@ -52,3 +54,14 @@ def bus_time(names: Sequence[str] = PACKET_COLUMNS) -> Column:
 
 def without_raw_times(names: Sequence[str] = PACKET_COLUMNS) -> dict[str, Column]:
     return {n: F.col(n).dropFields("raw_timestamp") for n in names}
+
+
+def published(kinds: dict[str, T.DataType]) -> Column:
+    """Packet as JSON text: signal names as sent, raw times dropped, values to 4 and positions
+    to 2 decimals. ``kinds`` are the column types of the packet."""
+    signals = [
+        rounded(F.col(column), kinds[column], 4).dropFields("raw_timestamp").alias(name)
+        for name, column in PACKET_SIGNALS.items()
+    ]
+    place = rounded(F.col("location"), kinds["location"], 2).alias("Location")
+    return F.to_json(F.struct(*signals, place))

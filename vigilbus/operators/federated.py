@@ -204,6 +204,15 @@ class SendPolicy:
         self.loss = None
         self.sent_round = None
 
+    def saved(self) -> tuple:
+        kept = None if self.reference is None else [float(x) for x in self.reference]
+        return self.interval, self.last_time, kept, self.loss, self.sent_round
+
+    def restore(self, interval, last_time, reference, loss, sent_round) -> None:
+        self.interval, self.last_time, self.loss = interval, last_time, loss
+        self.reference = None if reference is None else np.asarray(reference)
+        self.sent_round = sent_round
+
     def step(self, time_s: float, round_no: int, weights: np.ndarray, loss: float):
         """(send, reason) for one training cycle; a send becomes the new reference."""
         if self.last_time is None:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from vigilbus.functions import packets as P
 from vigilbus.operators import telemetry
 from vigilbus.queries.registry import query, with_sql
-from vigilbus.sources import views
+from vigilbus.schema import PACKET_SIGNALS
+from vigilbus.sources import readers, views
 from vigilbus.sources.views import PACKETS_SQL
 
 N = P.PACKET_COLUMNS
@@ -110,3 +111,34 @@ def latest_packet(spark, sf):
     rows = views.packets(spark, sf).orderBy(F.col("ts").desc(), F.col("seq").desc()).limit(1)
     return rows.select("vehicle_id", "seq", F.unix_micros("ts").alias("us"),
                        F.col("speed_kmh.value").alias("speed"))
+
+
+def packet_lines(spark, sf):
+    """The packets as JSON text, legacy scalars included."""
+    parts = [F.concat(F.lit(f'"{name}": '), F.coalesce(
+        F.when(F.col(f"{column}_scalar").isNotNull(), F.col(f"{column}_scalar").cast("string")),
+        F.to_json(column))) for name, column in PACKET_SIGNALS.items()]
+    place = F.concat(F.lit('"Location": '), F.to_json("location"))
+    return views.packets(spark, sf).select(
+        "seq", F.concat(F.lit("{"), F.concat_ws(", ", *parts, place), F.lit("}")).alias("value"))
+
+
+@query("a05_packet_text_parse", with_sql(PACKETS_SQL, f"""
+SELECT seq, {", ".join(f"coalesce({n}_scalar, {n}_value, 0.0) AS {n}, CASE WHEN {n}_scalar IS NULL THEN {n}_attacked END AS {n}_attacked" for n in N)}, x, y FROM pk"""))
+def packet_text_parse(spark, sf):
+    rows = readers.parse_packets(packet_lines(spark, sf))
+    return rows.select(
+        "seq", *[P.signal_value(n).alias(n) for n in N],
+        *[F.col(f"{n}.attacked").alias(f"{n}_attacked") for n in N], "location.x", "location.y")
+
+
+@query("b08_published_packet", with_sql(PACKETS_SQL, """
+SELECT seq, round(brake_value, 4) AS brake, brake_attacked, round(x, 2) AS x, false AS has_raw FROM pk"""))
+def published_packet(spark, sf):
+    rows = views.packets(spark, sf)
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    sent = rows.select("seq", P.published(kinds).alias("value"))
+    back = readers.parse_packets(sent)
+    return back.select(
+        "seq", F.col("brake.value").alias("brake"), F.col("brake.attacked").alias("brake_attacked"),
+        "location.x", F.contains("value", F.lit("raw_timestamp")).alias("has_raw"))

@@ -230,3 +230,25 @@ def attack_log_csv(spark, sf):
     return readers.attack_log(spark, folder).select(
         "attack_type", F.unix_micros("start_time").alias("start_us"),
         F.unix_micros("end_time").alias("end_us"), "trigger_type")
+
+
+@query("a13_stream_capture_log", with_sql(SIGNALS_SQL, """
+SELECT strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS stamp, vehicle_id, seq FROM sig"""))
+def stream_capture_log(spark, sf):
+    rows = event_stream(spark, sf).select("ts", "vehicle_id", "seq")
+    lines = sinks.finish(sinks.capture_lines(rows), "capture", "text")
+    cut = F.split("value", " - ", 2)
+    body = F.from_json(cut[1], "vehicle_id long, seq long")
+    return lines.select(cut[0].alias("stamp"), body.alias("b")).select("stamp", "b.*")
+
+
+@query("j09_stream_send_decisions")
+def stream_send_decisions(spark, sf):
+    v = F.col("vec_id")
+    schema = views.table(spark, sf, "embeddings").schema
+    cycles = sources.files(spark, sf, schema, glob="embeddings.parquet").select(
+        F.concat(F.lit("edge_"), F.col("label").cast("string")).alias("client_id"),
+        (v * 300.0).alias("time_s"), F.floor(v / 20).cast("int").alias("round"),
+        F.transform("embedding", lambda x: x.cast("double") * 0.4).alias("weights"),
+        (1.0 / (1 + v % 7)).alias("loss"))
+    return sinks.finish(stateful.send_decisions(cycles), "sends")

@@ -83,13 +83,6 @@ ATTACK_LOG = T.StructType([
     T.StructField("trigger_type", T.StringType()),
 ])
 
-VEHICLE_LOG = T.StructType(
-    [T.StructField("timestamp", T.StringType())]
-    + [T.StructField(n, T.DoubleType()) for n in SIGNALS[:5]]
-    + [T.StructField("gear", T.IntegerType())]
-    + [T.StructField(n, T.DoubleType()) for n in ("location_x", "location_y", "location_z")]
-)
-
 # Signal name in a packet -> column in flat telemetry. Fixed values.
 PACKET_SIGNALS = {
     "Speed (km/h)": "speed_kmh",
@@ -100,26 +93,8 @@ PACKET_SIGNALS = {
     "Gear": "gear",
 }
 
-_SIGNAL_VALUE = T.StructType([
-    T.StructField("value", T.DoubleType()),
-    T.StructField("timestamp", T.StringType()),
-    T.StructField("raw_timestamp", T.DoubleType()),
-    T.StructField("attacked", T.StringType()),
-])
-
-PACKET = T.StructType(
-    [T.StructField(name, _SIGNAL_VALUE) for name in PACKET_SIGNALS]
-    + [
-        T.StructField("Location", T.StructType([
-            T.StructField(axis, T.DoubleType()) for axis in "xyz"
-        ])),
-        T.StructField("ML_Attack_Detection", T.StructType([
-            T.StructField("detected", T.BooleanType()),
-            T.StructField("confidence", T.DoubleType()),
-            T.StructField("method", T.StringType()),
-        ])),
-    ]
-)
+SIGNAL_FIELDS = "value double, timestamp string, raw_timestamp double, attacked string"
+DETECTION_FIELDS = "detected boolean, confidence double, method string"
 
 # Recurrent autoencoder tensors, in exchange order (F inputs, H hidden units).
 GRU_HIDDEN = 32

@@ -65,3 +65,10 @@ def alerts(scored: DataFrame, client: str = "vehicle_id", score: str = "score",
 def status_events(cycles: DataFrame) -> DataFrame:
     """Status event rows in the shape clients report."""
     return cycles.select("client_id", "status", "phase", "round", "loss", "timestamp")
+
+
+def capture_lines(stream: DataFrame, ts: str = "ts") -> DataFrame:
+    """One text line per row: time, then the row as JSON."""
+    stamp = F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    body = F.to_json(F.struct(*[c for c in stream.columns if c != ts]))
+    return stream.select(F.concat_ws(" - ", stamp, body).alias("value"))

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from vigilbus.operators.federated import SendPolicy
 from vigilbus.schema import STATE_DEFAULTS
 
 
@@ -110,3 +111,27 @@ def online_scores(stream: DataFrame, net, params) -> DataFrame:
     return stream.groupBy("vehicle_id").applyInPandasWithState(
         judge, f"vehicle_id {kind}, end_seq long, score double", "tail array<double>",
         "append", GroupStateTimeout.NoTimeout)
+
+
+def send_decisions(stream: DataFrame, base_s: float = 3600.0, min_s: float = 900.0) -> DataFrame:
+    """Send decision for each training cycle as it arrives; the policy is the client's state.
+
+    Input: client_id, time_s, round, weights array<double>, loss.
+    """
+    def decide(key, batches: Iterator[pd.DataFrame], state: GroupState):
+        policy = SendPolicy(base_s, min_s)
+        if state.exists:
+            policy.restore(*state.get)
+        pdf = _sorted(batches, ("time_s", "round"))
+        made = [policy.step(r.time_s, r.round, np.asarray(r.weights), r.loss)
+                for r in pdf.itertuples(index=False)]
+        state.update(policy.saved())
+        yield pd.DataFrame({
+            "client_id": key[0], "time_s": pdf["time_s"], "round": pdf["round"],
+            "send": [s for s, _ in made], "reason": [r for _, r in made]})
+
+    kinds = dict(stream.dtypes)
+    return stream.groupBy("client_id").applyInPandasWithState(
+        decide, f"client_id {kinds['client_id']}, time_s double, round int, send boolean, reason string",
+        "interval double, last_time double, reference array<double>, loss double, sent_round int",
+        "append", GroupStateTimeout.NoTimeout)
