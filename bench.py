@@ -35,7 +35,9 @@ def main() -> None:
     spark = build_session(
         "vigilbus-bench", f"local[{cpus}]",
         **{"spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false",
-           "spark.driver.memory": "12g"},
+           "spark.driver.memory": "12g",
+           # Small data on few cores: keep one task per core after a shuffle.
+           "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k"},
     )
     spark.sparkContext.setLogLevel("ERROR")
     registry = load_all()

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from vigilbus.operators import declared, features, federated, state, windows
+from vigilbus.operators import declared, evaluate, features, federated, state, windows
 from vigilbus.plans import stats
 from vigilbus.plans.series import lay_out, positions, running, trailing_count
 
@@ -94,6 +94,19 @@ def test_percentiles_and_auroc(skewed):
             wins / len(pos) / len(neg))
 
 
+def test_threshold_sweep_equals_brute_force(skewed):
+    rows = skewed.where("x is not null").select(
+        F.col("x").alias("score"), (F.col("seq") % 3 % 2).cast("int").alias("label"))
+    data = [(r.score, r.label) for r in rows.collect()]
+    for target in (None, 20):
+        got = evaluate.threshold_sweep(rows, target_rows=target).collect()
+        points = rows.select(F.percentile("score", F.array(*[F.lit(p) for p in evaluate.sweep_fractions()]))).first()[0]
+        assert sorted(r["threshold"] for r in got) == pytest.approx(sorted(set(points)))
+        for r in got:
+            assert r["tp"] == sum(s > r["threshold"] and y == 1 for s, y in data)
+            assert r["tn"] == sum(s <= r["threshold"] and y == 0 for s, y in data)
+
+
 def test_higher_operators_equal_plain(skewed):
     s = skewed.withColumn("speed_kmh", F.coalesce("x", F.lit(0.0)))
     same(windows.sliding(s, ["speed_kmh"]), windows.sliding(s, ["speed_kmh"], target_rows=60))

@@ -84,31 +84,12 @@ def sweep_fractions(low: float = 50.0, high: float = 99.9, points: int = 200) ->
 def threshold_sweep(scores: DataFrame, score: str = "score", label: str = "label",
                     fractions: Sequence[float] | None = None,
                     target_rows: float | None = None) -> DataFrame:
-    """Confusion and F1 at each distinct candidate threshold.
-
-    Scores are counted per distinct value, each value gets the number of candidates below it,
-    and suffix sums over those at most 201 buckets give every confusion matrix at once.
-    """
-    grid = percentile_grid(scores, score, fractions or sweep_fractions(), target_rows)
-    counts = scores.groupBy(score).agg(
-        F.count_if(F.col(label) == 1).alias("_yes"), F.count_if(F.col(label) == 0).alias("_no"))
-    one = F.lit(1).alias("_one")
-    placed = counts.select("*", one).join(F.broadcast(grid.select("grid", one)), "_one")
-    slot = F.size(F.filter("grid", lambda t: t < F.col(score)))
-    buckets = placed.groupBy(slot.alias("_slot")).agg(
-        F.sum("_yes").alias("_yes"), F.sum("_no").alias("_no"))
-    summary = buckets.agg(F.collect_list(F.struct("_slot", "_yes", "_no")).alias("_b"))
-    candidates = grid.select(F.posexplode("grid").alias("_at", "threshold"), one).join(
-        F.broadcast(summary.select("_b", one)), "_one")
-
-    def total(name: str, above: bool) -> Column:
-        chosen = F.filter("_b", lambda b: (b["_slot"] > F.col("_at")) if above
-                          else (b["_slot"] <= F.col("_at")))
-        return F.aggregate(chosen, F.lit(0).cast("long"), lambda a, b: a + b[name])
-
-    rows = candidates.select(
-        "threshold", total("_yes", True).alias("tp"), total("_no", True).alias("fp"),
-        total("_yes", False).alias("fn"), total("_no", False).alias("tn"))
+    """Confusion and F1 at each distinct candidate threshold (evenly spaced percentiles)."""
+    grid = percentile_grid(scores, score, label, fractions or sweep_fractions(), target_rows)
+    rows = grid.select(
+        F.col("point").alias("threshold"), (F.col("_all_yes") - F.col("_yes")).alias("tp"),
+        (F.col("_all_no") - F.col("_no")).alias("fp"), F.col("_yes").alias("fn"),
+        F.col("_no").alias("tn"))
     return rows.withColumns(quality(*[F.col(n) for n in ("tp", "fp", "fn", "tn")]))
 
 

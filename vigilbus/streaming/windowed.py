@@ -60,14 +60,15 @@ def average_rounds(updates: DataFrame, pending: str, results: str, checkpoint: s
                    min_clients: int = 2) -> StreamingQuery:
     """Average each round once enough clients have sent an update.
 
-    Updates (client_id, round, update_id, num_samples, loss, weights) wait in a table. Both
-    tables are written per batch number, so a repeated batch overwrites its own output.
+    Updates (client_id, round, update_id, num_samples, loss, weights) wait in a table; a batch
+    only recomputes the rounds it has updates for. Both tables are written per batch number, so a repeated batch overwrites its own output.
     """
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{pending}/batch={number}")
         waiting = spark.read.schema(batch.schema).option("recursiveFileLookup", "true").parquet(pending)
-        newest = fed.latest_updates(waiting)
+        touched = waiting.join(batch.select("round").distinct(), "round", "left_semi")
+        newest = fed.latest_updates(touched)
         ready = newest.groupBy("round").agg(F.count(F.lit(1)).alias("_c")).where(
             F.col("_c") >= min_clients)
         averaged = _weighted(newest.join(ready.select("round"), "round", "left_semi"))
