@@ -27,3 +27,24 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     mixed = poisson_mix(docs, repetition_rates(docs))
     return mixed.withColumn("rate", F.round("rate", 9))
+
+
+@query("op4_wu_manber_decontamination", sql.DECONTAMINATION)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilbus.llm.decontaminate import find_benchmark
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_benchmark(docs, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items",
+        F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
+@query("op9_crf_line_quality")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilbus.llm.quality import score_quality, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, table(spark, sf_dir, "labels"))
+    return score_quality(docs, model).select("doc_id", "held_out", "score", "predicted")

@@ -68,3 +68,29 @@ SELECT doc_id, text, lang, source, n_chars, round(rate, 9) AS rate, copies, copy
 FROM (SELECT d.*, c.copies, unnest(range(1, c.copies + 1)) AS copy
       FROM draws d JOIN counts c ON d.digest = c.digest AND d.rate = c.rate)
 """
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = rf"regexp_extract_all(coalesce({_LOWER}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+DECONTAMINATION = f"""
+WITH dw AS (SELECT doc_id, {_ALNUM} AS w FROM documents),
+iw AS (SELECT item_id::VARCHAR AS item, w, least(13, len(w)) AS m
+       FROM (SELECT item_id, {_ALNUM} AS w FROM benchmark) WHERE len(w) > 0),
+tests AS (
+  SELECT DISTINCT item, m, array_to_string(w[i:i + m - 1], ' ') AS s
+  FROM (SELECT item, m, w, unnest(range(1, len(w) - m + 2)) AS i FROM iw)),
+places AS (
+  SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS s
+  FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i
+        FROM dw CROSS JOIN (SELECT DISTINCT m FROM iw))),
+hits AS (SELECT p.doc_id, p.i, p.m, t.item FROM places p JOIN tests t ON p.m = t.m AND p.s = t.s),
+covered AS (
+  SELECT doc_id, count(DISTINCT pos) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + m)) AS pos FROM hits) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+  coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
