@@ -15,6 +15,7 @@ called like an added one are replaced.
 """
 
 import math
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ _DIGITS = b"0123456789"
 _ODD = b"%$&*#|!~^<>{}=\\_@+/[]`"
 _PUNCT = b".,;:?'\"()-"
 _ENDS = (b".", b"!", b"?", b'"', b":")
-OWN = 13  # features of one line
+OWN = 15  # features of one line
 WIDTH = 3 * OWN + 3
 
 
@@ -55,7 +56,8 @@ def _line(line: bytes, seen: set[bytes]) -> list[float]:
         upper / (letters + 1), digits / n, min(5 * odd / n, 1.0), min(5 * punct / n, 1.0),
         math.log1p(len(words)) / 5, float(len(words) <= 3), len(set(words)) / len(words),
         float(words[-1].endswith(_ENDS)), float(repeated), min(len(line) / len(words), 20) / 20,
-        float(line[:1].islower()), letters / n, 0.0,
+        float(line[:1].islower()), letters / n, min(10 * line.count(b" | ") / len(words), 1.0),
+        sum(map(eq, words, words[1:])) / len(words), 0.0,
     ]
 
 
