@@ -48,3 +48,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))
     return score_quality(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op7_divideskip_jaccard_join", sql.JACCARD_GROUPS)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilbus.llm.ngram_join import ngram_groups
+
+    return ngram_groups(table(spark, sf_dir, "documents"))
