@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilbus.llm import sql
@@ -55,3 +55,19 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigilbus.llm.ngram_join import ngram_groups
 
     return ngram_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op3_information_sanitiser")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilbus.llm.pii import KINDS, find_personal, span_list
+
+    found = find_personal(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*KINDS))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id", *[count(k).alias(f"n_{k}") for k in KINDS],
+        F.sha2(span_list(base), 256).alias("base_sha256"),
+        span_list(F.col("spans")).alias("spans"))
