@@ -11,9 +11,11 @@ least 0.75, so each holds T = ceil(0.75 n) shingles of the other. The search run
    back whole, a longer one with its first ``SHORT`` classes. A home merges the lists of each of its
    classes and counts occurrences: a pair counted often enough is a proven link. A class without
    long lists is done.
-4. Long lists are probed, not merged: the s - T + 1 rarest shingles of an open class hold one of
-   every partner's, so only pairs that meet there, and aren't in one component yet, are verified by
-   binary search of one sorted set in the other.
+4. The s - T + 1 rarest shingles of an open class hold one of every partner's. While the lists of
+   these still hold many pairs of different components, open classes count occurrences with the
+   most central class of each component in their lists, which joins groups around their originals.
+5. Long lists are probed, not merged: pairs that still meet in a list of a rarest shingle and
+   aren't in one component are verified by binary search of one sorted set in the other.
 
 A shingle in very many documents costs one entry per home, and a large group of near copies hangs
 on the first classes of its lists, so no list is expanded into its pairs.
@@ -29,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -46,7 +49,6 @@ HOME_ROWS = 50_000
 BUCKET_BYTES = 4 << 20
 SHORT = 8
 LOW_BITS = 40
-_MANY = 0xFFFF
 
 
 def _slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
@@ -72,6 +74,31 @@ def _tokens(lo: bytes, hi: bytes, bucket: int) -> np.ndarray:
             | np.uint64(bucket << LOW_BITS))
 
 
+def _pack(tokens: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of each token."""
+    return np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _unpack(body: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(body) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(body, np.uint8).reshape(-1, width)
+    return out.view(np.uint64).ravel()
+
+
+def _width(bits: int) -> int:
+    return (bits + LOW_BITS + 7) // 8
+
+
+def _pack_counts(counts: np.ndarray) -> bytes:
+    """Counts as bytes where they fit, after a byte that names their size."""
+    kind = np.uint8 if counts.max(initial=0) < 256 else np.uint32
+    return bytes([kind().itemsize]) + counts.astype(kind).tobytes()
+
+
+def _unpack_counts(body: bytes) -> np.ndarray:
+    return np.frombuffer(body, {1: np.uint8, 4: np.uint32}[body[0]], offset=1).astype(np.int64)
+
+
 def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(start, length) of the runs of equal values."""
     if not len(ordered):
@@ -114,11 +141,12 @@ def _send_documents(bits: int, width: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ordinal = 0
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            marks = batch.column(2).to_numpy()
-            for a, b in _slices([len(t or "") + 1 for t in texts]):
-                rows = _document_rows(ids[a:b], marks[a:b], shingle_sets(texts[a:b], width),
-                                      bits, _home_number(ordinal))
+            ids, texts, marks = batch.columns
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+            for a, b in _slices(sizes):
+                rows = _document_rows(
+                    ids[a:b].to_pylist(), marks[a:b].to_numpy(),
+                    shingle_sets(texts[a:b].to_pylist(), width), bits, _home_number(ordinal))
                 ordinal += 1
                 yield from _table(rows, _SENT).to_batches()
 
@@ -138,7 +166,8 @@ def _document_rows(
     tokens, member = tokens[order], member[order]
     starts, many = _runs(tokens)
     several = np.repeat(many > 1, many)
-    sent, sender = tokens[starts], np.where(many > 1, _MANY, member[starts]).astype(np.uint16)
+    # The last of the senders stands for several documents of this home.
+    sent, sender = tokens[starts], np.where(many > 1, len(sets), member[starts]).astype(np.int64)
     rows = [{
         "g": -1 - home, "home": home,
         "ids": np.array([i or 0 for i in ids], np.int64).tobytes(),
@@ -150,9 +179,10 @@ def _document_rows(
     for bucket in range(1 << bits):
         a, b = cuts[bucket], cuts[bucket + 1]
         if b > a:
-            lo, hi = _low(sent[a:b])
-            rows.append({"g": bucket, "home": home, "lo": lo, "hi": hi,
-                         "member": sender[a:b].tobytes()})
+            by = np.argsort(sender[a:b], kind="stable")
+            lo, hi = _low(sent[a:b][by])
+            rows.append({"g": bucket, "home": home, "lo": lo, "hi": hi, "member": _pack_counts(
+                np.bincount(sender[a:b], minlength=len(sets) + 1))})
     return rows
 
 
@@ -166,22 +196,24 @@ def _shared_in_bucket(key: tuple, table: pa.Table) -> pa.Table:
     homes = table.column("home").to_pylist()
     tokens = [_tokens(_binary(table, "lo", i), _binary(table, "hi", i), 0)
               for i in range(len(homes))]
-    members = [np.frombuffer(_binary(table, "member", i), np.uint16) for i in range(len(homes))]
+    counts = [_unpack_counts(_binary(table, "member", i)) for i in range(len(homes))]
+    members = [np.repeat(np.arange(len(c)), c) for c in counts]
     every = np.concatenate(tokens)
     order = np.argsort(every, kind="stable")
     starts, many = _runs(every[order])
-    marked = np.concatenate(members)[order] == _MANY
-    shared_runs = (many > 1) | marked[starts]
+    marked = np.concatenate([m == len(c) - 1 for m, c in zip(members, counts, strict=True)])[order]
+    shared_runs = (many > 1) | np.logical_or.reduceat(marked, starts)
     shared = np.empty(len(every), bool)
     shared[order] = np.repeat(shared_runs, many)
     rows, at = [], 0
-    for home, token, member in zip(homes, tokens, members, strict=True):
-        keep = shared[at:at + len(token)] & (member != _MANY)
+    for home, token, member, count in zip(homes, tokens, members, counts, strict=True):
+        keep = shared[at:at + len(token)] & (member != len(count) - 1)
         at += len(token)
         if keep.any():
             lo, hi = _low(token[keep])
             rows.append({"home": home, "bucket": g, "lo": lo, "hi": hi,
-                         "member": member[keep].tobytes()})
+                         "member": _pack_counts(np.bincount(
+                             member[keep], minlength=len(count) - 1))})
     return _table(rows, _ANSWER)
 
 
@@ -190,7 +222,11 @@ def _needed(n: np.ndarray | int):
     return (3 * n + 3) // 4
 
 
-def _prune_home(table: pa.Table) -> pa.Table:
+def _prune(bits: int):
+    return lambda table: _prune_home(table, _width(bits))
+
+
+def _prune_home(table: pa.Table, width: int) -> pa.Table:
     """A row per document; the shared tokens of those that have enough, once for equal sets."""
     tokens, members, rows = [], [], []
     for i, bucket in enumerate(table.column("bucket").to_pylist()):
@@ -204,7 +240,8 @@ def _prune_home(table: pa.Table) -> pa.Table:
             members.append(np.frombuffer(_binary(table, "own_member", i), np.uint16))
         else:
             tokens.append(_tokens(_binary(table, "lo", i), _binary(table, "hi", i), bucket))
-            members.append(np.frombuffer(_binary(table, "member", i), np.uint16))
+            counts = _unpack_counts(_binary(table, "member", i))
+            members.append(np.repeat(np.arange(len(counts), dtype=np.uint16), counts))
     token, member = np.concatenate(tokens), np.concatenate(members)
     token = token[np.lexsort((token, member))]
     many = np.bincount(member, minlength=len(ids))
@@ -215,7 +252,7 @@ def _prune_home(table: pa.Table) -> pa.Table:
         body = None
         if active[i] and cids[i] not in carried:
             carried.add(cids[i])
-            body = token[ends[i] - many[i]:ends[i]].tobytes()
+            body = _pack(token[ends[i] - many[i]:ends[i]], width)
         rows.append({"doc_id": None if null else doc, "mark": marks[i], "n": int(sizes[i]),
                      "cid": cids[i], "active": bool(active[i]), "tokens": body})
     return _table(rows, _DOCS)
@@ -237,9 +274,10 @@ _LISTS_SQL = ("home long, bucket long, lo binary, hi binary, many binary, refs b
 _CLASSES = pa.schema([
     ("ref", pa.int64()), ("cid", pa.int64()), ("n", pa.int64()),
     ("near", pa.list_(pa.struct([("ref", pa.int64()), ("shared", pa.int64())]))),
-    ("open", pa.bool_()), ("tokens", pa.binary()), ("rare", pa.list_(pa.int64()))])
+    ("open", pa.bool_()), ("centre", pa.float64()), ("tokens", pa.binary()),
+    ("rare", pa.list_(pa.int64()))])
 _CLASSES_SQL = ("ref long, cid long, n long, near array<struct<ref:long,shared:long>>, "
-                "open boolean, tokens binary, rare array<long>")
+                "open boolean, centre double, tokens binary, rare array<long>")
 
 
 def _send_classes(bits: int):
@@ -247,11 +285,11 @@ def _send_classes(bits: int):
         ordinal = 0
         for batch in batches:
             cids, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            bodies = batch.column(2).to_pylist()
-            for a, b in _slices([len(x) for x in bodies]):
+            bodies = batch.column(2)
+            for a, b in _slices(pc.binary_length(bodies).to_pylist()):
                 home = _home_number(ordinal)
                 ordinal += 1
-                sets = [np.frombuffer(x, np.uint64) for x in bodies[a:b]]
+                sets = [_unpack(x, _width(bits)) for x in bodies[a:b].to_pylist()]
                 counts = np.array([len(s) for s in sets], np.int32)
                 every = np.concatenate(sets)
                 member = np.repeat(np.arange(b - a, dtype=np.uint16), counts)
@@ -264,7 +302,7 @@ def _send_classes(bits: int):
                 ends = np.cumsum(held)
                 rows = [{"g": -1 - home, "home": home, "cids": cids[a:b].tobytes(),
                          "sizes": sizes[a:b].tobytes(), "counts": counts.tobytes(),
-                         "tokens": every.tobytes()}]
+                         "tokens": _pack(every, _width(bits))}]
                 cuts = np.searchsorted(unique, np.arange(
                     (1 << bits) + 1, dtype=np.uint64) << np.uint64(LOW_BITS)).tolist()
                 for bucket in range(1 << bits):
@@ -323,8 +361,16 @@ def _lists_of_bucket(key: tuple, table: pa.Table) -> pa.Table:
     return _table(rows, _LISTS)
 
 
-def _merge_home(table: pa.Table) -> pa.Table:
-    """Counts occurrences in the lists of each class; see step 3 of the module."""
+def _merge(bits: int):
+    return lambda table: _merge_home(table, _width(bits))
+
+
+def _merge_home(table: pa.Table, width: int) -> pa.Table:
+    """Counts occurrences in the lists of each class; see step 3 of the module.
+
+    An open class also gets its centre, the mean logarithm of its lists' lengths: copies that many
+    others were made from come out highest.
+    """
     names, df, refs = [np.empty(0, np.uint64)], [np.empty(0, np.int32)], [np.empty(0, np.int64)]
     for i, bucket in enumerate(table.column("bucket").to_pylist()):
         if bucket is None:
@@ -332,7 +378,7 @@ def _merge_home(table: pa.Table) -> pa.Table:
             cids = np.frombuffer(_binary(table, "cids", i), np.int64).tolist()
             sizes = np.frombuffer(_binary(table, "sizes", i), np.int64)
             counts = np.frombuffer(_binary(table, "counts", i), np.int32)
-            every = np.frombuffer(_binary(table, "tokens", i), np.uint64)
+            every = _unpack(_binary(table, "tokens", i), width)
         else:
             names.append(_tokens(_binary(table, "lo", i), _binary(table, "hi", i), bucket))
             df.append(np.frombuffer(_binary(table, "many", i), np.int32))
@@ -351,7 +397,7 @@ def _merge_home(table: pa.Table) -> pa.Table:
         found = place < len(name)
         found[found] = name[place[found]] == own[found]
         own, place = own[found], place[found]
-        near, is_open, body, rare = [], False, None, None
+        near, is_open, body, rare, centre = [], False, None, None, None
         if len(own) >= need:
             size = held[place]
             long = many[place] > SHORT
@@ -366,25 +412,174 @@ def _merge_home(table: pa.Table) -> pa.Table:
                 most = short[1][short[0] != me].max(initial=0)
                 is_open = bool(long.sum() + most >= need)
         if is_open:
-            body = own.tobytes()
+            body = _pack(own, width)
+            centre = float(np.log2(many[place]).sum()) / n
             rarest = np.lexsort((own, many[place]))[:len(own) - need + 1]
             rare = own[rarest].astype(np.int64).tolist()
         rows.append({"ref": me, "cid": cid, "n": n, "near": near, "open": is_open,
-                     "tokens": body, "rare": rare})
+                     "centre": centre, "tokens": body, "rare": rare})
     return _table(rows, _CLASSES)
 
 
-@F.arrow_udf(T.LongType())
-def _overlap(left: pa.Array, right: pa.Array) -> pa.Array:
-    """Size of the intersection of two sorted sets: the smaller is searched in the larger."""
-    out = []
-    for a, b in zip(left.to_pylist(), right.to_pylist(), strict=True):
-        x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-        if len(x) > len(y):
-            x, y = y, x
-        place = np.minimum(np.searchsorted(y, x), len(y) - 1)
-        out.append(int((y[place] == x).sum()))
-    return pa.array(out, pa.int64())
+# Step 4: central classes of the long lists, one per component.
+_HUB_SENT = pa.schema([
+    ("g", pa.int64()), ("home", pa.int64()), ("lo", pa.binary()), ("hi", pa.binary()),
+    ("many", pa.binary()), ("roots", pa.binary()), ("refs", pa.binary()), ("centres", pa.binary()),
+    ("sizes", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary())])
+_HUB_SENT_SQL = ("g long, home long, lo binary, hi binary, many binary, roots binary, refs binary, "
+                 "centres binary, sizes binary, counts binary, tokens binary")
+_HUBS = pa.schema([
+    ("home", pa.int64()), ("bucket", pa.int64()), ("lo", pa.binary()), ("hi", pa.binary()),
+    ("many", pa.binary()), ("heads", pa.binary()), ("refs", pa.binary()), ("sizes", pa.binary()),
+    ("counts", pa.binary()), ("tokens", pa.binary())])
+_HUBS_SQL = ("home long, bucket long, lo binary, hi binary, many binary, heads binary, refs binary, "
+             "sizes binary, counts binary, tokens binary")
+_NEAR = pa.schema([("a", pa.int64()), ("n_a", pa.int64()), ("b", pa.int64()),
+                   ("shared", pa.int64())])
+
+
+def _heads(
+    token: np.ndarray, root: np.ndarray, ref: np.ndarray, centre: np.ndarray
+) -> tuple[np.ndarray, ...]:
+    """Of each token's entries the most central one of each component, ``SHORT`` at most."""
+    order = np.lexsort((ref, -centre, root, token))
+    token, root, ref, centre = token[order], root[order], ref[order], centre[order]
+    first = np.ones(len(token), bool)
+    first[1:] = (token[1:] != token[:-1]) | (root[1:] != root[:-1])
+    token, root, ref, centre = token[first], root[first], ref[first], centre[first]
+    order = np.lexsort((ref, -centre, token))
+    starts, many = _runs(token[order])
+    rank = np.arange(len(token)) - np.repeat(starts, many)
+    order = order[rank < SHORT]
+    return token[order], root[order], ref[order], centre[order]
+
+
+def _send_hubs(bits: int):
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ordinal = 0
+        for batch in batches:
+            refs, roots, sizes, centres = (batch.column(i).to_numpy() for i in range(4))
+            bodies = batch.column(4)
+            for a, b in _slices(pc.binary_length(bodies).to_pylist()):
+                home = _home_number(ordinal)
+                ordinal += 1
+                sets = [_unpack(x, _width(bits)) for x in bodies[a:b].to_pylist()]
+                counts = np.array([len(s) for s in sets], np.int32)
+                every = np.concatenate(sets)
+                token, root, ref, centre = _heads(
+                    every, np.repeat(roots[a:b], counts), np.repeat(refs[a:b], counts),
+                    np.repeat(centres[a:b], counts))
+                starts, many = _runs(token)
+                unique = token[starts]
+                rows = [{"g": -1 - home, "home": home, "refs": refs[a:b].tobytes(),
+                         "sizes": sizes[a:b].tobytes(), "counts": counts.tobytes(),
+                         "tokens": _pack(every, _width(bits))}]
+                cuts = np.searchsorted(unique, np.arange(
+                    (1 << bits) + 1, dtype=np.uint64) << np.uint64(LOW_BITS)).tolist()
+                places = np.concatenate([starts, [len(token)]])
+                for bucket in range(1 << bits):
+                    x, y = cuts[bucket], cuts[bucket + 1]
+                    if y > x:
+                        lo, hi = _low(unique[x:y])
+                        c, d = places[x], places[y]
+                        rows.append({
+                            "g": bucket, "home": home, "lo": lo, "hi": hi,
+                            "many": many[x:y].astype(np.uint8).tobytes(),
+                            "roots": root[c:d].tobytes(), "refs": ref[c:d].tobytes(),
+                            "centres": centre[c:d].astype(np.float32).tobytes()})
+                yield from _table(rows, _HUB_SENT).to_batches()
+
+    return send
+
+
+def _hubs_of_bucket(key: tuple, table: pa.Table) -> pa.Table:
+    """The heads of a bucket's tokens that several components hold, for each home that asked."""
+    g = key[0].as_py()
+    if g < 0:
+        out = table.add_column(1, "bucket", pa.nulls(len(table), pa.int64()))
+        out = out.append_column("heads", pa.nulls(len(table), pa.binary()))
+        return out.select(_HUBS.names).cast(_HUBS)
+    homes = table.column("home").to_pylist()
+    n = range(len(homes))
+    tokens = [_tokens(_binary(table, "lo", i), _binary(table, "hi", i), 0) for i in n]
+    many = [np.frombuffer(_binary(table, "many", i), np.uint8) for i in n]
+
+    def entries(name: str, kind: type) -> np.ndarray:
+        return np.concatenate([np.frombuffer(_binary(table, name, i), kind) for i in n])
+
+    token, root, ref, _ = _heads(
+        np.concatenate([np.repeat(t, m) for t, m in zip(tokens, many, strict=True)]),
+        entries("roots", np.int64), entries("refs", np.int64), entries("centres", np.float32))
+    starts, lengths = _runs(token)
+    names = token[starts]
+    rows = []
+    for home, asked in zip(homes, tokens, strict=True):
+        place = np.searchsorted(names, asked)
+        keep = lengths[place] > 1
+        place = place[keep]
+        if not len(place):
+            continue
+        size = lengths[place]
+        index = np.repeat(starts[place] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        lo, hi = _low(asked[keep])
+        rows.append({"home": home, "bucket": g, "lo": lo, "hi": hi,
+                     "many": size.astype(np.uint8).tobytes(), "heads": ref[index].tobytes()})
+    return _table(rows, _HUBS)
+
+
+def _count_hubs(bits: int):
+    return lambda table: _count_heads(table, _width(bits))
+
+
+def _count_heads(table: pa.Table, width: int) -> pa.Table:
+    """Pairs of a class and a head that meet in as many lists as the class needs."""
+    names, many, heads = [np.empty(0, np.uint64)], [np.empty(0, np.uint8)], [np.empty(0, np.int64)]
+    for i, bucket in enumerate(table.column("bucket").to_pylist()):
+        if bucket is None:
+            refs = np.frombuffer(_binary(table, "refs", i), np.int64).tolist()
+            sizes = np.frombuffer(_binary(table, "sizes", i), np.int64)
+            counts = np.frombuffer(_binary(table, "counts", i), np.int32)
+            every = _unpack(_binary(table, "tokens", i), width)
+        else:
+            names.append(_tokens(_binary(table, "lo", i), _binary(table, "hi", i), bucket))
+            many.append(np.frombuffer(_binary(table, "many", i), np.uint8))
+            heads.append(np.frombuffer(_binary(table, "heads", i), np.int64))
+    name, held, head = np.concatenate(names), np.concatenate(many), np.concatenate(heads)
+    held = held.astype(np.int64)
+    starts = np.cumsum(held) - held
+    order = np.argsort(name, kind="stable")
+    name, held, starts = name[order], held[order], starts[order]
+    rows, end = [], 0
+    for ref, n, count in zip(refs, sizes.tolist(), counts.tolist(), strict=True):
+        own = every[end:end + count]
+        end += count
+        place = np.searchsorted(name, own)
+        place = place[place < len(name)]
+        own = own[:len(place)]
+        place = place[name[place] == own]
+        size = held[place]
+        index = np.repeat(starts[place] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        partner, seen = np.unique(head[index], return_counts=True)
+        close = (seen >= _needed(n)) & (partner != ref)
+        rows += [{"a": ref, "n_a": n, "b": b, "shared": k} for b, k in
+                 zip(partner[close].tolist(), seen[close].tolist(), strict=True)]
+    return _table(rows, _NEAR)
+
+
+def _overlap(width: int):
+    @F.arrow_udf(T.LongType())
+    def overlap(left: pa.Array, right: pa.Array) -> pa.Array:
+        """Size of the intersection of two sorted sets: the smaller is searched in the larger."""
+        out = []
+        for a, b in zip(left.to_pylist(), right.to_pylist(), strict=True):
+            x, y = _unpack(a, width), _unpack(b, width)
+            if len(x) > len(y):
+                x, y = y, x
+            place = np.minimum(np.searchsorted(y, x), len(y) - 1)
+            out.append(int((y[place] == x).sum()))
+        return pa.array(out, pa.int64())
+
+    return overlap
 
 
 def _linked(shared: str, n: str, other: str):
@@ -394,8 +589,8 @@ def _linked(shared: str, n: str, other: str):
 
 def _classes(active: DataFrame, bits: int) -> DataFrame:
     """One row per distinct set: cid, n, tokens, sorted by cid within a partition."""
-    return active.groupBy("cid").agg(
-        F.min("n").alias("n"), F.first("tokens", ignorenulls=True).alias("tokens"),
+    return active.where("tokens IS NOT NULL").groupBy("cid").agg(
+        F.min("n").alias("n"), F.first("tokens").alias("tokens"),
     ).select("cid", "n", "tokens").mapInArrow(_send_classes(bits), _CLASS_SENT_SQL)
 
 
@@ -404,30 +599,50 @@ def _links(active: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
     merged = cut_lineage(
         _classes(active, bits)
         .groupBy("g").applyInArrow(_lists_of_bucket, _LISTS_SQL)
-        .groupBy("home").applyInArrow(_merge_home, _CLASSES_SQL))
+        .groupBy("home").applyInArrow(_merge(bits), _CLASSES_SQL))
     sizes = merged.select(F.col("ref").alias("b"), F.col("n").alias("n_b"))
     proven = cut_lineage(
         merged.select(F.col("ref").alias("a"), F.col("n").alias("n_a"), F.inline("near"))
         .withColumnRenamed("ref", "b").join(sizes, "b")
         .where(_linked("shared", "n_a", "n_b")).select("a", "b"))
-    roots = components(proven)
-    # Long lists: what the rarest tokens of open classes still hold across components.
-    opened = merged.where("open").join(roots, F.col("ref") == F.col("node"), "left").select(
-        "ref", "n", "rare", F.coalesce("root", "ref").alias("root"))
-    rare = cut_lineage(opened.select("ref", "n", "root", F.explode("rare").alias("token")))
-    mixed = rare.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(
-        "lo < hi").select("token")
-    left = rare.join(mixed, "token")
+    opened = merged.where("open")
+    before = None
+    while True:
+        roots = components(proven)
+        rooted = opened.join(roots, F.col("ref") == F.col("node"), "left").select(
+            "ref", "n", "centre", F.coalesce("root", "ref").alias("root"), "rare", "tokens")
+        rare = rooted.select("ref", "n", "root", F.explode("rare").alias("token"))
+        # Lists of the rarest tokens that still hold several components.
+        per_root = rare.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"))
+        mixed = cut_lineage(per_root.groupBy("token").agg(
+            F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("same"),
+            F.count(F.lit(1)).alias("roots")).where("roots > 1"))
+        rows, pairs = mixed.agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("same")) / 2)
+                                ).first()
+        # Another round pays while pairs outnumber rows and rounds still join components. It only
+        # spares pairs from being compared: what it does not join, the comparison below finds.
+        if not rows or pairs <= rows or (before and pairs > 0.7 * before):
+            break
+        before = pairs
+        asking = rare.join(mixed.select("token"), "token").select("ref").distinct()
+        near = (
+            rooted.join(asking, "ref").select("ref", "root", "n", "centre", "tokens")
+            .mapInArrow(_send_hubs(bits), _HUB_SENT_SQL)
+            .groupBy("g").applyInArrow(_hubs_of_bucket, _HUBS_SQL)
+            .groupBy("home").applyInArrow(_count_hubs(bits), "a long, n_a long, b long, shared long"))
+        found = near.join(sizes, "b").where(_linked("shared", "n_a", "n_b")).select("a", "b")
+        proven = cut_lineage(proven.union(found))
+    left = rare.join(mixed.select("token"), "token")
     right = left.select("token", *[F.col(c).alias(f"{c}_b") for c in ("ref", "n", "root")])
     met = cut_lineage(
         left.join(right, "token")
         .where("root < root_b AND 4 * n >= 3 * n_b AND 4 * n_b >= 3 * n")
         .select(F.col("ref").alias("a"), "n", F.col("ref_b").alias("b"), "n_b").distinct())
-    sets = merged.where("open").select("ref", "tokens")
+    sets = opened.select("ref", "tokens")
     probed = (
         met.join(sets.select(F.col("ref").alias("a"), F.col("tokens").alias("set_a")), "a")
         .join(sets.select(F.col("ref").alias("b"), F.col("tokens").alias("set_b")), "b")
-        .withColumn("shared", _overlap("set_a", "set_b"))
+        .withColumn("shared", _overlap(_width(bits))("set_a", "set_b"))
         .where(_linked("shared", "n", "n_b")).select("a", "b"))
     return merged.select("ref", "cid"), proven.union(probed)
 
@@ -440,7 +655,7 @@ def _grouped(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
         docs.select(F.col(key).cast("long"), F.col(text), F.xxhash64(key, text))
         .mapInArrow(_send_documents(bits, width), _SENT_SQL)
         .groupBy("g").applyInArrow(_shared_in_bucket, _ANSWER_SQL)
-        .groupBy("home").applyInArrow(_prune_home, _DOCS_SQL))
+        .groupBy("home").applyInArrow(_prune(bits), _DOCS_SQL))
     classes, links = _links(rows.where("active"), bits)
     rooted = classes.join(components(links), F.col("ref") == F.col("node"), "left").select(
         F.col("cid").alias("set"), F.coalesce("root", "ref").alias("root"))
