@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from vigilbus.llm.registry import QUERIES, query, table
 __all__ = ["QUERIES"]
 
 SHARDS = 8
+#: File of a public tokenizer; another one can be named in the environment.
+VOCABULARY = os.environ.get("UNIGRAM_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
 
 
 @query("op2_jump_hash_shards", sql.JUMP_SHARDS)
@@ -71,3 +75,45 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *[count(k).alias(f"n_{k}") for k in KINDS],
         F.sha2(span_list(base), 256).alias("base_sha256"),
         span_list(F.col("spans")).alias("spans"))
+
+
+@query("op10_radix_suffix_dedup", sql.REPEATED_BYTES)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilbus.llm.suffix_dedup import remove_repeats
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs, keep_bytes=False).drop("kept")
+
+
+@query("op5_trie_token_counts")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilbus.llm.token_counts import count_tokens, unigram_scores
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = count_tokens(spark, docs, unigram_scores(VOCABULARY))
+    return counted.select("doc_id", "n_pretokens", "n_tokens")
+
+
+@query("op8_multi_index_hashing", sql.NEAREST_CODES)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilbus.llm.hamming import search
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return search(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
+@query("op1_bayes_language_fusion")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all pages and of all documents; a document's source stands for its host."""
+    from vigilbus.llm.langid import identify, page_evidence, train
+
+    docs = table(spark, sf_dir, "documents")
+    nothing = F.lit(None).cast("string")
+    pages = page_evidence(table(spark, sf_dir, "pages")).select(
+        nothing.cast("long").alias("doc_id"), "page_id", "evidence_text", "host", "domain",
+        "suffix", "markup")
+    texts = docs.select(
+        "doc_id", nothing.cast("long").alias("page_id"), F.col("text").alias("evidence_text"),
+        F.col("source").alias("host"), nothing.alias("domain"), nothing.alias("suffix"),
+        nothing.alias("markup"))
+    return identify(pages.union(texts), train(docs), ["doc_id", "page_id"])

@@ -117,3 +117,45 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
 FROM documents d LEFT JOIN sizes USING (doc_id)
 JOIN (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id) USING (doc_id)
 """
+
+# The bytes of a text as a string of hexadecimal digits, two a byte.
+REPEATED_BYTES = """
+WITH raw AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n
+             FROM documents),
+starts AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS w
+           FROM (SELECT doc_id, h, unnest(range(n - 49)) AS i FROM raw WHERE n >= 50)),
+least AS (SELECT w, min(doc_id) AS low FROM starts GROUP BY w HAVING count(*) > 1),
+hit AS (SELECT doc_id, i FROM starts JOIN least USING (w) WHERE doc_id > low),
+marked AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM hit),
+spans AS (
+  SELECT doc_id, min(i) AS s, max(i) + 50 AS e
+  FROM (SELECT doc_id, i, sum(CASE WHEN gap <= 50 THEN 0 ELSE 1 END)
+          OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked)
+  GROUP BY doc_id, run),
+cuts AS (
+  SELECT doc_id, s, e, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY s) AS from_byte FROM spans),
+kept AS (
+  SELECT doc_id, sum(e - s) AS n_removed, count(*) AS n_spans, max(e) AS tail,
+    string_agg(substr(h, 2 * from_byte + 1, 2 * (s - from_byte)), '' ORDER BY s) AS body
+  FROM cuts JOIN raw USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+  coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(body || substr(h, 2 * tail + 1), h))) AS kept_sha256
+FROM raw LEFT JOIN kept USING (doc_id)
+"""
+
+NEAREST_CODES = """
+WITH bits AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS b
+  FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL),
+codes AS (
+  SELECT vec_id, list_sum(list_transform(range(len(b)),
+    lambda i: b[i + 1]::UBIGINT::HUGEINT << i::INT))::UBIGINT AS code FROM bits),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS neighbour_id, bit_count(xor(q.code, c.code))::INT AS distance
+  FROM codes q CROSS JOIN codes c WHERE q.vec_id % 100 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id)::INT AS rank,
+  neighbour_id, distance
+FROM pairs
+QUALIFY rank <= 10
+"""
