@@ -57,20 +57,36 @@ def dump(body: dict) -> bytes:
     return pickle.dumps(body, protocol=5)
 
 
-def squeeze(array: np.ndarray | bytes) -> tuple[bytes, int]:
-    data = bytes(array) if isinstance(array, bytes) else array.tobytes()
-    return pa.compress(data, codec="zstd", asbytes=True), len(data)
+def squeeze(array: np.ndarray) -> tuple[bytes, int]:
+    data = array.tobytes()
+    return pa.Codec("zstd", compression_level=5).compress(data, asbytes=True), len(data)
 
 
 def expand(packed: tuple[bytes, int], kind: type = np.uint8) -> np.ndarray:
     return np.frombuffer(pa.decompress(packed[0], packed[1], codec="zstd", asbytes=True), kind)
 
 
+def cut(values: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of 64-bit values."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def uncut(body: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(body) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(body, np.uint8).reshape(-1, width)
+    return out.view(np.uint64).ravel()
+
+
 def sent(rows: Iterator[tuple[int, int, dict]]) -> Iterator[pa.RecordBatch]:
     for g, home, body in rows:
         yield pa.RecordBatch.from_pylist([{"g": g, "home": home, "body": dump(body)}], _SENT)
 
 
+def own_row(home: int, kind: int, body: dict) -> pa.RecordBatch:
+    """A row that goes to its home directly, as the answer of ``kind``, a negative bucket."""
+    return pa.RecordBatch.from_pylist([{"home": home, "bucket": kind, "body": dump(body)}], _ANSWER)
+
+
 def _in_bucket(answer: Callable[[list[tuple[int, dict]]], Rows]):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         g = key[0].as_py()
@@ -86,25 +102,30 @@ def _in_bucket(answer: Callable[[list[tuple[int, dict]]], Rows]):
     return run
 
 
-def _at_home(step: Callable[[int, dict, dict[int, dict]], Iterator[tuple[int, int, dict]]],
-             finish: Callable[[int, dict, dict[int, dict]], pa.Table] | None):
+def _at_home(step: Callable, whole: bool):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         home = key[0].as_py()
         bodies = {b: pickle.loads(x) for b, x in zip(
             table.column("bucket").to_pylist(), table.column("body").to_pylist(), strict=True)}
-        own = bodies.pop(-1)
-        if finish:
-            return finish(home, own, bodies)
+        if whole:
+            return step(home, bodies)
         return pa.Table.from_pylist(
-            [{"g": g, "home": h, "body": dump(b)} for g, h, b in step(home, own, bodies)], _SENT)
+            [{"g": g, "home": h, "body": dump(b)} for g, h, b in step(home, bodies)], _SENT)
 
     return run
 
 
 def exchange(
-    rows: DataFrame, answer: Callable, step: Callable | None = None,
-    finish: Callable | None = None, schema: str = SENT_SQL,
+    rows: DataFrame, answer: Callable, step: Callable, own: DataFrame | None = None,
+    schema: str | None = None,
 ) -> DataFrame:
-    """Buckets answer what homes asked; homes go on with their own row and the answers."""
-    return rows.groupBy("g").applyInArrow(_in_bucket(answer), ANSWER_SQL).groupBy(
-        "home").applyInArrow(_at_home(step, finish), schema)
+    """Buckets answer what homes asked; homes go on with the answers and their own rows.
+
+    ``step`` gets a home and its bodies by bucket (own rows under negative numbers) and yields
+    rows for the next exchange or, with a ``schema``, returns a table of it.
+    """
+    answers = rows.groupBy("g").applyInArrow(_in_bucket(answer), ANSWER_SQL)
+    if own is not None:
+        answers = answers.union(own)
+    return answers.groupBy("home").applyInArrow(
+        _at_home(step, schema is not None), schema or SENT_SQL)

@@ -81,8 +81,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigilbus.llm.suffix_dedup import remove_repeats
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return remove_repeats(docs, keep_bytes=False).drop("kept")
+    return remove_repeats(table(spark, sf_dir, "documents"), keep_bytes=False).drop("kept")
 
 
 @query("op5_trie_token_counts")

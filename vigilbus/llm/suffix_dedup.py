@@ -18,9 +18,9 @@ combined within a slice first, so a string that very many documents hold costs o
 Bytes of windows that also start in a document of smaller id are removed.
 
 Defined cases: a null text is empty; texts under 50 bytes keep everything; equal ids are not
-smaller than each other; a null id is larger than any other; rows equal in id and text are treated
-alike; an empty table gives an empty result; only the id and text columns are read. Windows are
-compared by 64 bits of hash, anchors and their surroundings by 40 and 64.
+smaller than each other; a null id is larger than any other; rows equal in id and text keep the
+same bytes; an empty table gives an empty result; only the id and text columns are read. Windows are
+compared by 56 bits of hash or more, one more for each doubling of the input, runs by 88.
 """
 
 import hashlib
@@ -43,10 +43,14 @@ HOME_ROWS = 50_000
 BUCKET_BYTES = 4 << 20
 _LOW = 32
 _NO_ID = 2**63 - 1
+WINDOW_BYTES = 6
 _BASE = 0x9E3779B97F4A7C15
 _VALUE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE)) | np.uint64(1)
-RUNS_SQL = "mark long, removed binary"
-_RUNS = pa.schema([("mark", pa.int64()), ("removed", pa.binary())])
+TEXT, OWN = -2, -1  # buckets under which a home gets its text and what it kept
+_CUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
+                  ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+_CUT_SQL = ("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
+            "kept binary")
 
 
 def rolling(raw: np.ndarray, n: int) -> np.ndarray:
@@ -105,14 +109,20 @@ def _smallest(place: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _gathered(answers: dict[int, dict], keys: np.ndarray, bits: int, low: int, kind: type):
-    """Answers to sorted keys, in their order."""
-    out = np.zeros(len(keys), kind)
+def _gathered(answers: dict[int, dict], keys: np.ndarray, bits: int, low: int) -> np.ndarray:
+    """Two-bit answers to sorted keys, in their order."""
+    out = np.zeros(len(keys), np.uint8)
     for bucket, a, b in packed.by_bucket(keys, bits, low):
-        out[a:b] = answers[bucket]["answer"]
+        both = np.unpackbits(answers[bucket]["answer"], count=2 * (b - a))
+        out[a:b] = both[::2] * 2 + both[1::2]
     return out
 
 
+def _told(answer: np.ndarray) -> np.ndarray:
+    """Answers 0 to 2 as two bits each."""
+    return np.packbits(np.stack([answer >> 1, answer & 1], axis=1).astype(np.uint8))
+
+
 def _masked(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """The bytes of runs; zero elsewhere."""
     steps = np.zeros(len(raw) + 1, np.int32)
@@ -122,35 +132,46 @@ def _masked(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 
 # Digit 1: anchors.
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict]]:
+    """Slices of documents, named by the number of their first row in the scan. They are the same
+    in each scan of a table; ``check`` tells."""
+    for batch in batches:
+        ids, texts, row = batch.columns
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+        for a, b in packed.slices(sizes, HOME_BYTES, HOME_ROWS):
+            bodies = [(t or "").encode("utf-8", "surrogatepass") for t in texts[a:b].to_pylist()]
+            raw = b"".join(bodies)
+            yield row[a].as_py(), {
+                "ids": pc.fill_null(ids[a:b], _NO_ID).to_numpy(),
+                "nulls": ids[a:b].is_null().to_numpy(zero_copy_only=False),
+                "ends": np.cumsum([len(x) for x in bodies]), "raw": np.frombuffer(raw, np.uint8),
+                "check": xxhash.xxh3_64_intdigest(raw)}
+
+
+def _send_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for home, body in _scan(batches):
+        body["text"] = packed.squeeze(body.pop("raw"))
+        yield packed.own_row(home, TEXT, body)
+
+
 def _send_anchors(bits: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ordinal = 0
-        for batch in batches:
-            ids, texts, marks = batch.columns
-            sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
-            for a, b in packed.slices(sizes, HOME_BYTES, HOME_ROWS):
-                home = packed.home_number(ordinal)
-                ordinal += 1
-                yield from packed.sent(_anchor_rows(
-                    ids[a:b], texts[a:b].to_pylist(), marks[a:b].to_numpy(), home, bits))
+        for home, body in _scan(batches):
+            yield from packed.sent(_anchor_rows(home, body, bits))
 
     return send
 
 
-def _anchor_rows(ids: pa.Array, texts: list, marks: np.ndarray, home: int, bits: int):
-    bodies = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    ends = np.cumsum([len(b) for b in bodies])
-    raw = np.frombuffer(b"".join(bodies), np.uint8)
-    anchors, _, _, doc = anchor_runs(raw, ends)
-    numbers = pc.fill_null(ids, _NO_ID).to_numpy()
+def _anchor_rows(home: int, body: dict, bits: int):
+    anchors, _, _, doc = anchor_runs(body["raw"], body["ends"])
+    numbers = body["ids"][doc]
     key, place = np.unique(_keys(anchors, bits), return_inverse=True)
-    low = _smallest(place, numbers[doc], len(key))
+    low = _smallest(place, numbers, len(key))
     several = np.zeros(len(key), bool)
-    several[place[numbers[doc] > low[place]]] = True
+    several[place[numbers > low[place]]] = True
     for bucket, a, b in packed.by_bucket(key, bits, _LOW):
-        yield bucket, home, {"key": key[a:b].astype(np.uint32), "several": np.packbits(several[a:b])}
-    yield -1 - home, home, {"ids": numbers, "marks": marks, "ends": ends,
-                            "text": packed.squeeze(raw)}
+        yield bucket, home, {"key": key[a:b].astype(np.uint32), "check": body["check"],
+                             "several": np.packbits(several[a:b])}
 
 
 def _shared_anchors(asked: list[tuple[int, dict]]) -> packed.Rows:
@@ -160,9 +181,11 @@ def _shared_anchors(asked: list[tuple[int, dict]]) -> packed.Rows:
     several = np.concatenate([
         np.unpackbits(body["several"], count=len(k)) for k, (_, body) in zip(keys, asked, strict=True)])
     shared[place[several > 0]] = True
+    asked_check = {home: body["check"] for home, body in asked}
     at = 0
     for key, (home, _) in zip(keys, asked, strict=True):
-        yield home, {"answer": shared[place[at:at + len(key)]]}
+        yield home, {"answer": _told(shared[place[at:at + len(key)]].astype(np.uint8)),
+                     "check": asked_check[home]}
         at += len(key)
 
 
@@ -177,28 +200,34 @@ def _entries(run: np.ndarray, key: np.ndarray, numbers: np.ndarray):
     return key[order][new], run[order][new], place, _smallest(place, numbers, int(new.sum()))
 
 
+def _runs_of(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each run of windows."""
+    view = memoryview(raw)
+    return np.fromiter((xxhash.xxh3_64_intdigest(view[a:b + DEPTH]) >> 16
+                        for a, b in zip(first.tolist(), last.tolist(), strict=True)),
+                       np.uint64, len(first))
+
+
 def _send_runs(bits: int):
-    def step(home: int, own: dict, answers: dict[int, dict]):
+    def step(home: int, bodies: dict[int, dict]):
+        own = bodies.pop(TEXT)
+        if any(b["check"] != own["check"] for b in bodies.values()):
+            raise RuntimeError("the documents changed between two scans; write them to a table first")
         raw = packed.expand(own["text"])
         anchors, first, last, doc = anchor_runs(raw, own["ends"])
         keys = _keys(anchors, bits)
         unique, place = np.unique(keys, return_inverse=True)
-        keep = _gathered(answers, unique, bits, _LOW, bool)[place]
+        keep = _gathered(bodies, unique, bits, _LOW)[place] > 0
         keys, first, last, doc = keys[keep], first[keep], last[keep], doc[keep]
-        view = memoryview(raw)
-        run = np.fromiter(
-            (xxhash.xxh3_64_intdigest(view[a:b + DEPTH])
-             for a, b in zip(first.tolist(), last.tolist(), strict=True)), np.uint64, len(first))
-        key, run, place, low = _entries(run, keys, own["ids"][doc])
+        key, run, place, low = _entries(_runs_of(raw, first, last), keys, own["ids"][doc])
         for bucket, a, b in packed.by_bucket(key, bits, _LOW):
-            yield bucket, home, {"key": key[a:b].astype(np.uint32), "run": run[a:b], "id": low[a:b]}
+            yield bucket, home, {"key": key[a:b].astype(np.uint32),
+                                 "run": packed.cut(run[a:b], 6), "id": _short(low[a:b])}
         yield -1 - home, home, {
-            "ids": own["ids"], "marks": own["marks"], "ends": own["ends"],
+            "ids": own["ids"], "ends": own["ends"],
             "text": packed.squeeze(_masked(raw, first, last)),
-            "first": packed.squeeze(first.astype(np.uint32)),
-            "last": packed.squeeze(last.astype(np.uint32)),
-            "place": packed.squeeze(place.astype(np.uint32)),
-            "key": packed.squeeze((key >> np.uint64(_LOW)).astype(np.uint16 if bits <= 16 else np.uint64))}
+            "first": packed.squeeze(np.diff(first, prepend=0).astype(np.uint32)),
+            "more": packed.squeeze((last - first).astype(np.uint32))}
 
     return step
 
@@ -206,15 +235,15 @@ def _send_runs(bits: int):
 def _first_runs(asked: list[tuple[int, dict]]) -> packed.Rows:
     """1: repeats a smaller document; 2: first, and its anchor has other surroundings; 0: done."""
     key = np.concatenate([b["key"] for _, b in asked])
-    run = np.concatenate([b["run"] for _, b in asked])
-    ids = np.concatenate([b["id"] for _, b in asked])
+    run = np.concatenate([packed.uncut(b["run"], 6) for _, b in asked])
+    ids = np.concatenate([_long(b["id"]) for _, b in asked])
     names, _, place, low = _entries(run, key, ids)
     starts, many = packed.runs(names)
     surroundings = np.repeat(many, many)
     answer = np.where(ids > low[place], 1, np.where(surroundings[place] > 1, 2, 0)).astype(np.uint8)
     at = 0
     for home, body in asked:
-        yield home, {"answer": answer[at:at + len(body["key"])]}
+        yield home, {"answer": _told(answer[at:at + len(body["key"])])}
         at += len(body["key"])
 
 
@@ -230,26 +259,29 @@ def _windows(raw: np.ndarray, first: np.ndarray, last: np.ndarray, numbers: np.n
 
 
 def _send_windows(bits: int):
-    def step(home: int, own: dict, answers: dict[int, dict]):
+    def step(home: int, bodies: dict[int, dict]):
+        own = bodies.pop(OWN)
         raw = packed.expand(own["text"])
-        first = packed.expand(own["first"], np.uint32).astype(np.int64)
-        last = packed.expand(own["last"], np.uint32).astype(np.int64)
-        place = packed.expand(own["place"], np.uint32)
-        bucket = packed.expand(own["key"], np.uint16 if bits <= 16 else np.uint64).astype(np.uint64)
+        first = np.cumsum(packed.expand(own["first"], np.uint32), dtype=np.int64)
+        last = first + packed.expand(own["more"], np.uint32)
         numbers = own["ids"][np.searchsorted(own["ends"], first, "right")]
-        state = _gathered(answers, bucket << np.uint64(_LOW), bits, _LOW, np.uint8)
-        low = _smallest(place, numbers, len(state))
+        keys = _keys(_least(rolling(raw, ANCHOR), DEPTH - ANCHOR + 1)[first], bits) if len(
+            first) else np.empty(0, np.uint64)
+        key, _, place, low = _entries(_runs_of(raw, first, last), keys, numbers)
+        state = _gathered(bodies, key, bits, _LOW)
         repeated = (state[place] == 1) | (numbers > low[place])
         opened = ~repeated & (state[place] == 2)
         a, b = first[opened], last[opened]
         _, _, unique, least, _ = _windows(raw, a, b, numbers[opened])
         for g, x, y in packed.by_bucket(unique, bits, 64 - bits):
-            yield g, home, {"window": unique[x:y].view(np.uint8).reshape(-1, 8)[:, :7].tobytes(),
+            yield g, home, {"window": packed.cut(unique[x:y], WINDOW_BYTES),
                             "id": _short(least[x:y])}
         yield -1 - home, home, {
-            "ids": own["ids"], "marks": own["marks"], "ends": own["ends"],
-            "text": packed.squeeze(_masked(raw, a, b)), "first": a, "last": b,
-            "start": first[repeated], "end": last[repeated] + DEPTH}
+            "ids": own["ids"], "ends": own["ends"], "text": packed.squeeze(_masked(raw, a, b)),
+            "first": packed.squeeze(np.diff(a, prepend=0).astype(np.uint32)),
+            "more": packed.squeeze((b - a).astype(np.uint32)),
+            "gone": packed.squeeze(np.packbits(_masked(
+                np.ones(len(raw), np.uint8), first[repeated], last[repeated])))}
 
     return step
 
@@ -260,86 +292,67 @@ def _short(ids: np.ndarray) -> tuple[int, np.ndarray]:
     return (base, (ids - base).astype(np.uint32)) if int(ids.max()) - base < 2**32 else (0, ids)
 
 
+def _long(short: tuple[int, np.ndarray]) -> np.ndarray:
+    return short[0] + short[1].astype(np.int64)
+
+
 def _smaller_windows(asked: list[tuple[int, dict]]) -> packed.Rows:
     """Whether a window also starts in a smaller document than the home's."""
-    windows, ids = [], []
-    for _, body in asked:
-        out = np.zeros((len(body["window"]) // 7, 8), np.uint8)
-        out[:, :7] = np.frombuffer(body["window"], np.uint8).reshape(-1, 7)
-        windows.append(out.view(np.uint64).ravel())
-        ids.append(body["id"][0] + body["id"][1].astype(np.int64))
+    windows = [packed.uncut(body["window"], WINDOW_BYTES) for _, body in asked]
+    ids = [_long(body["id"]) for _, body in asked]
     _, place = np.unique(np.concatenate(windows), return_inverse=True)
     every = np.concatenate(ids)
     answer = every > _smallest(place, every, int(place.max()) + 1)[place]
     at = 0
     for (home, _), mine in zip(asked, ids, strict=True):
-        yield home, {"answer": answer[at:at + len(mine)]}
+        yield home, {"answer": _told(answer[at:at + len(mine)].astype(np.uint8))}
         at += len(mine)
 
 
-def _removed(bits: int):
-    def finish(home: int, own: dict, answers: dict[int, dict]) -> pa.Table:
-        """The removed runs of each document that has any, as pairs of 64-bit numbers."""
-        raw, ends = packed.expand(own["text"]), own["ends"]
-        numbers = own["ids"][np.searchsorted(ends, own["first"], "right")]
-        start, place, unique, least, of = _windows(raw, own["first"], own["last"], numbers)
-        smaller = _gathered(answers, unique, bits, 64 - bits, bool)
+def _finish(bits: int, keep_bytes: bool):
+    def step(home: int, bodies: dict[int, dict]) -> pa.Table:
+        """What is left of each document of a home."""
+        own, whole = bodies.pop(OWN), bodies.pop(TEXT)
+        masked, ends = packed.expand(own["text"]), own["ends"]
+        first = np.cumsum(packed.expand(own["first"], np.uint32), dtype=np.int64)
+        last = first + packed.expand(own["more"], np.uint32)
+        numbers = own["ids"][np.searchsorted(ends, first, "right")]
+        start, place, unique, least, of = _windows(masked, first, last, numbers)
+        smaller = _gathered(bodies, unique, bits, 64 - bits) > 0
         gone = start[smaller[place] | (of > least[place])]
-        steps = np.zeros(len(raw) + 1, np.int32)
-        np.add.at(steps, np.concatenate([own["start"], gone]), 1)
-        np.add.at(steps, np.concatenate([own["end"], gone + DEPTH]), -1)
-        covered = np.cumsum(steps[:-1]) > 0
+        raw = packed.expand(whole["text"])
+        covered = np.unpackbits(packed.expand(own["gone"]), count=len(raw)).astype(bool)
+        covered |= _masked(np.ones(len(raw), np.uint8), gone, gone) > 0
         rows, begin = [], 0
-        for mark, end in zip(own["marks"].tolist(), ends.tolist(), strict=True):
-            edges = np.flatnonzero(np.diff(covered[begin:end], prepend=False, append=False))
-            if len(edges):
-                rows.append({"mark": mark, "removed": edges.astype(np.int64).tobytes()})
+        for doc, null, end in zip(whole["ids"].tolist(), whole["nulls"].tolist(), ends.tolist(),
+                                  strict=True):
+            out = covered[begin:end]
+            kept = raw[begin:end][~out].tobytes()
+            rows.append({
+                "doc_id": None if null else doc, "n_bytes": end - begin,
+                "n_removed": end - begin - len(kept),
+                "n_spans": int(np.count_nonzero(np.diff(out, prepend=False) & out)),
+                "kept_sha256": hashlib.sha256(kept).hexdigest(),
+                "kept": kept if keep_bytes else None})
             begin = end
-        return pa.Table.from_pylist(rows, _RUNS)
+        return pa.Table.from_pylist(rows, _CUT)
 
-    return finish
+    return step
 
 
-def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """mark (hash of id and text), removed ([start, end) byte runs) of documents that lose bytes."""
+def remove_repeats(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", keep_bytes: bool = True
+) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes of every row.
+
+    ``docs`` is scanned three times and must give the same rows each time, as a table does.
+    """
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     bits = max(8, int(size // BUCKET_BYTES).bit_length())
-    rows = docs.select(F.col(key).cast("long"), F.col(text), F.xxhash64(key, text)).mapInArrow(
-        _send_anchors(bits), packed.SENT_SQL)
-    rows = packed.exchange(rows, _shared_anchors, _send_runs(bits))
+    narrow = docs.select(F.col(key).cast("long"), F.col(text), F.monotonically_increasing_id())
+    texts = narrow.mapInArrow(_send_texts, packed.ANSWER_SQL)
+    rows = narrow.mapInArrow(_send_anchors(bits), packed.SENT_SQL)
+    rows = packed.exchange(rows, _shared_anchors, _send_runs(bits), own=texts)
     rows = packed.exchange(rows, _first_runs, _send_windows(bits))
     return packed.exchange(
-        rows, _smaller_windows, finish=_removed(bits), schema=RUNS_SQL).dropDuplicates(["mark"])
-
-
-_CUT = pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
-                  ("kept_sha256", pa.string()), ("kept", pa.binary())])
-_CUT_SQL = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-
-
-def _cutter(keep_bytes: bool):
-    @F.arrow_udf(_CUT_SQL)
-    def cut(texts: pa.Array, removed: pa.Array) -> pa.Array:
-        out = []
-        for text, gone in zip(texts.to_pylist(), removed.to_pylist(), strict=True):
-            raw = (text or "").encode("utf-8", "surrogatepass")
-            edges = np.frombuffer(gone or b"", np.int64).tolist()
-            kept = b"".join(raw[a:b] for a, b in zip(
-                [0, *edges[1::2]], [*edges[::2], len(raw)], strict=True))
-            out.append({"n_bytes": len(raw), "n_removed": len(raw) - len(kept),
-                        "n_spans": len(edges) // 2,
-                        "kept_sha256": hashlib.sha256(kept).hexdigest(),
-                        "kept": kept if keep_bytes else None})
-        return pa.array(out, _CUT)
-
-    return cut
-
-
-def remove_repeats(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", keep_bytes: bool = True
-) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes of every row."""
-    runs = repeated_runs(docs, key, text)
-    marked = docs.select(F.col(key), F.col(text).alias("body"), F.xxhash64(key, text).alias("of"))
-    return marked.join(runs, F.col("of") == F.col("mark"), "left").select(
-        key, _cutter(keep_bytes)("body", "removed").alias("cut")).select(key, "cut.*")
+        rows, _smaller_windows, _finish(bits, keep_bytes), own=texts, schema=_CUT_SQL)
