@@ -11,11 +11,12 @@ least 0.75, so each holds T = ceil(0.75 n) shingles of the other. The search run
    back whole, a longer one with its first ``SHORT`` classes. A home merges the lists of each of its
    classes and counts occurrences: a pair counted often enough is a proven link. A class without
    long lists is done.
-4. The s - T + 1 rarest shingles of an open class hold one of every partner's. While the lists of
-   these still hold many pairs of different components, open classes count occurrences with the
-   most central class of each component in their lists, which joins groups around their originals.
-5. Long lists are probed, not merged: pairs that still meet in a list of a rarest shingle and
-   aren't in one component are verified by binary search of one sorted set in the other.
+4. The s - T + 1 rarest shingles of an open class hold one of every partner's. Classes with lists
+   of these that hold several components count occurrences with the most central class of each
+   component in their lists, which joins groups around their originals.
+5. Long lists are probed, not merged: classes of different components that still meet in a list of
+   a rarest shingle, with room for the overlap they need from there on, are verified by binary
+   search of one sorted set in the other.
 
 A shingle in very many documents costs one entry per home, and a large group of near copies hangs
 on the first classes of its lists, so no list is expanded into its pairs.
@@ -43,11 +44,13 @@ from vigilbus.llm.shingles import shingle_sets
 from vigilbus.session import cut_lineage
 
 #: Text, or sets, in bytes of a home slice; rows of one at most.
-HOME_BYTES = 4 << 20
+HOME_BYTES = 2 << 20
 HOME_ROWS = 50_000
 #: Text in bytes for which there is one bucket.
 BUCKET_BYTES = 4 << 20
 SHORT = 8
+#: Rounds of step 4; what they do not join, step 5 finds.
+HUB_ROUNDS = 1
 LOW_BITS = 40
 
 
@@ -273,14 +276,14 @@ _LISTS_SQL = ("home long, bucket long, lo binary, hi binary, many binary, refs b
               "cids binary, sizes binary, counts binary, tokens binary")
 _CLASSES = pa.schema([
     ("ref", pa.int64()), ("cid", pa.int64()), ("n", pa.int64()),
-    ("near", pa.list_(pa.struct([("ref", pa.int64()), ("shared", pa.int64())]))),
+    ("s", pa.int64()), ("near", pa.list_(pa.struct([("ref", pa.int64()), ("shared", pa.int64())]))),
     ("open", pa.bool_()), ("centre", pa.float64()), ("tokens", pa.binary()),
     ("rare", pa.list_(pa.int64()))])
-_CLASSES_SQL = ("ref long, cid long, n long, near array<struct<ref:long,shared:long>>, "
+_CLASSES_SQL = ("ref long, cid long, n long, s long, near array<struct<ref:long,shared:long>>, "
                 "open boolean, centre double, tokens binary, rare array<long>")
 
 
-def _send_classes(bits: int):
+def _send_classes(bits: int, short: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ordinal = 0
         for batch in batches:
@@ -297,8 +300,8 @@ def _send_classes(bits: int):
                 starts, many = _runs(every[order])
                 unique = every[order][starts]
                 rank = np.arange(len(every)) - np.repeat(starts, many)
-                first = member[order][rank < SHORT]
-                held = np.minimum(many, SHORT)
+                first = member[order][rank < short]
+                held = np.minimum(many, short)
                 ends = np.cumsum(held)
                 rows = [{"g": -1 - home, "home": home, "cids": cids[a:b].tobytes(),
                          "sizes": sizes[a:b].tobytes(), "counts": counts.tobytes(),
@@ -318,7 +321,11 @@ def _send_classes(bits: int):
     return send
 
 
-def _lists_of_bucket(key: tuple, table: pa.Table) -> pa.Table:
+def _lists(short: int):
+    return lambda key, table: _lists_of_bucket(key, table, short)
+
+
+def _lists_of_bucket(key: tuple, table: pa.Table, short: int) -> pa.Table:
     """The lists of a bucket's tokens, whole or their first classes, for each home that asked.
 
     Classes are named by home and place in it. A list that holds one class is not sent.
@@ -336,7 +343,7 @@ def _lists_of_bucket(key: tuple, table: pa.Table) -> pa.Table:
     refs = [np.frombuffer(_binary(table, "member", i), np.uint16).astype(np.int64) + (h << 16)
             for i, h in zip(order, homes, strict=True)]
     every, total = np.concatenate(tokens), np.concatenate(many)
-    held = np.minimum(total, SHORT)
+    held = np.minimum(total, short)
     entry_token, entry_ref = np.repeat(every, held), np.concatenate(refs)
     by_token = np.argsort(entry_token, kind="stable")  # refs stay in the order of homes
     starts, lengths = _runs(entry_token[by_token])
@@ -352,7 +359,7 @@ def _lists_of_bucket(key: tuple, table: pa.Table) -> pa.Table:
         where = where[keep]
         if not len(where):
             continue
-        size = np.minimum(lengths[where], SHORT)
+        size = np.minimum(lengths[where], short)
         index = np.repeat(starts[where] - (np.cumsum(size) - size), size) + np.arange(size.sum())
         lo, hi = _low(token[keep])
         rows.append({"home": home, "bucket": g, "lo": lo, "hi": hi,
@@ -361,11 +368,11 @@ def _lists_of_bucket(key: tuple, table: pa.Table) -> pa.Table:
     return _table(rows, _LISTS)
 
 
-def _merge(bits: int):
-    return lambda table: _merge_home(table, _width(bits))
+def _merge(bits: int, short: int):
+    return lambda table: _merge_home(table, _width(bits), short)
 
 
-def _merge_home(table: pa.Table, width: int) -> pa.Table:
+def _merge_home(table: pa.Table, width: int, short: int) -> pa.Table:
     """Counts occurrences in the lists of each class; see step 3 of the module.
 
     An open class also gets its centre, the mean logarithm of its lists' lengths: copies that many
@@ -384,7 +391,7 @@ def _merge_home(table: pa.Table, width: int) -> pa.Table:
             df.append(np.frombuffer(_binary(table, "many", i), np.int32))
             refs.append(np.frombuffer(_binary(table, "refs", i), np.int64))
     name, many, ref = np.concatenate(names), np.concatenate(df), np.concatenate(refs)
-    held = np.minimum(many, SHORT).astype(np.int64)
+    held = np.minimum(many, short).astype(np.int64)
     starts = np.cumsum(held) - held
     order = np.argsort(name, kind="stable")
     name, many, held, starts = name[order], many[order], held[order], starts[order]
@@ -400,7 +407,7 @@ def _merge_home(table: pa.Table, width: int) -> pa.Table:
         near, is_open, body, rare, centre = [], False, None, None, None
         if len(own) >= need:
             size = held[place]
-            long = many[place] > SHORT
+            long = many[place] > short
             index = np.repeat(starts[place] - (np.cumsum(size) - size), size)
             met = ref[index + np.arange(len(index))]
             partner, seen = np.unique(met, return_counts=True)
@@ -408,15 +415,15 @@ def _merge_home(table: pa.Table, width: int) -> pa.Table:
             near = [{"ref": r, "shared": s} for r, s in
                     zip(partner[close].tolist(), seen[close].tolist(), strict=True)]
             if long.any():
-                short = np.unique(met[np.repeat(~long, size)], return_counts=True)
-                most = short[1][short[0] != me].max(initial=0)
+                whole, times = np.unique(met[np.repeat(~long, size)], return_counts=True)
+                most = times[whole != me].max(initial=0)
                 is_open = bool(long.sum() + most >= need)
         if is_open:
             body = _pack(own, width)
             centre = float(np.log2(many[place]).sum()) / n
             rarest = np.lexsort((own, many[place]))[:len(own) - need + 1]
             rare = own[rarest].astype(np.int64).tolist()
-        rows.append({"ref": me, "cid": cid, "n": n, "near": near, "open": is_open,
+        rows.append({"ref": me, "cid": cid, "n": n, "s": len(own), "near": near, "open": is_open,
                      "centre": centre, "tokens": body, "rare": rare})
     return _table(rows, _CLASSES)
 
@@ -439,9 +446,9 @@ _NEAR = pa.schema([("a", pa.int64()), ("n_a", pa.int64()), ("b", pa.int64()),
 
 
 def _heads(
-    token: np.ndarray, root: np.ndarray, ref: np.ndarray, centre: np.ndarray
+    token: np.ndarray, root: np.ndarray, ref: np.ndarray, centre: np.ndarray, most: int
 ) -> tuple[np.ndarray, ...]:
-    """Of each token's entries the most central one of each component, ``SHORT`` at most."""
+    """Of each token's entries the most central one of each component, so many at most."""
     order = np.lexsort((ref, -centre, root, token))
     token, root, ref, centre = token[order], root[order], ref[order], centre[order]
     first = np.ones(len(token), bool)
@@ -450,11 +457,11 @@ def _heads(
     order = np.lexsort((ref, -centre, token))
     starts, many = _runs(token[order])
     rank = np.arange(len(token)) - np.repeat(starts, many)
-    order = order[rank < SHORT]
+    order = order[rank < most]
     return token[order], root[order], ref[order], centre[order]
 
 
-def _send_hubs(bits: int):
+def _send_hubs(bits: int, short: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ordinal = 0
         for batch in batches:
@@ -468,7 +475,7 @@ def _send_hubs(bits: int):
                 every = np.concatenate(sets)
                 token, root, ref, centre = _heads(
                     every, np.repeat(roots[a:b], counts), np.repeat(refs[a:b], counts),
-                    np.repeat(centres[a:b], counts))
+                    np.repeat(centres[a:b], counts), short)
                 starts, many = _runs(token)
                 unique = token[starts]
                 rows = [{"g": -1 - home, "home": home, "refs": refs[a:b].tobytes(),
@@ -492,7 +499,11 @@ def _send_hubs(bits: int):
     return send
 
 
-def _hubs_of_bucket(key: tuple, table: pa.Table) -> pa.Table:
+def _hubs(short: int):
+    return lambda key, table: _hubs_of_bucket(key, table, short)
+
+
+def _hubs_of_bucket(key: tuple, table: pa.Table, short: int) -> pa.Table:
     """The heads of a bucket's tokens that several components hold, for each home that asked."""
     g = key[0].as_py()
     if g < 0:
@@ -509,7 +520,8 @@ def _hubs_of_bucket(key: tuple, table: pa.Table) -> pa.Table:
 
     token, root, ref, _ = _heads(
         np.concatenate([np.repeat(t, m) for t, m in zip(tokens, many, strict=True)]),
-        entries("roots", np.int64), entries("refs", np.int64), entries("centres", np.float32))
+        entries("roots", np.int64), entries("refs", np.int64), entries("centres", np.float32),
+        short)
     starts, lengths = _runs(token)
     names = token[starts]
     rows = []
@@ -587,56 +599,55 @@ def _linked(shared: str, n: str, other: str):
     return 100 * F.col(shared) >= 75 * (F.col(n) + F.col(other) - F.col(shared))
 
 
-def _classes(active: DataFrame, bits: int) -> DataFrame:
+def _classes(active: DataFrame, bits: int, short: int) -> DataFrame:
     """One row per distinct set: cid, n, tokens, sorted by cid within a partition."""
     return active.where("tokens IS NOT NULL").groupBy("cid").agg(
         F.min("n").alias("n"), F.first("tokens").alias("tokens"),
-    ).select("cid", "n", "tokens").mapInArrow(_send_classes(bits), _CLASS_SENT_SQL)
+    ).select("cid", "n", "tokens").mapInArrow(_send_classes(bits, short), _CLASS_SENT_SQL)
 
 
-def _links(active: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+def _links(active: DataFrame, bits: int, short: int) -> tuple[DataFrame, DataFrame]:
     """Classes (ref, cid) and links between them that connect all linked ones."""
     merged = cut_lineage(
-        _classes(active, bits)
-        .groupBy("g").applyInArrow(_lists_of_bucket, _LISTS_SQL)
-        .groupBy("home").applyInArrow(_merge(bits), _CLASSES_SQL))
+        _classes(active, bits, short)
+        .groupBy("g").applyInArrow(_lists(short), _LISTS_SQL)
+        .groupBy("home").applyInArrow(_merge(bits, short), _CLASSES_SQL))
     sizes = merged.select(F.col("ref").alias("b"), F.col("n").alias("n_b"))
     proven = cut_lineage(
         merged.select(F.col("ref").alias("a"), F.col("n").alias("n_a"), F.inline("near"))
         .withColumnRenamed("ref", "b").join(sizes, "b")
         .where(_linked("shared", "n_a", "n_b")).select("a", "b"))
     opened = merged.where("open")
-    before = None
+    rounds = 0
     while True:
         roots = components(proven)
         rooted = opened.join(roots, F.col("ref") == F.col("node"), "left").select(
-            "ref", "n", "centre", F.coalesce("root", "ref").alias("root"), "rare", "tokens")
-        rare = rooted.select("ref", "n", "root", F.explode("rare").alias("token"))
+            "ref", "n", "s", "centre", F.coalesce("root", "ref").alias("root"), "rare", "tokens")
+        # ``after``: shared tokens of the class from this one on, in the order of rarity.
+        rare = rooted.select("ref", "n", "s", "root", F.posexplode("rare").alias("at", "token")).select(
+            "ref", "n", "root", "token", (F.col("s") - F.col("at")).alias("after"))
         # Lists of the rarest tokens that still hold several components.
-        per_root = rare.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"))
-        mixed = cut_lineage(per_root.groupBy("token").agg(
-            F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("same"),
-            F.count(F.lit(1)).alias("roots")).where("roots > 1"))
-        rows, pairs = mixed.agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("same")) / 2)
-                                ).first()
-        # Another round pays while pairs outnumber rows and rounds still join components. It only
-        # spares pairs from being compared: what it does not join, the comparison below finds.
-        if not rows or pairs <= rows or (before and pairs > 0.7 * before):
+        mixed = rare.groupBy("token").agg(
+            F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+        held = cut_lineage(rare.join(mixed.select("token"), "token"))
+        if rounds == HUB_ROUNDS:
             break
-        before = pairs
-        asking = rare.join(mixed.select("token"), "token").select("ref").distinct()
+        rounds += 1
+        asking = held.select("ref").distinct()
         near = (
             rooted.join(asking, "ref").select("ref", "root", "n", "centre", "tokens")
-            .mapInArrow(_send_hubs(bits), _HUB_SENT_SQL)
-            .groupBy("g").applyInArrow(_hubs_of_bucket, _HUBS_SQL)
+            .mapInArrow(_send_hubs(bits, short), _HUB_SENT_SQL)
+            .groupBy("g").applyInArrow(_hubs(short), _HUBS_SQL)
             .groupBy("home").applyInArrow(_count_hubs(bits), "a long, n_a long, b long, shared long"))
         found = near.join(sizes, "b").where(_linked("shared", "n_a", "n_b")).select("a", "b")
-        proven = cut_lineage(proven.union(found))
-    left = rare.join(mixed.select("token"), "token")
-    right = left.select("token", *[F.col(c).alias(f"{c}_b") for c in ("ref", "n", "root")])
+        proven = cut_lineage(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(
+            found).where("a <> b").distinct())
+    # Of the tokens two linked classes share, the first in the order has the whole overlap, at least
+    # 3/7 of both sizes, from it on in both.
+    right = held.select("token", *[F.col(c).alias(f"{c}_b") for c in ("ref", "n", "root", "after")])
     met = cut_lineage(
-        left.join(right, "token")
-        .where("root < root_b AND 4 * n >= 3 * n_b AND 4 * n_b >= 3 * n")
+        held.join(right, "token")
+        .where("root < root_b AND 7 * after >= 3 * (n + n_b) AND 7 * after_b >= 3 * (n + n_b)")
         .select(F.col("ref").alias("a"), "n", F.col("ref_b").alias("b"), "n_b").distinct())
     sets = opened.select("ref", "tokens")
     probed = (
@@ -647,7 +658,7 @@ def _links(active: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
     return merged.select("ref", "cid"), proven.union(probed)
 
 
-def _grouped(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
+def _grouped(docs: DataFrame, key: str, text: str, width: int, short: int) -> DataFrame:
     """doc_id, mark (hash of id and text), n, active and root of each row of ``docs``."""
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     bits = max(8, int(size // BUCKET_BYTES).bit_length())
@@ -656,7 +667,7 @@ def _grouped(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
         .mapInArrow(_send_documents(bits, width), _SENT_SQL)
         .groupBy("g").applyInArrow(_shared_in_bucket, _ANSWER_SQL)
         .groupBy("home").applyInArrow(_prune(bits), _DOCS_SQL))
-    classes, links = _links(rows.where("active"), bits)
+    classes, links = _links(rows.where("active"), bits, short)
     rooted = classes.join(components(links), F.col("ref") == F.col("node"), "left").select(
         F.col("cid").alias("set"), F.coalesce("root", "ref").alias("root"))
     return rows.drop("tokens").join(
@@ -664,10 +675,10 @@ def _grouped(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
 
 
 def ngram_groups(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5
+    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, short: int = SHORT
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable)."""
-    rows = cut_lineage(_grouped(docs, key, text, width))
+    rows = cut_lineage(_grouped(docs, key, text, width, short))
     smallest = rows.where("root IS NOT NULL").groupBy(F.col("root").alias("group")).agg(
         F.min("doc_id").alias("component"))
     return rows.join(smallest, F.col("root") == F.col("group"), "left").select(
@@ -676,13 +687,13 @@ def ngram_groups(
 
 
 def one_per_group(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5
+    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, short: int = SHORT
 ) -> DataFrame:
     """``docs`` with one document of each group of linked ones: the one of the smallest id.
 
     Rows equal in id and text are one document.
     """
-    rows = cut_lineage(_grouped(docs, key, text, width))
+    rows = cut_lineage(_grouped(docs, key, text, width, short))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")
     first = rows.where("root IS NOT NULL").groupBy(F.col("root").alias("group")).agg(
         F.min(order)["mark"].alias("first"))

@@ -3,7 +3,7 @@
 import numpy as np
 
 #: Bytes hashed at once; a longer text is hashed in pieces cut at white space.
-PIECE = 4 << 20
+PIECE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
