@@ -57,17 +57,14 @@ def missing_messages(signals: DataFrame, factor: float = 3.0, keys: Sequence[str
 
 def trend(signals: DataFrame, width: int = 10, keys: Sequence[str] = SERIES,
           target_rows: float | None = None) -> DataFrame:
-    """Gradual drift: least-squares slope of the last ``width`` values per row step."""
+    """Gradual drift: least-squares slope of the last ``width`` values per row step.
+
+    A null value keeps its place and takes no part.
+    """
     def build(w, index):
         frame = w.rowsBetween(-(width - 1), 0)
         x, y = index.cast("double"), F.col("value")
-        # Sums over a short frame; positions enter relative to the current row.
-        values = F.collect_list(y).over(frame)
-        middle = (width - 1) / 2
-        spread = sum((i - middle) ** 2 for i in range(width))
-        weighted = F.aggregate(
-            F.transform(values, lambda v, i: v * (i - middle)), F.lit(0.0), lambda a, b: a + b)
-        return {"slope": F.when(x >= width, weighted / spread)}
+        return {"slope": F.when(x >= width, F.regr_slope(y, x).over(frame))}
 
     return rolling(signals, keys, ORDER, width - 1, build, target_rows)
 

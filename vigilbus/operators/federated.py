@@ -85,14 +85,15 @@ def top_drift(weights: DataFrame, k: int = 3) -> DataFrame:
     return drift.orderBy(F.col("drift").desc(), "key").limit(k)
 
 
-def divergence(current: DataFrame, reference: DataFrame, client: str = "client_id") -> DataFrame:
+def divergence(current: DataFrame, reference: DataFrame,
+               by: Sequence[str] = ("client_id",)) -> DataFrame:
     """RMS difference of each client's weights from its reference; infinite without one."""
-    ref = reference.select(client, "key", "idx", F.col("value").alias("_ref"))
-    joined = current.join(ref, [client, "key", "idx"], "left")
+    ref = reference.select(*by, "key", "idx", F.col("value").alias("_ref"))
+    joined = current.join(ref, [*by, "key", "idx"], "left")
     d = F.col("value") - F.col("_ref")
-    return joined.groupBy(client).agg(
+    return joined.groupBy(*by).agg(
         F.sum(d * d).alias("_sq"), F.count("_ref").alias("_n")
-    ).select(client, F.when(F.col("_n") > 0, F.sqrt(F.col("_sq") / F.col("_n")))
+    ).select(*by, F.when(F.col("_n") > 0, F.sqrt(F.col("_sq") / F.col("_n")))
              .otherwise(float("inf")).alias("divergence"))
 
 
@@ -100,11 +101,12 @@ def loss_change(loss, reference):
     return F.abs(loss - reference) / F.greatest(reference, F.lit(1e-8))
 
 
-def difference(trained: DataFrame, initial: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Client update: trained minus initial weights."""
+def difference(trained: DataFrame, initial: DataFrame, keys: Sequence[str],
+               keep: Sequence[str] = ()) -> DataFrame:
+    """Client update: trained minus initial weights, matched by ``keys``."""
     start = initial.select(*keys, F.col("value").alias("_start"))
     return trained.join(start, list(keys)).select(
-        *keys, (F.col("value") - F.col("_start")).alias("value"))
+        *keep, *keys, (F.col("value") - F.col("_start")).alias("value"))
 
 
 def rollback(cycles: DataFrame, client: str = "client_id", order: Sequence[str] = ("cycle",),

@@ -52,11 +52,11 @@ def sliding(df: DataFrame, features: Sequence[str] = WINDOW_FEATURES, length: in
 
 
 def training(df: DataFrame, features: Sequence[str] = WINDOW_FEATURES,
-             length: int = WINDOW_LENGTH, stride: int = 20, cap: int = 400,
+             length: int = WINDOW_LENGTH, stride: int = 20, cap: int | None = None,
              key: str = "vehicle_id", target_rows: float | None = None) -> DataFrame:
-    """Training windows: at most ``cap`` per vehicle, each followed by at least one row."""
-    return _collect(df, features, length, stride, 1, key, None, target_rows).where(
-        F.col("number") <= cap)
+    """Training windows, each followed by at least one row; the first ``cap`` of a vehicle if given."""
+    rows = _collect(df, features, length, stride, 1, key, None, target_rows)
+    return rows if cap is None else rows.where(F.col("number") <= cap)
 
 
 def padded_short(df: DataFrame, features: Sequence[str] = WINDOW_FEATURES,

@@ -56,6 +56,15 @@ def trend(spark, sf):
         "vehicle_id", "signal", "seq", F.round("slope", 6).alias("slope"))
 
 
+@query("m01_trend_with_gaps", with_sql(SIGNALS_SQL, f"""
+n AS (SELECT *, CASE WHEN seq % 5 <> 0 THEN value END AS y, row_number() OVER ({V}) AS rn FROM sig)""", """
+SELECT vehicle_id, signal, seq, CASE WHEN rn >= 10 THEN round(regr_slope(y, rn) OVER (PARTITION BY vehicle_id, signal ORDER BY rn ROWS 9 PRECEDING), 9) END AS slope FROM n"""))
+def trend_with_gaps(spark, sf):
+    """Every fifth value is missing; the others keep their places."""
+    rows = views.signals(spark, sf).withColumn("value", F.when(F.col("seq") % 5 != 0, F.col("value")))
+    return D.trend(rows).select("vehicle_id", "signal", "seq", F.round("slope", 9).alias("slope"))
+
+
 @query("m01_bursts", with_sql(SIGNALS_SQL, RATE_SQL, f"""
 s AS (SELECT *, CASE WHEN rate > 1 AND NOT coalesce(lag(rate > 1) OVER ({V}), false) THEN 1 ELSE 0 END AS st FROM rated)""", f"""
 b AS (SELECT *, sum(st) OVER ({V} ROWS UNBOUNDED PRECEDING) AS burst FROM s)""", """

@@ -95,6 +95,18 @@ def threshold_sweep(spark, sf):
     return r6(out, "threshold", "precision", "recall", "f1", "fp_rate")
 
 
+UNEVEN = [0.05, 0.1, 0.5, 0.9, 0.95, 0.99, 0.999]
+UNEVEN_SQL = f"""g AS (SELECT DISTINCT unnest(quantile_cont(score, {UNEVEN})) AS threshold FROM sc)"""
+
+
+@query("e16_sweep_uneven", with_sql(SCORES_SQL, UNEVEN_SQL, SWEEP_SQL[1], f"""
+SELECT round(threshold, 6) AS threshold, tp, fp, fn, tn, {QUALITY_SQL} FROM sw"""))
+def sweep_uneven(spark, sf):
+    """Candidate thresholds at percentiles of uneven spacing."""
+    out = evaluate.threshold_sweep(views.scored_documents(spark, sf), fractions=UNEVEN)
+    return r6(out, "threshold", "precision", "recall", "f1", "fp_rate")
+
+
 @query("e16_best_threshold", with_sql(SCORES_SQL, *SWEEP_SQL, f"""
 q AS (SELECT threshold, {QUALITY_SQL} FROM sw)""", """
 SELECT round(threshold, 6) AS threshold, f1, precision, recall FROM q ORDER BY f1 DESC, threshold LIMIT 1"""))
@@ -201,13 +213,13 @@ def reconstruction_error(spark, sf):
 v AS (SELECT vehicle_id, avg(value) AS x FROM sig GROUP BY vehicle_id)""", """
 n AS (SELECT x, row_number() OVER (ORDER BY vehicle_id) AS i, count(*) OVER () AS n FROM v)""", """
 d AS (SELECT b, CAST(floor(CAST('0x' || substr(md5('0|' || b || '|' || i), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE * n) AS BIGINT) + 1 AS i
-  FROM n, (SELECT unnest(range(200)) AS b))""", """
+  FROM n, (SELECT unnest(range(10000)) AS b))""", """
 m AS (SELECT b, avg(x) AS m FROM d JOIN n USING (i) GROUP BY b)""", """
 SELECT round((SELECT avg(x) FROM v), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high,
   round((quantile_cont(m, 0.975) - quantile_cont(m, 0.025)) / 2, 6) AS halfwidth FROM m"""))
 def bootstrap_interval(spark, sf):
     rows = views.signals(spark, sf).groupBy("vehicle_id").agg(F.avg("value").alias("x"))
-    out = evaluate.bootstrap_mean(rows, "x", ["vehicle_id"], n_boot=200)
+    out = evaluate.bootstrap_mean(rows, "x", ["vehicle_id"], n_boot=10_000)
     return r6(out, "mean", "ci_low", "ci_high", "halfwidth")
 
 

@@ -85,31 +85,30 @@ def top_drift(spark, sf):
     return r(fed.top_drift(latest_weights(spark, sf)), 8, "drift")
 
 
-REF_SQL = """cur AS (SELECT client_id, key, idx, value FROM wts JOIN lat USING (client_id, round, update_id) WHERE round = 1)""", """
-ref AS (SELECT client_id, key, idx, value FROM wts JOIN lat USING (client_id, round, update_id) WHERE round = 0 AND client_id <> 'edge_3')"""
+REF_SQL = """cur AS MATERIALIZED (SELECT client_id, round, key, idx, value FROM wts JOIN lat USING (client_id, round, update_id))""", """
+ref AS (SELECT client_id, round + 1 AS round, key, idx, value FROM cur)"""
 
 
 def _current_reference(spark, sf):
-    w = latest_weights(spark, sf)
-    cols = ["client_id", "key", "idx", "value"]
-    return (w.where("round = 1").select(*cols),
-            w.where("round = 0 and client_id <> 'edge_3'").select(*cols))
+    """Every round's weights of a client, and those of the round before as their reference."""
+    w = latest_weights(spark, sf).select("client_id", "round", "key", "idx", "value")
+    return w, w.withColumn("round", F.col("round") + 1)
 
 
 @query("d07_current_vs_reference", with_sql(WEIGHTS_SQL, LATEST_SQL, *REF_SQL, """
-SELECT client_id, key, idx, round(cur.value - ref.value, 8) AS value FROM cur JOIN ref USING (client_id, key, idx)"""))
+SELECT client_id, round, key, idx, round(cur.value - ref.value, 8) AS value FROM cur JOIN ref USING (client_id, round, key, idx)"""))
 def current_vs_reference(spark, sf):
     cur, ref = _current_reference(spark, sf)
-    return r(fed.difference(cur, ref, ["client_id", "key", "idx"]), 8, "value")
+    return r(fed.difference(cur, ref, ["client_id", "round", "key", "idx"]), 8, "value")
 
 
 @query("e21_weight_divergence", with_sql(WEIGHTS_SQL, LATEST_SQL, *REF_SQL, """
-SELECT client_id, round(sqrt(sum((cur.value - ref.value) * (cur.value - ref.value)) / count(ref.value)), 8) AS divergence,
-  count(ref.value) > 0 AS has_reference FROM cur LEFT JOIN ref USING (client_id, key, idx) GROUP BY client_id"""))
+SELECT client_id, round, round(sqrt(sum((cur.value - ref.value) * (cur.value - ref.value)) / count(ref.value)), 8) AS divergence,
+  count(ref.value) > 0 AS has_reference FROM cur LEFT JOIN ref USING (client_id, round, key, idx) GROUP BY client_id, round"""))
 def weight_divergence(spark, sf):
-    out = fed.divergence(*_current_reference(spark, sf))
+    out = fed.divergence(*_current_reference(spark, sf), by=["client_id", "round"])
     known = F.col("divergence") < float("inf")
-    return out.select("client_id", F.when(known, F.round("divergence", 8)).alias("divergence"),
+    return out.select("client_id", "round", F.when(known, F.round("divergence", 8)).alias("divergence"),
                       known.alias("has_reference"))
 
 
@@ -131,9 +130,8 @@ FROM wts w JOIN lat USING (client_id, round, update_id) JOIN av ON av.round = w.
 def client_update(spark, sf):
     trained = latest_weights(spark, sf)
     start = fed.average(views.weights(spark, sf), latest(spark, sf))
-    joined = trained.join(start.withColumnRenamed("value", "start"), ["round", "key", "idx"])
-    return joined.select("client_id", "round", "key", "idx",
-                         F.round(F.col("value") - F.col("start"), 8).alias("value"))
+    update = fed.difference(trained, start, ["round", "key", "idx"], ["client_id"])
+    return r(update, 8, "value")
 
 
 @query("c12_update_validation", with_sql(WEIGHTS_SQL, """

@@ -60,7 +60,7 @@ def sliding_windows_stride(spark, sf):
     "(a.rn - 1) % 20 = 0 AND a.rn + 20 <= a.n AND (a.rn - 1) // 20 < 400",
     number="(a.rn - 1) // 20 + 1"))
 def training_windows(spark, sf):
-    return _out(windows.training(views.telemetry(spark, sf)))
+    return _out(windows.training(views.telemetry(spark, sf), cap=400))
 
 
 @query("f11_window_labels", window_sql("true", ", max(CAST(b.attacked AS INTEGER)) AS label"))

@@ -210,7 +210,7 @@ def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-WEIGHTS_SQL = UPDATES_SQL + """, wts AS (
+WEIGHTS_SQL = UPDATES_SQL + """, wts AS MATERIALIZED (
   SELECT 'edge_' || label AS client_id, CAST(vec_id % 5 AS INTEGER) AS round, vec_id AS update_id,
          'layer_' || CAST(p // 16 AS VARCHAR) AS key, CAST(p % 16 AS INTEGER) AS idx,
          CAST(embedding[p + 1] AS DOUBLE) AS value
