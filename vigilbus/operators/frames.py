@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilbus.functions import frames as B
-from vigilbus.plans.series import positions
+from vigilbus.plans.series import positions, small_side
 
 
 def data_frames(frames: DataFrame) -> DataFrame:
@@ -21,11 +21,11 @@ def split_id(frames: DataFrame) -> DataFrame:
 
 def map_signals(frames: DataFrame, dim: DataFrame) -> DataFrame:
     """Inner join with the fixed six-row signal dimension on the low ID byte."""
-    return split_id(frames).join(F.broadcast(dim), "code")
+    return split_id(frames).join(small_side(dim), "code")
 
 
 def unmapped(frames: DataFrame, dim: DataFrame) -> DataFrame:
-    return split_id(frames).join(F.broadcast(dim.select("code")), "code", "left_anti")
+    return split_id(frames).join(small_side(dim.select("code")), "code", "left_anti")
 
 
 def decode_signals(frames: DataFrame, dim: DataFrame, endian: str = "big") -> DataFrame:
@@ -59,7 +59,7 @@ def top_unmapped(frames: DataFrame, dim: DataFrame, k: int = 5) -> DataFrame:
 
 def bus_health(frames: DataFrame, dim: DataFrame) -> DataFrame:
     """Error frames, remote frames, and data frames with an unmapped ID, in one scan."""
-    known = F.broadcast(dim.select("code", F.lit(True).alias("_known")))
+    known = small_side(dim.select("code", F.lit(True).alias("_known")))
     joined = split_id(frames).join(known, "code", "left")
     usable = ~F.col("is_error") & ~F.col("is_remote")
     return joined.agg(
@@ -79,14 +79,14 @@ def frames_per_second(frames: DataFrame, seconds: int = 30) -> DataFrame:
 
 def modified_replay(frames: DataFrame, dim: DataFrame,
                     target_rows: float | None = None) -> DataFrame:
-    """Replay of a capture with values alternately doubled and halved, gear moved by one within
+    """Replay of each vehicle's capture with values alternately doubled and halved, gear moved by one within
     -1..6, unknown IDs scaled byte by byte, and every non-empty payload marked.
 
     ``kind`` and ``value`` describe the decoded replacement; ``data`` is the scaled and marked
     payload for unknown IDs and the marked original for known ones.
     """
-    numbered = positions(frames, [], ["ts", "seq"], "_n", target_rows)
-    rows = split_id(numbered).join(F.broadcast(dim), "code", "left").withColumn(
+    numbered = positions(frames, ["vehicle_id"], ["ts", "seq"], "_n", target_rows)
+    rows = split_id(numbered).join(small_side(dim), "code", "left").withColumn(
         "_w", B.word(F.col("data")))
     up = F.col("_n") % 2 == 1
     data, kind = F.col("data"), F.col("kind")

@@ -61,19 +61,20 @@ def training(df: DataFrame, features: Sequence[str] = WINDOW_FEATURES,
 
 def padded_short(df: DataFrame, features: Sequence[str] = WINDOW_FEATURES,
                  length: int = WINDOW_LENGTH, padding: str = "zero",
-                 key: str = "vehicle_id") -> DataFrame:
-    """One window per vehicle with fewer than ``length`` rows, padded in front.
+                 key: str | Sequence[str] = "vehicle_id") -> DataFrame:
+    """One window per vehicle (or other key) with fewer than ``length`` rows, padded in front.
 
     Vehicles are counted first, so only groups below ``length`` rows are gathered.
     """
-    short = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") < length)
-    rows = df.join(short.select(key), key, "left_semi").select(
-        key, F.struct("ts", "seq", feature_vector(df.columns, features).alias("v")).alias("_r"))
-    gathered = rows.groupBy(key).agg(F.sort_array(F.collect_list("_r")).alias("_s"))
+    keys = [key] if isinstance(key, str) else list(key)
+    short = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") < length)
+    rows = df.join(short.select(*keys), keys, "left_semi").select(
+        *keys, F.struct("ts", "seq", feature_vector(df.columns, features).alias("v")).alias("_r"))
+    gathered = rows.groupBy(*keys).agg(F.sort_array(F.collect_list("_r")).alias("_s"))
     vectors = F.transform("_s", lambda r: r["v"])
     blank = F.array(*[F.lit(0.0)] * len(features)) if padding == "zero" else F.get(vectors, F.lit(0))
     return gathered.select(
-        key, F.size("_s").alias("rows"),
+        *keys, F.size("_s").alias("rows"),
         F.concat(F.array_repeat(blank, F.lit(length) - F.size("_s")), vectors).alias("w"))
 
 

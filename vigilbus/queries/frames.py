@@ -130,7 +130,7 @@ def top_unmapped(spark, sf):
 
 
 REPLAY_SQL = with_sql(FRAMES_SQL, _words(BIG), f"""
-n AS (SELECT *, row_number() OVER (ORDER BY ts, seq) % 2 = 1 AS up, {FLOAT} AS plain,
+n AS (SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY ts, seq) % 2 = 1 AS up, {FLOAT} AS plain,
   CAST(length(hexdata) // 2 AS INTEGER) AS size FROM w LEFT JOIN dim ON arbitration_id % 256 = code)""", """
 s AS (SELECT *, CASE WHEN signal IS NULL AND size >= 4 THEN
    list_aggregate(list_transform(range(size), lambda i: printf('%02x', CAST(CASE WHEN up
@@ -151,7 +151,7 @@ def modified_replay(spark, sf):
 
 
 @query("e02_injected_counts", with_sql(FRAMES_SQL, """
-n AS (SELECT arbitration_id, CASE WHEN row_number() OVER (ORDER BY ts, seq) % 2 = 1 THEN 'increase' ELSE 'decrease' END
+n AS (SELECT arbitration_id, CASE WHEN row_number() OVER (PARTITION BY vehicle_id ORDER BY ts, seq) % 2 = 1 THEN 'increase' ELSE 'decrease' END
   AS modification FROM fr)""", "SELECT arbitration_id, modification, count(*) AS n FROM n GROUP BY 1, 2"))
 def injected_counts(spark, sf):
     out = ops.modified_replay(views.frames(spark, sf), views.signal_dim(spark))

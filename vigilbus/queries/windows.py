@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from vigilbus.operators import scaling, windows
+from vigilbus.operators import evaluate, scaling, windows
 from vigilbus.queries.registry import query, with_sql
 from vigilbus.schema import WINDOW_FEATURES
 from vigilbus.session import ensure_checkpoint_dir
@@ -69,41 +69,29 @@ def window_labels(spark, sf):
 
 
 def _short_sql(first: bool) -> str:
-    if first:
-        terms = " + ".join(
-            f"(8 * (20 - m) * (19 - m) / 2 + {i + 1} * (20 - m)) * {f}"
-            for i, f in enumerate(WINDOW_FEATURES))
-        head = f"coalesce(max({terms}) FILTER (rn = 1), 0)"
-    else:
-        head = "0"
-    return with_sql(NUMBERED_SQL, f"""
-s AS (SELECT *, least(n, 12) AS m FROM num WHERE rn <= 12 OR vehicle_id % 2 = 0)""", f"""
-SELECT vehicle_id, count(*) AS "rows",
-  round({head} + sum({step_sum("(20 - m + rn - 1)", "s")}), 4) AS checksum
-FROM s WHERE vehicle_id % 2 = 1 GROUP BY vehicle_id""")
-
-
-def _short_rows(spark, sf):
-    """Odd vehicles keep their twelve oldest rows only, so they are too short for a window."""
-    from vigilbus.plans.series import positions
-    rows = positions(views.telemetry(spark, sf), ["vehicle_id"], ["ts", "seq"], "rn")
-    return rows.where("rn <= 12 or vehicle_id % 2 = 0")
+    """Series of one signal are shorter than a window; the padding stands in front."""
+    head = "coalesce(max((20 - n) * (21 - n) / 2 * value) FILTER (rn = 1), 0) + " if first else ""
+    return with_sql(SIGNALS_SQL, """
+s AS (SELECT *, row_number() OVER (PARTITION BY vehicle_id, signal ORDER BY ts, seq) AS rn,
+  count(*) OVER (PARTITION BY vehicle_id, signal) AS n FROM sig)""", f"""
+SELECT vehicle_id, signal, count(*) AS "rows", round({head}sum((20 - n + rn) * value), 4) AS checksum
+FROM s WHERE n < 20 GROUP BY vehicle_id, signal""")
 
 
-def _long_enough(rows):
-    return rows.where("vehicle_id % 2 = 1")
+def _padded(spark, sf, padding):
+    out = windows.padded_short(
+        views.signals(spark, sf), ["value"], padding=padding, key=["vehicle_id", "signal"])
+    return out.select("vehicle_id", "signal", F.col("rows").cast("long").alias("rows"), checksum())
 
 
 @query("f10_padded_with_zeros", _short_sql(False))
 def padded_with_zeros(spark, sf):
-    out = windows.padded_short(_short_rows(spark, sf))
-    return _long_enough(out).select("vehicle_id", F.col("rows").cast("long").alias("rows"), checksum())
+    return _padded(spark, sf, "zero")
 
 
 @query("f10_padded_with_first_row", _short_sql(True))
 def padded_with_first(spark, sf):
-    out = windows.padded_short(_short_rows(spark, sf), padding="first")
-    return _long_enough(out).select("vehicle_id", F.col("rows").cast("long").alias("rows"), checksum())
+    return _padded(spark, sf, "first")
 
 
 @query("f12_latest_window", with_sql(NUMBERED_SQL, f"""
@@ -216,16 +204,24 @@ def scaler_save_load(spark, sf):
     return scaling.apply(rows, fitted).withColumn("l_tax", F.round("l_tax", 6))
 
 
+ALARM = 1.2
+
+
 @query("b21_explain_window", with_sql(NUMBERED_SQL, """
 st AS (SELECT avg(speed_kmh) AS m1, stddev_pop(speed_kmh) AS s1, avg(brake) AS m2, stddev_pop(brake) AS s2 FROM tel)""", """
-SELECT vehicle_id, CAST(rn - n + 19 AS INTEGER) AS step, round((speed_kmh - m1) / s1, 6) AS speed_kmh_z, round(speed_kmh, 6) AS speed_kmh,
-  round((brake - m2) / s2, 6) AS brake_z, round(brake, 6) AS brake FROM num, st WHERE rn > n - 20 AND n >= 20"""))
+z AS (SELECT vehicle_id, seq, rn, n, (speed_kmh - m1) / s1 AS z1, (brake - m2) / s2 AS z2, speed_kmh, brake FROM num, st)""", f"""
+hot AS (SELECT a.vehicle_id, a.rn, a.seq AS start_seq FROM z a JOIN z b ON a.vehicle_id = b.vehicle_id AND b.rn BETWEEN a.rn AND a.rn + 19
+  WHERE a.rn + 19 <= a.n GROUP BY ALL HAVING avg((b.z1 * b.z1 + b.z2 * b.z2) / 2) > {ALARM})""", """
+SELECT vehicle_id, start_seq, CAST(z.rn - hot.rn AS INTEGER) AS step, round(z1, 6) AS speed_kmh_z, round(speed_kmh, 6) AS speed_kmh,
+  round(z2, 6) AS brake_z, round(brake, 6) AS brake FROM hot JOIN z USING (vehicle_id) WHERE z.rn BETWEEN hot.rn AND hot.rn + 19"""))
 def explain_window(spark, sf):
+    """Every window whose mean square is above the alarm threshold."""
     names = ["speed_kmh", "brake"]
     rows = views.telemetry(spark, sf)
     fitted = scaling.constants(scaling.zscore_fit(rows, names))
-    latest = windows.latest(scaling.apply(rows, fitted), names).where("w is not null")
-    out = windows.explain(latest, fitted, names, ["vehicle_id"])
+    scored = windows.sliding(scaling.apply(rows, fitted), names)
+    hot = scored.where(evaluate.mean_square(F.col("w")) > ALARM)
+    out = windows.explain(hot, fitted, names, ["vehicle_id", "start_seq"])
     return out.withColumns({c: F.round(c, 6) for c in ("speed_kmh_z", "speed_kmh", "brake_z", "brake")})
 
 

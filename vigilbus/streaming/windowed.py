@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from vigilbus.operators import federated as fed
@@ -57,16 +58,23 @@ def _weighted(rows: DataFrame) -> DataFrame:
 
 
 def average_rounds(updates: DataFrame, pending: str, results: str, checkpoint: str,
-                   min_clients: int = 2) -> StreamingQuery:
+                   min_clients: int = 2, n_weights: int | None = None) -> StreamingQuery:
     """Average each round once enough clients have sent an update.
 
+    With ``n_weights`` an update of another size, with a missing or infinite weight or without
+    samples is rejected before it is stored.
+
     Updates (client_id, round, update_id, num_samples, loss, weights) wait in a table; a batch
-    only recomputes the rounds it has updates for. Both tables are written per batch number, so a repeated batch overwrites its own output.
+    reads and recomputes only the rounds it has updates for, as the table is partitioned by round. Both tables are written per batch number, so a repeated batch overwrites its own output.
     """
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{pending}/batch={number}")
-        waiting = spark.read.schema(batch.schema).option("recursiveFileLookup", "true").parquet(pending)
+        good = batch if n_weights is None else batch.where(
+            (F.size("weights") == n_weights) & (F.col("num_samples") > 0)
+            & F.forall("weights", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))))
+        good.write.mode("overwrite").partitionBy("round").parquet(f"{pending}/batch={number}")
+        stored = T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType())])
+        waiting = spark.read.schema(stored).parquet(pending).drop("batch")
         touched = waiting.join(batch.select("round").distinct(), "round", "left_semi")
         newest = fed.latest_updates(touched)
         ready = newest.groupBy("round").agg(F.count(F.lit(1)).alias("_c")).where(
