@@ -15,7 +15,7 @@ from vigilbus.streaming import sinks, sources, stateful, windowed
 
 HOUR = 3_600_000_000
 DAY = 24 * HOUR
-END_SQL = "lim AS (SELECT (max(us) // 1000 - 86400000) * 1000 AS mark FROM sig)"
+WINDOW_KEY = ["vehicle_id", "start_us"]
 
 
 def event_stream(spark, sf, per_trigger=None):
@@ -29,12 +29,13 @@ def event_stream(spark, sf, per_trigger=None):
         views.payload().alias("k"))
 
 
-@query("j01_stream_rate_windows", with_sql(SIGNALS_SQL, END_SQL, f"""
+@query("j01_stream_rate_windows", with_sql(SIGNALS_SQL, f"""
 w AS (SELECT vehicle_id, us // {HOUR} * {HOUR} - o * {HOUR} AS start_us FROM sig, (SELECT unnest(range(6)) AS o))""", f"""
-SELECT vehicle_id, start_us, count(*) AS messages FROM w, lim WHERE start_us + {6 * HOUR} <= mark GROUP BY 1, 2"""))
+SELECT vehicle_id, start_us, count(*) AS messages FROM w GROUP BY 1, 2"""))
 def stream_rate_windows(spark, sf):
     stream = event_stream(spark, sf).select("ts", "vehicle_id")
-    return sinks.finish(windowed.rate_windows(stream, ["vehicle_id"], "6 hours", "1 hour", "1 day"), "rate")
+    out = windowed.rate_windows(stream, ["vehicle_id"], "6 hours", "1 hour", "1 day")
+    return sinks.finish_newest(out, "rate", WINDOW_KEY)
 
 
 @query("j01_stream_exact_rate", with_sql(SIGNALS_SQL, f"""
@@ -59,29 +60,30 @@ def stream_changed_state(spark, sf):
     return sinks.finish(stateful.changed_state(stream, defaults), "changed")
 
 
-@query("j03_stream_sampled_state", with_sql(SIGNALS_SQL, END_SQL, f"""
+@query("j03_stream_sampled_state", with_sql(SIGNALS_SQL, f"""
 SELECT vehicle_id, us // {6 * HOUR} * {6 * HOUR} AS start_us, arg_max(seq, (us, seq)) AS seq, arg_max(value, (us, seq)) AS value
-FROM sig, lim WHERE us // {6 * HOUR} * {6 * HOUR} + {6 * HOUR} <= mark GROUP BY 1, 2"""))
+FROM sig GROUP BY 1, 2"""))
 def stream_sampled_state(spark, sf):
     stream = event_stream(spark, sf).select("ts", "vehicle_id", "seq", "value")
-    return sinks.finish(windowed.sampled_state(stream, ["value"], "6 hours", "1 day"), "sampled")
+    out = windowed.sampled_state(stream, ["value"], "6 hours", "1 day")
+    return sinks.finish_newest(out, "sampled", WINDOW_KEY)
 
 
-@query("j04_stream_flush_intervals", with_sql(SIGNALS_SQL, END_SQL, """
-SELECT vehicle_id, us // 600000000 * 600000000 AS start_us, count(*) AS messages FROM sig, lim
-WHERE us // 600000000 * 600000000 + 600000000 <= mark GROUP BY 1, 2"""))
+@query("j04_stream_flush_intervals", with_sql(SIGNALS_SQL, """
+SELECT vehicle_id, us // 600000000 * 600000000 AS start_us, count(*) AS messages FROM sig GROUP BY 1, 2"""))
 def stream_flush_intervals(spark, sf):
     stream = event_stream(spark, sf).select("ts", "vehicle_id")
     out = windowed.rate_windows(stream, ["vehicle_id"], "600 seconds", "600 seconds", "1 day")
-    return sinks.finish(out, "flush")
+    return sinks.finish_newest(out, "flush", WINDOW_KEY)
 
 
-@query("j05_stream_status_summary", with_sql(SIGNALS_SQL, END_SQL, f"""
+@query("j05_stream_status_summary", with_sql(SIGNALS_SQL, f"""
 SELECT vehicle_id, us // {DAY} * {DAY} AS start_us, count(*) AS "rows", count(*) FILTER (k >= 90) AS flagged, min(value) AS low, max(value) AS high
-FROM sig, lim WHERE us // {DAY} * {DAY} + {DAY} <= mark GROUP BY 1, 2"""))
+FROM sig GROUP BY 1, 2"""))
 def stream_status_summary(spark, sf):
     stream = event_stream(spark, sf).select("ts", "vehicle_id", "value", "k")
-    return sinks.finish(windowed.status_summary(stream, "1 day", "1 day", F.col("k") >= 90), "status")
+    out = windowed.status_summary(stream, "1 day", "1 day", F.col("k") >= 90)
+    return sinks.finish_newest(out, "status", WINDOW_KEY)
 
 
 @query("j07_stream_without_resends", with_sql(SIGNALS_SQL, "SELECT vehicle_id, seq, us, value FROM sig"))

@@ -45,6 +45,27 @@ def finish(stream: DataFrame, name: str, fmt: str = "parquet",
     return reader.format(fmt).load(path)
 
 
+def finish_newest(stream: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
+    """Drain an aggregating stream, windows still open at its end included.
+
+    Every micro-batch writes the rows it changed under its number, so a repeated batch overwrites
+    its own output; the newest row of each key counts.
+    """
+    spark = stream.sparkSession
+    path = scratch(spark, name)
+
+    def handle(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stream.writeStream.foreachBatch(handle).outputMode("update").option(
+        "checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
+    rest = [c for c in stream.columns if c not in keys]
+    stored = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    rows = spark.read.schema(stored).parquet(path)
+    newest = F.max_by(F.struct(*rest), "batch")
+    return rows.groupBy(*keys).agg(newest.alias("_r")).select(*keys, "_r.*")
+
+
 def telemetry_csv(flat: DataFrame, flush_s: int = 600) -> DataFrame:
     """Flat rows with the folder columns of the CSV store: day and flush interval."""
     start = F.window("ts", f"{flush_s} seconds")["start"]

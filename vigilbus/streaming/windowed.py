@@ -14,7 +14,7 @@ from vigilbus.operators import federated as fed
 
 def rate_windows(stream: DataFrame, keys: Sequence[str], span: str, slide: str,
                  delay: str) -> DataFrame:
-    """Messages per key in sliding windows, emitted once the watermark passes the window."""
+    """Messages per key in sliding windows; the watermark says when a window is dropped from state."""
     slot = F.window("ts", span, slide)
     return stream.withWatermark("ts", delay).groupBy(slot.alias("w"), *keys).agg(
         F.count(F.lit(1)).alias("messages")
