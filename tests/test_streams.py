@@ -56,6 +56,50 @@ def test_online_windows(spark, landed):
     same(got, want)
 
 
+@pytest.mark.parametrize("delay", [None, "5 seconds"])
+def test_late_rows_do_not_turn_state_back(spark, landed, tmp_path, delay):
+    """The third file also repeats rows of the first under new numbers, long after their time."""
+    folder = str(tmp_path / "late")
+    table = landed[1].orderBy("seq")
+    late = table.where("seq % 20 = 3 AND seq < 60").selectExpr(
+        "ts", "us", "vehicle_id", "seq + 10000 AS seq", "signal", "value + 100 AS value")
+    parts = [table.where(f"seq div 100 = {i}") for i in range(4)]
+    parts[2] = parts[2].union(late)
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(folder)
+    s = sources.files(spark, folder, table.schema, files_per_trigger=1)
+    defaults = {"speed_kmh": 0.0, "brake": 0.0}
+    rows = s.select("ts", "vehicle_id", "us", "seq", "signal", "value")
+    got = sinks.finish(stateful.changed_state(rows, defaults, delay), "changed")
+    want = features.changed_rows(state.assemble_state(landed[1], defaults), list(defaults))
+    same(got, want.drop("ts"))
+    vectors = s.select("ts", "vehicle_id", "us", "seq", F.array("value").alias("v"))
+    got = sinks.finish(stateful.online_windows(vectors, 1, delay=delay), "windows")
+    want = windows.sliding(landed[1], ["value"]).select(
+        "vehicle_id", "end_seq", F.flatten("w").alias("flat"))
+    same(got, want)
+    if delay:  # behind the watermark: counted nowhere
+        got = sinks.finish(stateful.exact_rate(rows, 2_000_000, delay), "rate")
+        rate = features.message_rate(landed[1], ["vehicle_id", "signal"], 2_000_000)
+        same(got, rate.select("vehicle_id", "signal", "seq", "rate"))
+
+
+def test_silent_keys_lose_their_state(spark, landed, tmp_path):
+    """A vehicle that comes back after the time-out starts anew."""
+    folder = str(tmp_path / "silent")
+    table = landed[1].orderBy("seq")
+    back = table.where("vehicle_id = 0 AND seq >= 300")
+    for part in (table.where("vehicle_id = 0 AND seq < 100"),
+                 *[table.where(f"vehicle_id <> 0 AND seq div 100 = {i}") for i in (0, 1, 2)], back):
+        part.coalesce(1).write.mode("append").parquet(folder)
+    s = sources.files(spark, folder, table.schema, files_per_trigger=1)
+    defaults = {"speed_kmh": -1.0, "brake": -1.0}
+    rows = s.select("ts", "vehicle_id", "us", "seq", "signal", "value")
+    got = sinks.finish(stateful.changed_state(rows, defaults, "1 second", keep_s=5.0), "changed")
+    first = got.where("vehicle_id = 0 AND seq >= 300").orderBy("seq").first()
+    assert -1.0 in (first["speed_kmh"], first["brake"])
+
+
 def test_resends_are_dropped_across_batches(spark, landed, tmp_path):
     folder = str(tmp_path / "twice")
     for _ in range(2):

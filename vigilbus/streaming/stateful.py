@@ -2,6 +2,11 @@
 
 Rows of one key and micro-batch are sorted by (time, seq) before use, since Spark does not
 order them. The trigger's file limit bounds how many rows that is.
+
+With a ``delay`` the stream (which then also carries ``ts``) gets a watermark: rows behind it are
+dropped, and the state of a key that has been silent for ``keep`` is removed. Rows that are older
+than what a key has already emitted are late and dropped where order matters, with or without a
+watermark.
 """
 
 from __future__ import annotations
@@ -21,27 +26,58 @@ def _sorted(batches: Iterator[pd.DataFrame], by: Sequence[str] = ("us", "seq"))
     return pd.concat(list(batches), ignore_index=True).sort_values(list(by), ignore_index=True)
 
 
-def exact_rate(stream: DataFrame, span_us: int) -> DataFrame:
+def _keyed(stream: DataFrame, by: Sequence[str], step, output: str, state_sql: str,
+           delay: str | None, keep_s: float) -> DataFrame:
+    """``step(key, sorted rows, state)`` for every key with rows, under an optional watermark."""
+    def run(key, batches: Iterator[pd.DataFrame], state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        pdf = _sorted(batches)
+        yield step(key, pdf, state)
+        if delay and state.exists:
+            silent = int(pdf["us"].iloc[-1] // 1000 + keep_s * 1000)
+            state.setTimeoutTimestamp(max(silent, state.getCurrentWatermarkMs() + 1))
+
+    rows = stream.withWatermark("ts", delay) if delay else stream
+    timeout = GroupStateTimeout.EventTimeTimeout if delay else GroupStateTimeout.NoTimeout
+    return rows.groupBy(*by).applyInPandasWithState(run, output, state_sql, "append", timeout)
+
+
+def exact_rate(stream: DataFrame, span_us: int, delay: str | None = None,
+               keep_s: float = 86_400.0) -> DataFrame:
     """Messages of the (vehicle, signal) in the trailing span, for every row.
 
     Input: vehicle_id, signal, us, seq. The state keeps the times still inside the span.
     """
-    def count(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        pdf = _sorted(batches)
+    def count(key, pdf: pd.DataFrame, state: GroupState) -> pd.DataFrame:
         times = np.array(state.get[0] if state.exists else [], dtype="int64")
         now = pdf["us"].to_numpy("int64")
         times = np.sort(np.concatenate([times, now]))
         rate = np.searchsorted(times, now, "right") - np.searchsorted(times, now - span_us, "right")
         state.update((times[times > times[-1] - span_us].tolist(),))
-        yield pd.DataFrame({"vehicle_id": key[0], "signal": key[1], "seq": pdf["seq"], "rate": rate})
+        return pd.DataFrame({"vehicle_id": key[0], "signal": key[1], "seq": pdf["seq"], "rate": rate})
 
     kind = dict(stream.dtypes)["vehicle_id"]
-    return stream.groupBy("vehicle_id", "signal").applyInPandasWithState(
-        count, f"vehicle_id {kind}, signal string, seq long, rate long", "times array<long>",
-        "append", GroupStateTimeout.NoTimeout)
+    return _keyed(stream, ["vehicle_id", "signal"], count,
+                  f"vehicle_id {kind}, signal string, seq long, rate long", "times array<long>",
+                  delay, keep_s)
+
+
+def _in_order(pdf: pd.DataFrame, last: tuple[int, int] | None) -> pd.DataFrame:
+    """Rows after the last one that the key has emitted."""
+    if last is None:
+        return pdf
+    us, seq = last
+    return pdf[(pdf["us"] > us) | ((pdf["us"] == us) & (pdf["seq"] > seq))].reset_index(drop=True)
 
 
-def changed_state(stream: DataFrame, defaults: dict[str, float] | None = None) -> DataFrame:
+def _last(pdf: pd.DataFrame) -> tuple[int, int]:
+    return int(pdf["us"].iloc[-1]), int(pdf["seq"].iloc[-1])
+
+
+def changed_state(stream: DataFrame, defaults: dict[str, float] | None = None,
+                  delay: str | None = None, keep_s: float = 86_400.0) -> DataFrame:
     """Last-known state of every signal, emitted only when it differs from what was sent.
 
     Input: vehicle_id, us, seq, signal, value.
@@ -49,33 +85,37 @@ def changed_state(stream: DataFrame, defaults: dict[str, float] | None = None) -
     defaults = dict(defaults or STATE_DEFAULTS)
     names = list(defaults)
 
-    def follow(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        pdf = _sorted(batches)
-        known = dict(zip(names, state.get)) if state.exists else None
+    def follow(key, pdf: pd.DataFrame, state: GroupState) -> pd.DataFrame:
+        known = dict(zip(names, state.get[2:], strict=True)) if state.exists else None
+        pdf = _in_order(pdf, tuple(state.get[:2]) if state.exists else None)
+        if pdf.empty:
+            return pd.DataFrame({"vehicle_id": [], "seq": [], **{n: [] for n in names}})
         before = known or defaults
         wide = pd.DataFrame({
             n: pdf["value"].where(pdf["signal"] == n).ffill().fillna(before[n]) for n in names})
         previous = wide.shift(1)
         previous.iloc[0] = [before[n] for n in names] if known else np.nan
         changed = (wide != previous).any(axis=1)
-        state.update(tuple(float(x) for x in wide.iloc[-1]))
+        state.update((*_last(pdf), *(float(x) for x in wide.iloc[-1])))
         out = wide[changed]
         out.insert(0, "seq", pdf["seq"][changed])
         out.insert(0, "vehicle_id", key[0])
-        yield out
+        return out
 
     kind = dict(stream.dtypes)["vehicle_id"]
     values = ", ".join(f"{n} double" for n in names)
-    return stream.groupBy("vehicle_id").applyInPandasWithState(
-        follow, f"vehicle_id {kind}, seq long, {values}", values, "append",
-        GroupStateTimeout.NoTimeout)
+    return _keyed(stream, ["vehicle_id"], follow, f"vehicle_id {kind}, seq long, {values}",
+                  f"last_us long, last_seq long, {values}", delay, keep_s)
 
 
 def _slide(pdf: pd.DataFrame, state: GroupState, features: int, length: int):
     """(sequence numbers, flattened windows) that end in this batch; keeps the tail as state."""
-    old = np.array(state.get[0] if state.exists else [], dtype=float).reshape(-1, features)
+    pdf = _in_order(pdf, tuple(state.get[:2]) if state.exists else None)
+    if pdf.empty:
+        return np.array([], dtype=int), np.empty((0, length * features))
+    old = np.array(state.get[2] if state.exists else [], dtype=float).reshape(-1, features)
     rows = np.vstack([old, np.stack(pdf["v"].to_numpy()).astype(float)])
-    state.update((rows[-(length - 1):].ravel().tolist(),))
+    state.update((*_last(pdf), rows[-(length - 1):].ravel().tolist()))
     first = max(0, length - 1 - len(old))
     if first >= len(pdf):
         return np.array([], dtype=int), np.empty((0, length * features))
@@ -83,34 +123,37 @@ def _slide(pdf: pd.DataFrame, state: GroupState, features: int, length: int):
     return pdf["seq"].to_numpy()[first:], windows.reshape(len(windows), -1)
 
 
-def online_windows(stream: DataFrame, features: int, length: int = 20) -> DataFrame:
+_TAIL = "last_us long, last_seq long, tail array<double>"
+
+
+def online_windows(stream: DataFrame, features: int, length: int = 20, delay: str | None = None,
+                   keep_s: float = 86_400.0) -> DataFrame:
     """A flattened window for every row from the ``length``-th on.
 
     Input: vehicle_id, us, seq, v array<double>. The state holds the last length-1 vectors.
     """
-    def slide(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        seq, flat = _slide(_sorted(batches), state, features, length)
-        yield pd.DataFrame({"vehicle_id": key[0], "end_seq": seq, "flat": list(flat)})
+    def slide(key, pdf: pd.DataFrame, state: GroupState) -> pd.DataFrame:
+        seq, flat = _slide(pdf, state, features, length)
+        return pd.DataFrame({"vehicle_id": key[0], "end_seq": seq, "flat": list(flat)})
 
     kind = dict(stream.dtypes)["vehicle_id"]
-    return stream.groupBy("vehicle_id").applyInPandasWithState(
-        slide, f"vehicle_id {kind}, end_seq long, flat array<double>", "tail array<double>",
-        "append", GroupStateTimeout.NoTimeout)
+    return _keyed(stream, ["vehicle_id"], slide,
+                  f"vehicle_id {kind}, end_seq long, flat array<double>", _TAIL, delay, keep_s)
 
 
-def online_scores(stream: DataFrame, net, params) -> DataFrame:
+def online_scores(stream: DataFrame, net, params, delay: str | None = None,
+                  keep_s: float = 86_400.0) -> DataFrame:
     """Reconstruction error of every window as it completes; weights are sent once."""
     shared = stream.sparkSession.sparkContext.broadcast(params)
 
-    def judge(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        seq, flat = _slide(_sorted(batches), state, net.features, net.length)
+    def judge(key, pdf: pd.DataFrame, state: GroupState) -> pd.DataFrame:
+        seq, flat = _slide(pdf, state, net.features, net.length)
         score = net.scores(shared.value, flat) if len(flat) else np.array([])
-        yield pd.DataFrame({"vehicle_id": key[0], "end_seq": seq, "score": score})
+        return pd.DataFrame({"vehicle_id": key[0], "end_seq": seq, "score": score})
 
     kind = dict(stream.dtypes)["vehicle_id"]
-    return stream.groupBy("vehicle_id").applyInPandasWithState(
-        judge, f"vehicle_id {kind}, end_seq long, score double", "tail array<double>",
-        "append", GroupStateTimeout.NoTimeout)
+    return _keyed(stream, ["vehicle_id"], judge,
+                  f"vehicle_id {kind}, end_seq long, score double", _TAIL, delay, keep_s)
 
 
 def send_decisions(stream: DataFrame, base_s: float = 3600.0, min_s: float = 900.0) -> DataFrame:
