@@ -84,8 +84,14 @@ def bursts(rated: DataFrame, keys: Sequence[str], flag: str = "is_suspicious",
 # Generators ---------------------------------------------------------------------------------
 
 # Declared generator settings.
-FLOOD_PER_SECOND, FUZZ, REPLAY_MS, SPOOF, DRIFT_STEP = 1000, 0.3, 100, 0.5, 0.01
-BURST_MS, BURST_EVERY_MS, RATIO = 50, 500, 0.2
+FLOOD_PER_SECOND = 1000
+FUZZ = 0.3
+REPLAY_MS = 100
+SPOOF = 0.5
+DRIFT_STEP = 0.01
+BURST_MS = 50
+BURST_EVERY_MS = 500
+RATIO = 0.2
 
 
 def _shift(ts: Column, us: Column) -> Column:

@@ -13,10 +13,17 @@ from pyspark.sql import functions as F
 from vigilbus.plans.series import positions, rolling, running, settle, small_side
 from vigilbus.schema import weight_shapes
 
-DIVERGENCE_LIMIT, LOSS_LIMIT, STABLE_DIVERGENCE = 0.10, 0.30, 0.01
-BACKOFF, BACKOFF_CEILING = 1.5, 3.0
+# Limits of the send rule, of rollback and of the round schedule.
+DIVERGENCE_LIMIT = 0.10
+LOSS_LIMIT = 0.30
+STABLE_DIVERGENCE = 0.01
+BACKOFF = 1.5
+BACKOFF_CEILING = 3.0
 PATIENCE = 3
-EARLY_ROUNDS, IMPROVEMENT, EARLY_S, LATE_S = 5, 0.05, 900, 3600
+EARLY_ROUNDS = 5
+IMPROVEMENT = 0.05
+EARLY_S = 900
+LATE_S = 3600
 
 
 def expected_sizes(spark: SparkSession, shapes: Mapping[str, tuple] | None = None) -> DataFrame:

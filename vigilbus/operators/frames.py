@@ -92,7 +92,7 @@ def modified_replay(frames: DataFrame, dim: DataFrame,
     data, kind = F.col("data"), F.col("kind")
     plain = B.value_of(F.col("_w"), kind)
     gear = F.when(up, F.least(F.lit(6.0), plain + 1)).otherwise(F.greatest(F.lit(-1.0), plain - 1))
-    value = F.when(kind == "i32", gear).when(kind == "f32", plain * F.when(up, 2.0).otherwise(0.5))
+    value = F.when(plain.isNull(), None).when(kind == "i32", gear).when(kind == "f32", plain * F.when(up, 2.0).otherwise(0.5))
     unknown = kind.isNull() & (F.length(data) >= 4)
     return rows.select(
         "ts", "vehicle_id", "seq", "arbitration_id", "signal",

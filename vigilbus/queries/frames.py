@@ -23,6 +23,7 @@ FLOAT = """CASE WHEN w IS NULL OR (w // 8388608) % 256 = 255 THEN NULL ELSE
   CASE WHEN (w // 8388608) % 256 = 0 THEN (w % 8388608) * pow(2.0::DOUBLE, -149)
   ELSE (1 + (w % 8388608) / 8388608.0::DOUBLE) * pow(2.0::DOUBLE, (w // 8388608) % 256 - 127) END END"""
 INT = "CASE WHEN w >= 2147483648 THEN w - 4294967296 ELSE w END"
+VALUE = f"CASE WHEN kind = 'i32' THEN CAST({INT} AS DOUBLE) ELSE {FLOAT} END"
 NON_FINITE = "(coalesce((w // 8388608) % 256 = 255, false))"
 
 
@@ -90,7 +91,7 @@ def signal_lookup(spark, sf):
 
 
 @query("decode_frames_to_signals", with_sql(FRAMES_SQL, _words(BIG), f"""
-SELECT vehicle_id, seq, signal, {FLOAT} AS value FROM w JOIN dim ON arbitration_id % 256 = code
+SELECT vehicle_id, seq, signal, {VALUE} AS value FROM w JOIN dim ON arbitration_id % 256 = code
 WHERE NOT is_error AND NOT is_remote"""))
 def decode_to_signals(spark, sf):
     rows = ops.decode_signals(views.frames(spark, sf), views.signal_dim(spark))
@@ -130,7 +131,7 @@ def top_unmapped(spark, sf):
 
 
 REPLAY_SQL = with_sql(FRAMES_SQL, _words(BIG), f"""
-n AS (SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY ts, seq) % 2 = 1 AS up, {FLOAT} AS plain,
+n AS (SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY ts, seq) % 2 = 1 AS up, {VALUE} AS plain,
   CAST(length(hexdata) // 2 AS INTEGER) AS size FROM w LEFT JOIN dim ON arbitration_id % 256 = code)""", """
 s AS (SELECT *, CASE WHEN signal IS NULL AND size >= 4 THEN
    list_aggregate(list_transform(range(size), lambda i: printf('%02x', CAST(CASE WHEN up
@@ -138,7 +139,8 @@ s AS (SELECT *, CASE WHEN signal IS NULL AND size >= 4 THEN
       ELSE CAST('0x0' || substr(hexdata, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT) // 2 END AS BIGINT))), 'string_agg', '')
    ELSE hexdata END AS h FROM n)""", """
 SELECT seq, CASE WHEN up THEN 'increase' ELSE 'decrease' END AS modification,
-  CASE WHEN signal IS NOT NULL THEN plain * CASE WHEN up THEN 2.0::DOUBLE ELSE 0.5::DOUBLE END END AS value,
+  CASE WHEN plain IS NULL THEN NULL WHEN kind = 'i32' THEN CASE WHEN up THEN least(6.0::DOUBLE, plain + 1) ELSE greatest(-1.0::DOUBLE, plain - 1) END
+    WHEN signal IS NOT NULL THEN plain * CASE WHEN up THEN 2.0::DOUBLE ELSE 0.5::DOUBLE END END AS value,
   CASE WHEN size = 0 THEN '' ELSE left(h, CAST(2 * size - 2 AS BIGINT)) || printf('%02x',
     CAST('0x0' || right(h, 2) AS BIGINT) | 128) END AS payload FROM s""")
 

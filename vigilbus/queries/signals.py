@@ -203,13 +203,13 @@ w AS (SELECT *,
     coalesce((us - lag(us) OVER ({VEHICLE_WINDOW})) / 1000000.0::DOUBLE, 0.1::DOUBLE) AS gap,
     count(*) OVER t AS n10, stddev_pop(speed_kmh) OVER t AS s10, avg(speed_kmh) OVER t AS m10
   FROM tel WINDOW h AS ({VEHICLE_WINDOW} ROWS 99 PRECEDING), t AS ({VEHICLE_WINDOW} ROWS 9 PRECEDING))""", """
-SELECT vehicle_id, seq, speed_kmh AS f0, battery_level AS f1, gear AS f5, location_x AS f6, location_y AS f7,
+SELECT vehicle_id, seq, speed_kmh AS f0, battery_level AS f1, throttle AS f2, brake AS f3, steering AS f4, gear AS f5, location_x AS f6, location_y AS f7,
   round(dlt, 6) AS f8,
   round(CASE WHEN throttle + brake > 0 THEN throttle * brake / 100 ELSE 0.0 END, 6) AS f9,
   round(CASE WHEN n = 1 THEN 1.0 WHEN span > 0 THEN n / span ELSE n::DOUBLE END, 9) AS f10,
   round(gap, 6) AS f11,
   round(CASE WHEN n10 = 10 AND s10 > 0 THEN least(1.0, s10 / (m10 + 1e-8)) ELSE 0.0 END, 6) AS f12,
-  0.0::DOUBLE AS f13, 25 AS width FROM w"""))
+  """ + ", ".join(f"0.0::DOUBLE AS f{i}" for i in range(13, 25)) + """, 25 AS width FROM w"""))
 def edge_feature_vector(spark, sf):
     rows = features.edge_features(views.telemetry(spark, sf))
     v = F.col("features")
@@ -217,7 +217,7 @@ def edge_feature_vector(spark, sf):
     return rows.select(
         "vehicle_id", "seq",
         *[(F.round(v[i], digits[i]) if i in digits else v[i]).alias(f"f{i}")
-          for i in (0, 1, 5, 6, 7, 8, 9, 10, 11, 12, 13)],
+          for i in range(25)],
         F.size(v).alias("width"),
     )
 

@@ -16,6 +16,8 @@ def build_session(app: str = "vigilbus", master: str | None = None, **conf: str)
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Small shuffles keep one task per core.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         **conf,
     }
     for key, value in settings.items():

@@ -85,7 +85,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     and unmapped frames among them."""
     k = F.col("k")
     length = F.when(k % 50 == 1, 0).when(k % 25 == 0, 3).otherwise(8)
-    code = F.when(k >= 95, 0x60 + k % 8).otherwise(_event_case(2))
+    code = F.when(k >= 95, 0x60 + k % 8).when(k % 20 == 7, 0x28).otherwise(_event_case(2))
     events = table(spark, sf_dir, "events").withColumn(
         "k", payload()
     )
@@ -103,7 +103,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FRAMES_SQL = SIGNALS_SQL + """, fr AS (
   SELECT ts, us, vehicle_id, seq,
-    CAST(vehicle_id * 256 + CASE WHEN k >= 95 THEN 96 + k % 8
+    CAST(vehicle_id * 256 + CASE WHEN k >= 95 THEN 96 + k % 8 WHEN k % 20 = 7 THEN 40
       ELSE CASE signal WHEN 'speed_kmh' THEN 35 WHEN 'battery_level' THEN 36 WHEN 'throttle' THEN 37
                        WHEN 'brake' THEN 38 ELSE 39 END END AS INTEGER) AS arbitration_id,
     substr(md5(CAST(seq AS VARCHAR)), 1,
