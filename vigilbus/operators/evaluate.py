@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilbus.functions import noise
-from vigilbus.plans.series import positions, running, small_side
+from vigilbus.plans.series import MAX_SMALL_ROWS, positions, running, small_side
 from vigilbus.plans.stats import percentile_grid, percentiles
 
 PERCENTILE, SAFETY, MIN_ERRORS = 0.99, 1.5, 20
@@ -179,15 +179,30 @@ def bootstrap_mean(values: DataFrame, value: str, order: Sequence[str], n_boot:
                    target_rows: float | None = None) -> DataFrame:
     """Mean and percentile interval of the mean over resamples with replacement.
 
-    Row i supplies draw i of every resample: it expands to one row per resample holding a
-    seeded index, which an equi-join turns into a value. Sums per resample combine map-side.
+    Draw i of a resample is a seeded index. A short column is sent to the tasks as one array, and
+    each resample adds up its draws in place. A long one (more than ``MAX_SMALL_ROWS``) expands
+    every row to one row per resample, whose index an equi-join turns into a value.
     """
     n = values.count()
     numbered = positions(values.select(value, *order), [], order, "_i", target_rows)
+    one = F.lit(1).alias("_one")
+    if n <= MAX_SMALL_ROWS:
+        listed = numbered.agg(F.sort_array(F.collect_list(F.struct("_i", value))).alias("_s")).select(
+            F.transform("_s", lambda s: s[value]).alias("_v"), one)
+        boots = values.sparkSession.range(n_boot).select(F.col("id").alias("boot"), one)
+        drawn_sum = F.aggregate(
+            F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long")), F.lit(0.0), lambda a, i: a + F.get(
+                F.col("_v"), F.floor(noise.uniform(seed, "boot", i) * n).cast("int")))
+        means = boots.join(F.broadcast(listed), "_one").select((drawn_sum / n).alias("_mean"))
+        return _mean_band(values, value, means, alpha)
     draws = numbered.select("_i", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("boot"))
     drawn = draws.select("boot", (F.floor(noise.uniform(seed, "boot", "_i") * n) + 1).alias("_i"))
     resampled = drawn.join(small_side(numbered.select("_i", value)), "_i")
     means = resampled.groupBy("boot").agg((F.sum(value) / n).alias("_mean"))
+    return _mean_band(values, value, means, alpha)
+
+
+def _mean_band(values: DataFrame, value: str, means: DataFrame, alpha: float) -> DataFrame:
     band = percentiles(means, "_mean", {"ci_low": alpha / 2, "ci_high": 1 - alpha / 2})
     one = F.lit(1).alias("_one")
     centre = values.agg(F.avg(value).alias("mean")).select("*", one)
