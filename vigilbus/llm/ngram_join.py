@@ -34,11 +34,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vigilbus.llm import packed
 from vigilbus.llm.components import components
 from vigilbus.llm.shingles import shingle_sets
 from vigilbus.session import cut_lineage
@@ -54,17 +54,6 @@ HUB_ROUNDS = 1
 LOW_BITS = 40
 
 
-def _slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
-    start, held = 0, 0
-    for i, size in enumerate(sizes):
-        if i > start and (held + size > HOME_BYTES or i - start >= HOME_ROWS):
-            yield start, i
-            start, held = i, 0
-        held += size
-    if start < len(sizes):
-        yield start, len(sizes)
-
-
 def _low(tokens: np.ndarray) -> tuple[bytes, bytes]:
     """The low 40 bits as 4 bytes and 1 byte each."""
     return (tokens.astype(np.uint32).tobytes(),
@@ -77,17 +66,6 @@ def _tokens(lo: bytes, hi: bytes, bucket: int) -> np.ndarray:
             | np.uint64(bucket << LOW_BITS))
 
 
-def _pack(tokens: np.ndarray, width: int) -> bytes:
-    """The low ``width`` bytes of each token."""
-    return np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
-
-
-def _unpack(body: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(body) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(body, np.uint8).reshape(-1, width)
-    return out.view(np.uint64).ravel()
-
-
 def _width(bits: int) -> int:
     return (bits + LOW_BITS + 7) // 8
 
@@ -102,14 +80,6 @@ def _unpack_counts(body: bytes) -> np.ndarray:
     return np.frombuffer(body, {1: np.uint8, 4: np.uint32}[body[0]], offset=1).astype(np.int64)
 
 
-def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, length) of the runs of equal values."""
-    if not len(ordered):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    return starts, np.diff(np.concatenate([starts, [len(ordered)]]))
-
-
 def _table(rows: list[dict], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_pylist(rows, schema)
 
@@ -136,20 +106,16 @@ _DOCS = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64(
 _DOCS_SQL = "doc_id long, mark long, n long, cid long, active boolean, tokens binary"
 
 
-def _home_number(ordinal: int) -> int:
-    return (TaskContext.get().partitionId() << 24) + ordinal
-
-
 def _send_documents(bits: int, width: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ordinal = 0
         for batch in batches:
             ids, texts, marks = batch.columns
             sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
-            for a, b in _slices(sizes):
+            for a, b in packed.slices(sizes, HOME_BYTES, HOME_ROWS):
                 rows = _document_rows(
                     ids[a:b].to_pylist(), marks[a:b].to_numpy(),
-                    shingle_sets(texts[a:b].to_pylist(), width), bits, _home_number(ordinal))
+                    shingle_sets(texts[a:b].to_pylist(), width), bits, packed.home_number(ordinal))
                 ordinal += 1
                 yield from _table(rows, _SENT).to_batches()
 
@@ -167,7 +133,7 @@ def _document_rows(
     member = np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)
     order = np.argsort(tokens, kind="stable")
     tokens, member = tokens[order], member[order]
-    starts, many = _runs(tokens)
+    starts, many = packed.runs(tokens)
     several = np.repeat(many > 1, many)
     # The last of the senders stands for several documents of this home.
     sent, sender = tokens[starts], np.where(many > 1, len(sets), member[starts]).astype(np.int64)
@@ -203,7 +169,7 @@ def _shared_in_bucket(key: tuple, table: pa.Table) -> pa.Table:
     members = [np.repeat(np.arange(len(c)), c) for c in counts]
     every = np.concatenate(tokens)
     order = np.argsort(every, kind="stable")
-    starts, many = _runs(every[order])
+    starts, many = packed.runs(every[order])
     marked = np.concatenate([m == len(c) - 1 for m, c in zip(members, counts, strict=True)])[order]
     shared_runs = (many > 1) | np.logical_or.reduceat(marked, starts)
     shared = np.empty(len(every), bool)
@@ -255,7 +221,7 @@ def _prune_home(table: pa.Table, width: int) -> pa.Table:
         body = None
         if active[i] and cids[i] not in carried:
             carried.add(cids[i])
-            body = _pack(token[ends[i] - many[i]:ends[i]], width)
+            body = packed.cut(token[ends[i] - many[i]:ends[i]], width)
         rows.append({"doc_id": None if null else doc, "mark": marks[i], "n": int(sizes[i]),
                      "cid": cids[i], "active": bool(active[i]), "tokens": body})
     return _table(rows, _DOCS)
@@ -289,15 +255,15 @@ def _send_classes(bits: int, short: int):
         for batch in batches:
             cids, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             bodies = batch.column(2)
-            for a, b in _slices(pc.binary_length(bodies).to_pylist()):
-                home = _home_number(ordinal)
+            for a, b in packed.slices(pc.binary_length(bodies).to_pylist(), HOME_BYTES, HOME_ROWS):
+                home = packed.home_number(ordinal)
                 ordinal += 1
-                sets = [_unpack(x, _width(bits)) for x in bodies[a:b].to_pylist()]
+                sets = [packed.uncut(x, _width(bits)) for x in bodies[a:b].to_pylist()]
                 counts = np.array([len(s) for s in sets], np.int32)
                 every = np.concatenate(sets)
                 member = np.repeat(np.arange(b - a, dtype=np.uint16), counts)
                 order = np.argsort(every, kind="stable")
-                starts, many = _runs(every[order])
+                starts, many = packed.runs(every[order])
                 unique = every[order][starts]
                 rank = np.arange(len(every)) - np.repeat(starts, many)
                 first = member[order][rank < short]
@@ -305,7 +271,7 @@ def _send_classes(bits: int, short: int):
                 ends = np.cumsum(held)
                 rows = [{"g": -1 - home, "home": home, "cids": cids[a:b].tobytes(),
                          "sizes": sizes[a:b].tobytes(), "counts": counts.tobytes(),
-                         "tokens": _pack(every, _width(bits))}]
+                         "tokens": packed.cut(every, _width(bits))}]
                 cuts = np.searchsorted(unique, np.arange(
                     (1 << bits) + 1, dtype=np.uint64) << np.uint64(LOW_BITS)).tolist()
                 for bucket in range(1 << bits):
@@ -346,7 +312,7 @@ def _lists_of_bucket(key: tuple, table: pa.Table, short: int) -> pa.Table:
     held = np.minimum(total, short)
     entry_token, entry_ref = np.repeat(every, held), np.concatenate(refs)
     by_token = np.argsort(entry_token, kind="stable")  # refs stay in the order of homes
-    starts, lengths = _runs(entry_token[by_token])
+    starts, lengths = packed.runs(entry_token[by_token])
     names = entry_token[by_token][starts]
     lists = entry_ref[by_token]
     place = np.searchsorted(names, every)
@@ -385,7 +351,7 @@ def _merge_home(table: pa.Table, width: int, short: int) -> pa.Table:
             cids = np.frombuffer(_binary(table, "cids", i), np.int64).tolist()
             sizes = np.frombuffer(_binary(table, "sizes", i), np.int64)
             counts = np.frombuffer(_binary(table, "counts", i), np.int32)
-            every = _unpack(_binary(table, "tokens", i), width)
+            every = packed.uncut(_binary(table, "tokens", i), width)
         else:
             names.append(_tokens(_binary(table, "lo", i), _binary(table, "hi", i), bucket))
             df.append(np.frombuffer(_binary(table, "many", i), np.int32))
@@ -419,7 +385,7 @@ def _merge_home(table: pa.Table, width: int, short: int) -> pa.Table:
                 most = times[whole != me].max(initial=0)
                 is_open = bool(long.sum() + most >= need)
         if is_open:
-            body = _pack(own, width)
+            body = packed.cut(own, width)
             centre = float(np.log2(many[place]).sum()) / n
             rarest = np.lexsort((own, many[place]))[:len(own) - need + 1]
             rare = own[rarest].astype(np.int64).tolist()
@@ -455,7 +421,7 @@ def _heads(
     first[1:] = (token[1:] != token[:-1]) | (root[1:] != root[:-1])
     token, root, ref, centre = token[first], root[first], ref[first], centre[first]
     order = np.lexsort((ref, -centre, token))
-    starts, many = _runs(token[order])
+    starts, many = packed.runs(token[order])
     rank = np.arange(len(token)) - np.repeat(starts, many)
     order = order[rank < most]
     return token[order], root[order], ref[order], centre[order]
@@ -467,20 +433,20 @@ def _send_hubs(bits: int, short: int):
         for batch in batches:
             refs, roots, sizes, centres = (batch.column(i).to_numpy() for i in range(4))
             bodies = batch.column(4)
-            for a, b in _slices(pc.binary_length(bodies).to_pylist()):
-                home = _home_number(ordinal)
+            for a, b in packed.slices(pc.binary_length(bodies).to_pylist(), HOME_BYTES, HOME_ROWS):
+                home = packed.home_number(ordinal)
                 ordinal += 1
-                sets = [_unpack(x, _width(bits)) for x in bodies[a:b].to_pylist()]
+                sets = [packed.uncut(x, _width(bits)) for x in bodies[a:b].to_pylist()]
                 counts = np.array([len(s) for s in sets], np.int32)
                 every = np.concatenate(sets)
                 token, root, ref, centre = _heads(
                     every, np.repeat(roots[a:b], counts), np.repeat(refs[a:b], counts),
                     np.repeat(centres[a:b], counts), short)
-                starts, many = _runs(token)
+                starts, many = packed.runs(token)
                 unique = token[starts]
                 rows = [{"g": -1 - home, "home": home, "refs": refs[a:b].tobytes(),
                          "sizes": sizes[a:b].tobytes(), "counts": counts.tobytes(),
-                         "tokens": _pack(every, _width(bits))}]
+                         "tokens": packed.cut(every, _width(bits))}]
                 cuts = np.searchsorted(unique, np.arange(
                     (1 << bits) + 1, dtype=np.uint64) << np.uint64(LOW_BITS)).tolist()
                 places = np.concatenate([starts, [len(token)]])
@@ -522,7 +488,7 @@ def _hubs_of_bucket(key: tuple, table: pa.Table, short: int) -> pa.Table:
         np.concatenate([np.repeat(t, m) for t, m in zip(tokens, many, strict=True)]),
         entries("roots", np.int64), entries("refs", np.int64), entries("centres", np.float32),
         short)
-    starts, lengths = _runs(token)
+    starts, lengths = packed.runs(token)
     names = token[starts]
     rows = []
     for home, asked in zip(homes, tokens, strict=True):
@@ -551,7 +517,7 @@ def _count_heads(table: pa.Table, width: int) -> pa.Table:
             refs = np.frombuffer(_binary(table, "refs", i), np.int64).tolist()
             sizes = np.frombuffer(_binary(table, "sizes", i), np.int64)
             counts = np.frombuffer(_binary(table, "counts", i), np.int32)
-            every = _unpack(_binary(table, "tokens", i), width)
+            every = packed.uncut(_binary(table, "tokens", i), width)
         else:
             names.append(_tokens(_binary(table, "lo", i), _binary(table, "hi", i), bucket))
             many.append(np.frombuffer(_binary(table, "many", i), np.uint8))
@@ -584,7 +550,7 @@ def _overlap(width: int):
         """Size of the intersection of two sorted sets: the smaller is searched in the larger."""
         out = []
         for a, b in zip(left.to_pylist(), right.to_pylist(), strict=True):
-            x, y = _unpack(a, width), _unpack(b, width)
+            x, y = packed.uncut(a, width), packed.uncut(b, width)
             if len(x) > len(y):
                 x, y = y, x
             place = np.minimum(np.searchsorted(y, x), len(y) - 1)
