@@ -120,10 +120,11 @@ JOIN (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id) US
 
 # The bytes of a text as a string of hexadecimal digits, two a byte.
 REPEATED_BYTES = """
-WITH raw AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n
+WITH raw AS (SELECT doc_id, encode(coalesce(text, '')) AS bin,
+  hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n
              FROM documents),
-starts AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS w
-           FROM (SELECT doc_id, h, unnest(range(n - 49)) AS i FROM raw WHERE n >= 50)),
+starts AS (SELECT doc_id, i, bin[i + 1:i + 50] AS w
+           FROM (SELECT doc_id, bin, unnest(range(n - 49)) AS i FROM raw WHERE n >= 50)),
 least AS (SELECT w, min(doc_id) AS low FROM starts GROUP BY w HAVING count(*) > 1),
 hit AS (SELECT doc_id, i FROM starts JOIN least USING (w) WHERE doc_id > low),
 marked AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM hit),
