@@ -1,5 +1,6 @@
 """Decontamination, token counts, personal data and quality against brute force and edge cases."""
 
+import math
 import random
 import re
 
@@ -155,6 +156,45 @@ def test_revealing_terms_and_clean_documents(frame):
     assert pii.find_personal(frame([])).count() == 0
 
 
+def test_terms_are_paired_over_whole_documents(frame):
+    """Against plain loops, with terms far away, short, between blankless text and other matches."""
+    rng = random.Random(4)
+    far = " ".join(["plain"] * 60)
+    people = [("ann@corp.example", "Zyx", "Ng"), ("10.1.2.3", "Quorl", "Li"),
+              ("+1 555 010 9999", "王小明", "Vantor")]
+    texts = []
+    for entity, *names in people:
+        for i in range(3):
+            near = " ".join(rng.sample(["some", "of", "the", "words"], 3))
+            texts.append(f"{names[0]}。{far} {near} {entity} {entity}\t{'x' * 90} {far} {names[1]}")
+        texts.append(f"{far} {names[1]} some of the words")
+    texts += ["plain words of the sort that some say"] * 60 + [texts[0], None]
+    rows = [*enumerate(texts), (0, texts[0])]
+    docs = [(i, t, {s[3] + ":" + re.sub("[^0-9]" if s[3] == "phone" else "$", "", t[s[0]:s[2]])
+                    for s in plain_spans(t)}, set(re.findall(r"[^\W\d_]+", (t or "").lower())))
+            for i, t in rows]
+    expected = {}
+    for c in set().union(*(d[2] for d in docs)):
+        held = [d for d in docs if c in d[2]]
+        for t in set().union(*(d[3] for d in held)):
+            both, of = sum(t in d[3] for d in held), sum(t in d[3] for d in docs)
+            pmi, ic = math.log2(len(docs) * both / (len(held) * of)), math.log2(len(docs) / len(held))
+            if both >= pii.SUPPORT and pmi >= pii.THRESHOLD * ic:
+                for d in held:
+                    at = expected.setdefault(d[0], {})
+                    at[t] = "remove" if both == of else at.get(t, "general")
+    assert expected[0]["zyx"] == "remove" and "ng" in expected[0]
+    got = pii.find_personal(frame(rows)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        text = texts[r.doc_id] or ""
+        base = plain_spans(text)
+        want = [(m.start(), m.end(), expected[r.doc_id][m[0].lower()])
+                for m in re.finditer(r"[^\W\d_]+", text) if m[0].lower() in expected.get(r.doc_id, {})]
+        assert [(s.start, s.end, s.kind) for s in r.spans if s.kind not in pii.KINDS] == [
+            w for w in want if all(w[1] <= b[0] or b[2] <= w[0] for b in base)]
+
+
 def test_quality_learns_from_labels_alone(spark, sf):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")

@@ -5,10 +5,11 @@ entity c. Corpus counts over all documents estimate how strongly a term t reveal
 
     PMI(c; t) = log2(N df(c, t) / (df(c) df(t)))        IC(c) = log2(N / df(c))
 
-df(c, t) counts documents with t within ``CONTEXT`` characters of c, df(t) all documents with t. In
-a document that holds c, a term seen with c in ``SUPPORT`` documents at least and with PMI >=
+df(c, t) counts documents that hold both, however far apart, df(t) all documents with t. In a
+document that holds c, a term seen with c in ``SUPPORT`` documents at least and with PMI >=
 ``THRESHOLD`` IC is taken out wherever it stands: generalised, or removed if it occurs with c only
-(PMI = IC). Documents without personal data stay as they are.
+(PMI = IC). Documents without personal data stay as they are. A term is a run of letters of any
+length.
 
 Patterns are written so that they find what the plain patterns find, but in linear time and without
 recursion on long texts: possessive groups, and starts only where a run of characters starts or the
@@ -38,8 +39,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _BYTE = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-TERM = r"\p{L}{4,}"
-CONTEXT = 80
+TERM = r"\p{L}++"
 SUPPORT = 2
 THRESHOLD = 0.9
 #: Prefix sums run over this many matches at a time, so that arrays grow in short pieces.
@@ -54,40 +54,32 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _matches(text: Column, pattern: Column) -> Column:
-    """array<struct<start, end, value, left, right>>: all matches, with the text around each.
+    """array<struct<start, end, value>>: all matches.
 
     The pieces between matches give the positions as running sums of lengths.
     """
 
-    def step(gap: Column, value: Column, after: Column) -> Column:
-        left, right = F.substring(gap, -CONTEXT, CONTEXT), F.substring(after, 1, CONTEXT)
-        return F.struct(
-            F.length(gap).alias("gap"), value.alias("value"),
-            F.when(F.length(gap) > CONTEXT, F.regexp_replace(left, r"^\S+", "")).otherwise(left)
-            .alias("left"),
-            F.when(F.length(after) > CONTEXT, F.regexp_replace(right, r"\S+$", ""))
-            .otherwise(right).alias("right"))
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+
+    def step(gap: Column, value: Column) -> Column:
+        return F.struct(F.length(gap).alias("gap"), value.alias("value"))
 
     def local(steps: Column) -> Column:
         """End position of a piece and its matches, counted from the piece's start."""
-        start = F.struct(
-            F.lit(0).alias("pos"),
-            F.array().cast("array<struct<start:int,end:int,value:string,left:string,right:string>>")
-            .alias("out"))
+        start = F.struct(F.lit(0).alias("pos"), none.alias("out"))
 
         def add(acc: Column, s: Column) -> Column:
             begin = acc["pos"] + s["gap"]
             end = begin + F.length(s["value"])
             return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(F.struct(
-                begin.alias("start"), end.alias("end"), s["value"].alias("value"),
-                s["left"].alias("left"), s["right"].alias("right")))).alias("out"))
+                begin.alias("start"), end.alias("end"), s["value"].alias("value")))).alias("out"))
 
         return F.aggregate(steps, start, add)
 
     def shifted(piece: Column, by: Column) -> Column:
         return F.transform(piece["out"], lambda m: F.struct(
             (m["start"] + by).alias("start"), (m["end"] + by).alias("end"),
-            m["value"].alias("value"), m["left"].alias("left"), m["right"].alias("right")))
+            m["value"].alias("value")))
 
     def located(steps: Column) -> Column:
         pieces = F.transform(
@@ -96,14 +88,11 @@ def _matches(text: Column, pattern: Column) -> Column:
         return _let(pieces, lambda ps: F.flatten(F.transform(ps, lambda p, i: shifted(
             p, F.aggregate(F.slice(ps, F.lit(1), i), F.lit(0), lambda a, q: a + q["pos"])))))
 
-    none = F.array().cast(
-        "array<struct<start:int,end:int,value:string,left:string,right:string>>")
     found = F.struct(
         F.split(text, pattern, -1).alias("gaps"),
         F.regexp_extract_all(text, pattern, F.lit(0)).alias("values"))
     return _let(found, lambda f: F.when(F.size(f["values"]) == 0, none).otherwise(_let(
-        F.transform(f["values"], lambda v, i: step(
-            F.get(f["gaps"], i), v, F.get(f["gaps"], i + 1))), located)))
+        F.transform(f["values"], lambda v, i: step(F.get(f["gaps"], i), v)), located)))
 
 
 def _digits(value: Column) -> Column:
@@ -143,11 +132,10 @@ def _terms(text: Column) -> Column:
 
 
 def base_spans(text: Column) -> Column:
-    """array<struct<start, rank, end, kind, entity, terms>> by start, then kind as listed."""
+    """array<struct<start, rank, end, kind, entity>> by start, then kind as listed."""
     text = F.coalesce(text, F.lit(""))
     gate = {"email": "@", "phone": "+"}
-    none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,entity:string,"
-                          "terms:array<string>>>")
+    none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,entity:string>>")
 
     def of_kind(rank: int, kind: str) -> Column:
         here = text.contains(gate[kind]) if kind in gate else text.rlike("[0-9]")
@@ -155,8 +143,7 @@ def base_spans(text: Column) -> Column:
             _matches(text, F.lit(PATTERNS[kind])), lambda m: _valid(kind, m["value"]))
         spans = F.transform(found, lambda m: F.struct(
             m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"),
-            F.lit(kind).alias("kind"), _entity(kind, m["value"]).alias("entity"),
-            F.array_distinct(_terms(F.concat_ws(" | ", m["left"], m["right"]))).alias("terms")))
+            F.lit(kind).alias("kind"), _entity(kind, m["value"]).alias("entity")))
         return F.when(here, spans).otherwise(none)
 
     kinds = [of_kind(rank, kind) for rank, kind in enumerate(KINDS)]
@@ -166,32 +153,40 @@ def base_spans(text: Column) -> Column:
 def revealing_terms(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
     """mark, term, removed: terms that reveal an entity of the document with this mark.
 
-    ``found`` has mark and base (spans) of every document. Terms are counted by their hash over all
-    documents; pairs of entity and term are counted per document before they are shuffled.
+    ``found`` has mark, base (spans) and, where there are any, terms of every document. Terms are
+    counted by their hash over all documents. Since df(c, t) <= df(c), a term of more than
+    N^(1 - THRESHOLD) df(c)^THRESHOLD documents can't disclose c, so such terms are left out before
+    they are paired with the entities of their documents.
     """
     total = found.count()
     held = found.where(F.size("base") > 0)
-    pair = F.flatten(F.transform("base", lambda s: F.transform(s["terms"], lambda t: F.concat(
-        s["entity"], F.lit("\t"), t))))
-    pairs = held.select("mark", F.explode(F.array_distinct(pair)).alias("pair"))
-    met = pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("both")).where(
-        F.col("both") >= SUPPORT).select(
-            "pair", "both", F.substring_index("pair", "\t", 1).alias("entity"),
-            F.xxhash64(F.substring_index("pair", "\t", -1)).alias("term"))
-    entities = held.select(F.explode(F.array_distinct(F.transform(
-        "base", lambda s: s["entity"]))).alias("entity")).groupBy("entity").agg(
-            F.count(F.lit(1)).alias("of_entity"))
+    # Rows equal in id and text have one mark: they are paired once and count as often as they are.
+    named = held.select("mark", F.explode(F.array_distinct(F.transform(
+        "base", lambda s: s["entity"]))).alias("entity")).groupBy("mark", "entity").agg(
+            F.count(F.lit(1)).alias("copies"))
+    entities = named.groupBy("entity").agg(F.sum("copies").alias("of_entity")).where(
+        (F.col("of_entity") >= SUPPORT) & (F.col("of_entity") < total)).withColumn(
+            "most", F.pow(F.lit(float(total)), F.lit(1 - THRESHOLD))
+            * F.pow("of_entity", F.lit(THRESHOLD)) * (1 + 1e-9))
+    named = cut_lineage(named.join(entities, "entity"))
+    limit = named.agg(F.max("most")).first()[0] or 0.0
     terms = docs.select(F.explode(F.array_distinct(F.transform(
-        _terms(F.coalesce(F.col(text), F.lit(""))), lambda t: F.xxhash64(t)))).alias("term")).groupBy("term").agg(
-            F.count(F.lit(1)).alias("of_term"))
-    scored = met.join(entities, "entity").join(terms, "term")
+        _terms(F.coalesce(F.col(text), F.lit(""))), lambda t: F.xxhash64(t)))).alias("hash")).groupBy("hash").agg(
+            F.count(F.lit(1)).alias("of_term")).where(F.col("of_term").between(SUPPORT, limit))
+    words = held.select("mark", "terms").join(
+        named.groupBy("mark").agg(F.max("most").alias("most")), "mark").dropDuplicates(["mark"]).select(
+            "mark", "most", F.explode("terms").alias("term")).withColumn("hash", F.xxhash64("term"))
+    rare = cut_lineage(words.join(terms, "hash").where(F.col("of_term") <= F.col("most")).select(
+        "mark", "term", "of_term"))
+    pairs = named.join(rare, "mark").where(F.col("of_term") <= F.col("most"))
+    scored = pairs.groupBy("entity", "term", "of_entity", "of_term").agg(
+        F.sum("copies").alias("both")).where(F.col("both") >= SUPPORT)
     pmi = F.log2(F.lit(float(total)) * F.col("both") / (F.col("of_entity") * F.col("of_term")))
     information = F.log2(F.lit(float(total)) / F.col("of_entity"))
-    disclosing = scored.where((pmi >= THRESHOLD * information) & (information > 0)).select(
-        "pair", (F.col("both") == F.col("of_term")).alias("removed"))
-    return pairs.join(disclosing, "pair").groupBy(
-        "mark", F.substring_index("pair", "\t", -1).alias("term")).agg(
-            F.max("removed").alias("removed"))
+    disclosing = scored.where(pmi >= THRESHOLD * information).select(
+        "entity", "term", (F.col("both") == F.col("of_term")).alias("removed"))
+    return pairs.select("mark", "entity", "term").join(disclosing, ["entity", "term"]).groupBy(
+        "mark", "term").agg(F.max("removed").alias("removed"))
 
 
 def _term_spans(text: Column, terms: Column, kind: str, rank: int) -> Column:
@@ -211,7 +206,10 @@ def find_personal(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     ``mark`` is the hash of id and text.
     """
     mark = F.xxhash64(key, text)
-    found = cut_lineage(docs.select(F.col(key), mark.alias("mark"), base_spans(F.col(text)).alias("base")))
+    based = docs.select(
+        F.col(key), mark.alias("mark"), base_spans(F.col(text)).alias("base"), F.col(text).alias("body"))
+    found = cut_lineage(based.select(key, "mark", "base", F.when(
+        F.size("base") > 0, F.array_distinct(_terms(F.col("body")))).alias("terms")))
     terms = revealing_terms(docs, found, text).groupBy("mark").agg(
         F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("remove"),
         F.collect_set(F.when(~F.col("removed"), F.col("term"))).alias("general"))
