@@ -206,6 +206,23 @@ def test_quality_learns_from_labels_alone(spark, sf):
     assert sum(s >= 0.5 for s in good) >= 0.98 * len(good)
 
 
+def test_quality_learns_from_tails_of_long_documents(frame, monkeypatch):
+    """Labelled texts that differ after 450 lines only; then fewer documents, but whole ones."""
+    same = "One plain line of words.\n" * 450
+    texts = [same + ("Good plain line.\n" if i % 2 else "%%% $$$ ###\n") * 50 for i in range(24)]
+    docs = frame(list(enumerate(texts)))
+    labels = frame([(i, i % 2) for i in range(24)], "doc_id long, quality int")
+    tails = frame([(0, "%%% $$$ ###\n" * 9), (1, "Good plain line.\n" * 9)])
+    model = quality.train(docs, labels)
+    score = {r.doc_id: r.score for r in quality.score_quality(tails, model).collect()}
+    assert score[1] > score[0] + 0.1
+    taken = []
+    monkeypatch.setattr(quality, "TRAIN_LINES", 1100)
+    monkeypatch.setattr(quality, "fit", lambda owns, labels: taken.extend(map(len, owns)))
+    quality.train(docs, labels)
+    assert taken == [501] * 3
+
+
 def test_forward_backward_equals_enumeration():
     import itertools
     import math

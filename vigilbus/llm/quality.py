@@ -5,8 +5,9 @@ it; the chain's transitions are learnt with them by gradient ascent on the likel
 labels, where every line of a labelled document carries the document's label. A document's score
 is the mean of its lines' forward-backward marginals of "good", weighted by line length.
 
-The fit uses a bounded sample of labelled documents (``TRAIN_DOCS``, in the order of a hash of the
-id) and the first ``TRAIN_LINES`` lines of each; scoring reads every line of every text.
+The fit uses a bounded sample of labelled documents in the order of a hash of the id: at most
+``TRAIN_DOCS``, and none after ``TRAIN_LINES`` lines. Each is taken with all its lines, whose
+features are made in tasks; scoring reads every line of every text.
 
 Defined cases: a null or empty text is one empty line; ids that hash to fold 1 are held out, and a
 null id hashes as the empty text; null labels teach nothing; without labels of both kinds every
@@ -22,11 +23,14 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from vigilbus.llm.columns import without
+from vigilbus.session import cut_lineage
 
 TRAIN_DOCS = 6000
-TRAIN_LINES = 400
+#: Lines of all chosen documents together; the last one may exceed it, as none is cut.
+TRAIN_LINES = 500_000
 FOLDS, HELD_OUT = 3, 1
 ADDED = ("held_out", "score", "predicted")
 
@@ -61,18 +65,22 @@ def _line(line: bytes, seen: set[bytes]) -> list[float]:
     ]
 
 
-def line_features(text: str | None, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(lines x WIDTH features, line lengths in bytes plus one) of a text."""
-    lines = (text or "").encode("utf-8", "surrogatepass").split(b"\n")[:most]
+def own_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(lines x OWN features, line lengths in bytes plus one) of a text."""
+    lines = (text or "").encode("utf-8", "surrogatepass").split(b"\n")
     seen: set[bytes] = set()
-    own = np.array([_line(x, seen) for x in lines], np.float64)
+    return (np.array([_line(x, seen) for x in lines], np.float64),
+            np.array([len(x) + 1 for x in lines], np.float64))
+
+
+def in_context(own: np.ndarray) -> np.ndarray:
+    """lines x WIDTH features: a line's own, those of its neighbours, and its place."""
     edge = np.zeros((1, OWN))
-    n = len(lines)
+    n = len(own)
     before, after = np.vstack([edge, own[:-1]]), np.vstack([own[1:], edge])
     first, last = np.zeros((n, 1)), np.zeros((n, 1))
     first[0], last[-1] = 1, 1
-    return (np.hstack([own, before, after, np.ones((n, 1)), first, last]),
-            np.array([len(x) + 1 for x in lines], np.float64))
+    return np.hstack([own, before, after, np.ones((n, 1)), first, last])
 
 
 class Packed:
@@ -122,13 +130,13 @@ def forward_backward(unary: np.ndarray, links: np.ndarray, packed: Packed):
     return marginal, expected, log_z
 
 
-def fit(texts: list[str | None], labels: list[int], rounds: int = 150, decay: float = 1e-3) -> dict:
-    """Weights of the chain from documents and their labels (0 or 1), by Adam."""
+def fit(owns: list[np.ndarray], labels: list[int], rounds: int = 150, decay: float = 1e-3) -> dict:
+    """Weights of the chain from documents' own features and labels (0 or 1), by Adam."""
     share = float(np.mean(labels)) if labels else 0.5
     model = {"w": np.zeros(WIDTH), "links": np.zeros((2, 2)), "share": share, "fitted": False}
     if len(set(labels)) < 2:
         return model
-    made = [line_features(t, TRAIN_LINES)[0] for t in texts]
+    made = [in_context(own) for own in owns]
     sizes = np.array([len(m) for m in made])
     x, y = np.vstack(made), np.repeat(np.array(labels, float), sizes)
     packed = Packed(sizes)
@@ -158,8 +166,8 @@ def score_texts(texts: list[str | None], model: dict) -> list[float]:
         return [model["share"]] * len(texts)
     unary, weights, sizes = [], [], []
     for text in texts:
-        x, length = line_features(text)
-        unary.append(x @ model["w"])
+        own, length = own_features(text)
+        unary.append(in_context(own) @ model["w"])
         weights.append(length)
         sizes.append(len(length))
     sizes = np.array(sizes)
@@ -175,21 +183,37 @@ def fold(key: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
+@F.arrow_udf(BinaryType())
+def _own_bytes(texts: pa.Array) -> pa.Array:
+    return pa.array([own_features(t)[0].tobytes() for t in texts.to_pylist()], pa.binary())
+
+
 def train(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
     label: str = "quality", most: int = TRAIN_DOCS,
 ) -> dict:
-    """Fit on at most ``most`` labelled rows outside the held-out fold; only these are collected."""
+    """Fit on at most ``most`` labelled rows outside the held-out fold; only numbers are collected."""
     chosen = (
         labels.where((fold(key) != HELD_OUT) & F.col(label).isin(0, 1))
         .select(F.col(key), F.col(label).cast("int").alias("label"))
         .orderBy(F.xxhash64(key), key, "label").limit(most)
     )
-    rows = (
+    made = cut_lineage(
         docs.select(key, text).join(F.broadcast(chosen), key)  # at most ``most`` rows
-        .select(key, "label", text).orderBy(F.xxhash64(key), key, "label", F.md5(text)).limit(most)
-    ).collect()
-    return fit([r[2] for r in rows], [r[1] for r in rows])
+        .select(key, "label", F.md5(text).alias("digest"), _own_bytes(F.col(text)).alias("own"),
+                F.monotonically_increasing_id().alias("row")))
+    sizes = made.select(
+        key, "label", "digest", "row", (F.length("own") / (8 * OWN)).cast("long").alias("lines"),
+    ).orderBy(F.xxhash64(key), key, "label", "digest").limit(most).select("row", "lines").collect()
+    place, lines = {}, 0
+    for row, n in sizes:
+        if lines >= TRAIN_LINES:
+            break
+        place[row] = len(place)
+        lines += n
+    rows = made.where(F.col("row").isin(list(place))).select("row", "label", "own").collect()
+    rows.sort(key=lambda r: place[r[0]])
+    return fit([np.frombuffer(r[2]).reshape(-1, OWN) for r in rows], [r[1] for r in rows])
 
 
 def _scorer(shared: Broadcast):
