@@ -274,3 +274,19 @@ def test_any_marked_signal_marks_the_packet(spark):
 def test_interpolation_at_the_ends(spark):
     out = declared.fill_missing(series(spark, [None, 2.0, None, None, 8.0, None]), "speed_kmh")
     assert column(out, "speed_kmh") == [2.0, 2.0, 4.0, 6.0, 8.0, 8.0]
+
+
+def test_bootstrap_leaves_out_nulls_by_either_path(spark, monkeypatch):
+    rows = spark.createDataFrame(
+        [(i, None if i % 3 == 0 else float(i * i)) for i in range(30)], "id int, x double")
+    full = rows.where("x IS NOT NULL")
+    want = evaluate.bootstrap_mean(full, "x", ["id"], n_boot=50).first()
+    assert want.ci_low < want.mean < want.ci_high
+    short = evaluate.bootstrap_mean(rows, "x", ["id"], n_boot=50).first()
+    monkeypatch.setattr(evaluate, "MAX_SMALL_ROWS", 5)
+    long = evaluate.bootstrap_mean(rows, "x", ["id"], n_boot=50).first()
+    for got in (short, long):
+        assert got.asDict() == pytest.approx(want.asDict())
+    nothing = rows.selectExpr("id", "CAST(NULL AS DOUBLE) AS x")
+    monkeypatch.undo()
+    assert evaluate.bootstrap_mean(nothing, "x", ["id"], n_boot=5).collect() == []

@@ -181,8 +181,9 @@ def bootstrap_mean(values: DataFrame, value: str, order: Sequence[str], n_boot:
 
     Draw i of a resample is a seeded index. A short column is sent to the tasks as one array, and
     each resample adds up its draws in place. A long one (more than ``MAX_SMALL_ROWS``) expands
-    every row to one row per resample, whose index an equi-join turns into a value.
+    every row to one row per resample, whose index an equi-join turns into a value. Nulls take no part.
     """
+    values = values.where(F.col(value).isNotNull())
     n = values.count()
     numbered = positions(values.select(value, *order), [], order, "_i", target_rows)
     one = F.lit(1).alias("_one")
