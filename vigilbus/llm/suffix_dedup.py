@@ -1,8 +1,8 @@
-"""Suffix-array dedup by a depth-limited radix sort of 50-byte windows.
+"""Dedup of repeated 50-byte windows by anchors and hashes, in place of a radix sort of suffixes.
 
-Suffixes are ordered only through their first 50 bytes, digit by digit, the most significant
-first; a group that can't hold a repetition leaves after each digit, and the groups left at full
-depth are exactly the windows that several documents share. The digits of a window are
+No suffix is ordered by its bytes. Windows are grouped in three steps, called digits here; a group
+that can't hold a repetition leaves after each, and the groups left at the end are the windows that
+several documents share. The digits of a window are
 
 1. its anchor, the 26-byte string of least hash among the 25 in the window. It depends on the
    window's bytes alone, and windows that start next to each other mostly share it, so one entry
