@@ -19,8 +19,8 @@ def test_equals_sql(spark, sf, con, name):
     assert differences(spark, con, QUERIES[name].run, QUERIES[name].sql, sf) is None
 
 
-def test_ten_operators():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_dealt_operators():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 12))
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "quality", "near_copies", "decontamination", "mixing", "sharding"]
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,3 +22,16 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` less the columns whose names an operator is about to add."""
     taken = {n.lower() for n in names}
     return df.drop(*[c for c in df.columns if c.lower() in taken])
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, or a longer name if ``df`` has such a column already."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, also where a lambda of ``body`` uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)

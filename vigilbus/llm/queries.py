@@ -116,3 +116,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("source").alias("host"), nothing.alias("domain"), nothing.alias("suffix"),
         nothing.alias("markup"))
     return identify(pages.union(texts), train(docs), ["doc_id", "page_id"])
+
+
+@query("op11_line_first_rules", sql.LINE_RULES)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilbus.llm.line_rules import REPORT, judge_documents
+
+    return judge_documents(table(spark, sf_dir, "documents")).select("doc_id", *REPORT)

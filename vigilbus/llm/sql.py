@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from vigilbus.llm import line_rules
 from vigilbus.llm.sharding import MULTIPLIER
 
 _KEY = "md5(coalesce(doc_id::VARCHAR, ''))"
@@ -160,3 +161,56 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, nei
 FROM pairs
 QUALIFY rank <= 10
 """
+
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_PLAIN = ("translate(trim(line, " + _BLANKS + "), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+          "'abcdefghijklmnopqrstuvwxyz')")
+
+
+def _text(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+LINE_RULES = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), {_text(line_rules.WORD)}) AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+again AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
+repeats AS (
+  SELECT doc_id, sum(least(3, coalesce(gap, 3))) AS n
+  FROM (SELECT doc_id, lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i AS gap FROM again)
+  GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, line, count(*) AS times, regexp_extract_all(line, {_text(line_rules.WORD)}) AS lw
+  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, {_text(line_rules.WORD)}) GROUP BY doc_id, line),
+judged AS (
+  SELECT doc_id, times, len(array_to_string(lw, '')) AS chars,
+    regexp_matches(line, {_text(line_rules.SENTENCE)})
+    AND 2 * len(list_filter(lw, lambda x: regexp_matches(
+      right(rtrim(x, '.,;:'), 2), {_text(line_rules.MARKS)}))) <= len(lw)
+    AND NOT (bare >= 2 AND 4 * bare >= len(lw))
+    AND NOT regexp_matches({_PLAIN}, {_text(line_rules.MENU)})
+    AND NOT regexp_matches({_PLAIN}, {_text(line_rules.BOILERPLATE)}) AS good
+  FROM (SELECT *, len(list_filter(lw, lambda x: regexp_matches(
+          x, {_text(line_rules.SEPARATORS)}))) AS bare FROM lines)),
+held AS (
+  SELECT doc_id, sum(times) AS n_lines, sum(times - 1) AS dups,
+    sum(times - CASE WHEN good THEN 1 ELSE 0 END) AS failed,
+    sum(CASE WHEN good THEN chars ELSE 0 END) AS chars
+  FROM judged GROUP BY doc_id),
+counted AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, len(array_to_string(w, ''))::BIGINT AS word_chars,
+    (len(t) - len(translate(t, '{line_rules.SYMBOLS}', '')))::BIGINT AS n_symbols,
+    coalesce(dups, 0)::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
+    coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(failed, 0)::BIGINT AS n_failed_lines,
+    (len(array_to_string(w, '')) - coalesce(chars, 0))::BIGINT AS lost_chars
+  FROM d LEFT JOIN repeats USING (doc_id) LEFT JOIN held USING (doc_id)),
+based AS (
+  SELECT *, n_words < {line_rules.MIN_WORDS}
+    OR 100 * n_repeat_words > {line_rules.MAX_REPEATED} * n_words AS base_failed FROM counted)
+SELECT *, NOT base_failed AND 100 * lost_chars <= {line_rules.MAX_LOST} * word_chars AS kept FROM based
+"""
