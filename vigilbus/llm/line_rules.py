@@ -39,9 +39,12 @@ MARKS = r"\A[!?#*$%&]{2}\z"
 SEPARATORS = r"\A[|>»·•/]+\z"
 MENU = (r"\A(?:home|menu|search|log ?in|log ?out|sign (?:in|up)|register|subscribe|contact us|about us|"
         r"site ?map|next|previous|back to top|read more|share this|click here)\W*\z")
-BOILERPLATE = (r"all rights reserved|licensed under|general public license|permission is hereby granted|"
-               r"copyright (?:\(c\)|©|[0-9]{4})|privacy policy|terms of (?:use|service)|"
-               r"(?:use|uses|accept) cookies|enable javascript|lorem ipsum")
+BOILERPLATE = ("all rights reserved", "licensed under", "general public license",
+               "permission is hereby granted", "copyright (c)", "copyright ©", "privacy policy",
+               "terms of use", "terms of service", "accept cookies", "uses cookies",
+               "enable javascript", "lorem ipsum")
+#: A menu phrase has no more characters than this; longer lines are not tried.
+MENU_CHARS = 40
 
 MIN_WORDS = 50
 MAX_REPEATED = 50
@@ -65,9 +68,18 @@ def repeated_words(words: Column) -> Column:
     """Words inside three-word windows that occur twice or more, first ones included."""
 
     def windows(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(
-            F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("s"),
-            i.alias("at")))
+        """Windows with their places; the two short ones at the end are equal to none."""
+        n = F.size(w)
+        return F.arrays_zip(w.alias("a"), F.slice(w, 2, n).alias("b"), F.slice(w, 3, n).alias("c"),
+                            F.sequence(F.lit(0), n - 1).alias("at"))
+
+    def digest(z: Column) -> Column:
+        return F.xxhash64(z["a"], z["b"], z["c"])
+
+    def candidates(zipped: Column) -> Column:
+        """All windows, or null if their digests differ: equal windows have equal digests."""
+        return let(F.transform(zipped, digest), lambda d: F.when(
+            F.size(F.array_distinct(d)) < F.size(d), zipped))
 
     def starts(ordered: Column) -> Column:
         def same(x: Column, j: Column) -> Column:
@@ -76,33 +88,49 @@ def repeated_words(words: Column) -> Column:
         return F.sort_array(F.transform(
             F.filter(ordered, lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x["at"]))
 
+    def named(zipped: Column) -> Column:
+        return F.sort_array(F.transform(F.filter(zipped, lambda z: z["c"].isNotNull()), lambda z: F.struct(
+            F.concat(z["a"], F.lit(" "), z["b"], F.lit(" "), z["c"]).alias("s"), z["at"].alias("at"))))
+
     def covered(at: Column) -> Column:
         steps = F.transform(at, lambda p, i: F.least(
             F.lit(3), F.coalesce(F.get(at, i + 1) - p, F.lit(3))).cast("long"))
         return F.aggregate(steps, F.lit(0).cast("long"), lambda total, n: total + n)
 
+    def count(found: Column) -> Column:
+        return F.when(found.isNull(), F.lit(0).cast("long")).otherwise(
+            let(let(named(found), starts), covered))
+
     return F.when(F.size(words) < 3, F.lit(0).cast("long")).otherwise(
-        let(let(F.sort_array(windows(words)), starts), covered))
+        let(let(windows(words), candidates), count))
 
 
 def fails(line: Column) -> Column:
     """Whether a line with a word breaks a rule of its own."""
 
-    def share(words: Column) -> Column:
-        n = F.size(words)
-        noisy = F.size(F.filter(words, lambda w: F.substring(
-            F.rtrim(w, F.lit(".,;:")), -2, 2).rlike(MARKS)))
-        bare = F.size(F.filter(words, lambda w: w.rlike(SEPARATORS)))
-        return (noisy * 2 > n) | ((bare >= 2) & (bare * 4 >= n))
+    def noisy(words: Column) -> Column:
+        ends = F.filter(words, lambda w: F.substring(F.rtrim(w, F.lit(".,;:")), -2, 2).rlike(MARKS))
+        return F.size(ends) * 2 > F.size(words)
+
+    def bare(words: Column) -> Column:
+        found = F.size(F.filter(words, lambda w: w.rlike(SEPARATORS)))
+        return (found >= 2) & (found * 4 >= F.size(words))
+
+    def phrase(p: Column) -> Column:
+        hit = (F.char_length(p) <= MENU_CHARS) & p.rlike(MENU)
+        for words in BOILERPLATE:
+            hit = hit | F.contains(p, F.lit(words))
+        return hit
 
     plain = F.translate(F.trim(line, F.lit(BLANKS)), _UPPER, _LOWER)
-    return (~line.rlike(SENTENCE) | let(_words(line), share)
-            | let(plain, lambda p: p.rlike(MENU) | p.rlike(BOILERPLATE)))
+    # A look at the whole line spares most lines the look at each word.
+    return (~line.rlike(SENTENCE) | (line.rlike("[!?#*$%&]{2}") & let(_words(line), noisy))
+            | (line.rlike("[|>»·•/]") & let(_words(line), bare)) | let(plain, phrase))
 
 
 def report(text: Column, max_lost: int = MAX_LOST, min_words: int = MIN_WORDS,
-           max_repeated: int = MAX_REPEATED) -> Column:
-    """struct of ``REPORT`` and ``cleaned``, the text without the lines that failed."""
+           max_repeated: int = MAX_REPEATED, cleaned: bool = True) -> Column:
+    """struct of ``REPORT`` and, if wanted, ``cleaned``: the text without the lines that failed."""
 
     def lines_of(t: Column) -> Column:
         return F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD))
@@ -115,7 +143,9 @@ def report(text: Column, max_lost: int = MAX_LOST, min_words: int = MIN_WORDS,
                         passed.alias("passed"))
 
     def counts(t: Column, words: Column, found: Column) -> Column:
-        chars, held = _letters(t), _letters(F.array_join(found["passed"], "\n"))
+        chars = F.char_length(F.array_join(words, "")).cast("long")
+        held = F.when(F.size(found["passed"]) == found["all"], chars).otherwise(
+            _letters(F.array_join(found["passed"], "\n")))
         repeats = repeated_words(words)
         n = F.size(words).cast("long")
 
@@ -128,11 +158,12 @@ def report(text: Column, max_lost: int = MAX_LOST, min_words: int = MIN_WORDS,
                 "n_repeat_words": c["repeats"], "n_lines": found["all"].cast("long"),
                 "n_failed_lines": (found["all"] - F.size(found["passed"])).cast("long"),
                 "lost_chars": lost, "base_failed": base,
-                "kept": ~base & (lost * 100 <= c["chars"] * max_lost),
-                "cleaned": F.array_join(found["passed"], "\n")}
+                "kept": ~base & (lost * 100 <= c["chars"] * max_lost)}
+            if cleaned:
+                values["cleaned"] = F.array_join(found["passed"], "\n")
             return F.struct(*[v.alias(k) for k, v in values.items()])
 
-        symbols = (F.char_length(t) - F.char_length(F.translate(t, SYMBOLS, ""))).cast("long")
+        symbols = F.regexp_count(t, F.lit(f"[{SYMBOLS}]")).cast("long")
         return let(F.struct(n.alias("n"), chars.alias("chars"), held.alias("held"),
                             repeats.alias("repeats"), symbols.alias("symbols")), verdict)
 
@@ -141,7 +172,7 @@ def report(text: Column, max_lost: int = MAX_LOST, min_words: int = MIN_WORDS,
 
 
 def judge_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", **limits) -> DataFrame:
-    """Key, ``REPORT`` and ``cleaned`` of every document, kept or not."""
+    """Key, ``REPORT`` and, if wanted, ``cleaned`` of every document, kept or not."""
     judged = docs.select(F.col(key), report(F.col(text), **limits).alias("_judged"))
     return judged.select(key, "_judged.*")
 

@@ -122,4 +122,5 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigilbus.llm.line_rules import REPORT, judge_documents
 
-    return judge_documents(table(spark, sf_dir, "documents")).select("doc_id", *REPORT)
+    return judge_documents(table(spark, sf_dir, "documents"), cleaned=False).select(
+        "doc_id", *REPORT)

@@ -193,8 +193,9 @@ judged AS (
     AND 2 * len(list_filter(lw, lambda x: regexp_matches(
       right(rtrim(x, '.,;:'), 2), {_text(line_rules.MARKS)}))) <= len(lw)
     AND NOT (bare >= 2 AND 4 * bare >= len(lw))
-    AND NOT regexp_matches({_PLAIN}, {_text(line_rules.MENU)})
-    AND NOT regexp_matches({_PLAIN}, {_text(line_rules.BOILERPLATE)}) AS good
+    AND NOT (len({_PLAIN}) <= {line_rules.MENU_CHARS}
+      AND regexp_matches({_PLAIN}, {_text(line_rules.MENU)}))
+    AND NOT ({" OR ".join(f"contains({_PLAIN}, {_text(p)})" for p in line_rules.BOILERPLATE)}) AS good
   FROM (SELECT *, len(list_filter(lw, lambda x: regexp_matches(
           x, {_text(line_rules.SEPARATORS)}))) AS bare FROM lines)),
 held AS (
