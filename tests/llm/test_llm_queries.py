@@ -20,7 +20,7 @@ def test_equals_sql(spark, sf, con, name):
 
 
 def test_dealt_operators():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 12))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "quality", "near_copies", "decontamination", "mixing", "sharding"]
 

@@ -124,3 +124,24 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return judge_documents(table(spark, sf_dir, "documents"), cleaned=False).select(
         "doc_id", *REPORT)
+
+
+@query("op12_equal_average_clusters", sql.CLUSTERS)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import hashlib
+
+    from vigilbus.llm.centroids import cluster, with_inertia
+
+    assigned, centroids = cluster(table(spark, sf_dir, "embeddings"))
+    digests = F.array(*[F.lit(hashlib.sha256(",".join(map(str, row)).encode()).hexdigest())
+                        for row in centroids.tolist()]).cast("array<string>")
+    return with_inertia(assigned).select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia",
+        F.get(digests, F.col("cluster")).alias("centroid_sha256"))
+
+
+@query("op13_source_divergence", sql.SOURCE_DIVERGENCE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilbus.llm.source_audit import audit_sources
+
+    return audit_sources(table(spark, sf_dir, "documents"))

@@ -215,3 +215,83 @@ based AS (
     OR 100 * n_repeat_words > {line_rules.MAX_REPEATED} * n_words AS base_failed FROM counted)
 SELECT *, NOT base_failed AND 100 * lost_chars <= {line_rules.MAX_LOST} * word_chars AS kept FROM based
 """
+
+
+_SQUARED = "list_sum(list_transform(range(1, 65), lambda j: (v[j] - x[j]) * (v[j] - x[j])))"
+# Floor of the mean of whole numbers, negative ones included.
+_MEAN = "((sum(part) - ((sum(part) % count(*) + count(*)) % count(*))) // count(*))::BIGINT"
+
+
+def _round(i: int) -> str:
+    """Vectors to their nearest centroids, then the centroids to their vectors' mean."""
+    return f"""
+near{i} AS MATERIALIZED (
+  SELECT row, arg_min(number, {_SQUARED}::HUGEINT * 8 + number) AS cluster
+  FROM whole CROSS JOIN at{i} GROUP BY row),
+at{i + 1} AS MATERIALIZED (
+  SELECT a.number, coalesce(m.x, a.x) AS x FROM at{i} a LEFT JOIN (
+    SELECT cluster, list(c ORDER BY j) AS x FROM (
+      SELECT cluster, j, {_MEAN} AS c FROM (
+        SELECT cluster, unnest(range(1, 65)) AS j, unnest(v) AS part FROM near{i} JOIN whole USING (row))
+      GROUP BY cluster, j) GROUP BY cluster) m ON a.number = m.cluster)"""
+
+
+_ROUNDS = ",".join(_round(i) for i in range(10))
+CLUSTERS = f"""
+WITH whole AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id,
+    list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = 64
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+at0 AS MATERIALIZED (
+  SELECT (row_number() OVER (ORDER BY sha256('3:' || coalesce(vec_id::VARCHAR, '')), v) - 1)::INT AS number,
+    v AS x FROM whole QUALIFY number < 8),{_ROUNDS},
+measured AS (
+  SELECT row, vec_id, number, x, {_SQUARED}::BIGINT AS distance FROM whole CROSS JOIN at10),
+assigned AS (
+  SELECT *, row_number() OVER (PARTITION BY row ORDER BY distance, number) AS place FROM measured)
+SELECT vec_id, number::INT AS cluster, distance,
+  sum(distance) OVER (PARTITION BY number)::BIGINT AS cluster_inertia,
+  sum(distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(x, ',')) AS centroid_sha256
+FROM (SELECT * FROM assigned WHERE place = 1)
+"""
+
+_GAP = "((p - q) * (p - q)) // (p + q)"
+SOURCE_DIVERGENCE = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(coalesce({_LOWER}, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+words AS (SELECT doc, lang, source, unnest(w) AS term FROM d),
+terms AS (SELECT lang, term, count(*)::HUGEINT AS n FROM words GROUP BY lang, term
+          HAVING count(DISTINCT doc) >= 10),
+langs AS (SELECT lang, count(*)::HUGEINT AS v, sum(n) AS n FROM terms GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM d),
+counts AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM words
+           JOIN terms USING (lang, term) GROUP BY ALL),
+cells AS (
+  SELECT g.lang, g.source, t.term, coalesce(c.n, 0) AS n, t.n AS n_lang,
+    sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) AS total
+  FROM groups g JOIN terms t ON g.lang = t.lang LEFT JOIN counts c
+  ON c.lang = g.lang AND c.source = g.source AND c.term = t.term),
+shares AS (
+  SELECT lang, source, term, c.n,
+    1 + 1000000000 * (c.n + 2) // (total + 2 * v) AS p,
+    1 + 1000000000 * (n_lang + 2) // (l.n + 2 * v) AS p_lang
+  FROM cells c JOIN langs l USING (lang)),
+summed AS (
+  SELECT lang, source, item, sum({_GAP}) AS value
+  FROM (SELECT a.lang, a.source, b.source AS item, a.p, b.p AS q FROM shares a
+        JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source)
+  GROUP BY lang, source, item),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN summed s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+foremost AS (
+  SELECT lang, source, 'term' AS part, term AS item, {_GAP} AS value
+  FROM (SELECT *, p_lang AS q FROM shares) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM foremost))
+WHERE part = 'pair' OR rank <= 10
+"""
