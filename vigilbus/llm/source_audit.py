@@ -1,7 +1,8 @@
 """Divergence of sources within a language, with late strings.
 
-Terms are counted under a 64-bit digest, so the shuffle of the counts carries numbers only: group
-number, digest, occurrences and documents. Strings come in twice, both times few:
+Tasks count the terms of their texts by group and hand on what they hold. These counts are added up
+under a 64-bit digest, in a task first, so the shuffle carries numbers only: group number, digest,
+occurrences and documents. Strings come in twice, both times few:
 
 1. Digests that enough documents hold get the least and the greatest string that they stand for,
    from a second scan. Where the two differ, terms collide: their digests are counted once more,
@@ -33,18 +34,24 @@ UTF-8 bytes of the item; only the three named columns are read, so other columns
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from uuid import uuid4
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigilbus.llm.columns import let
 from vigilbus.plans.series import small_side
 from vigilbus.session import ensure_checkpoint_dir
 
-# Fixed value: a run of letters, where all code points beyond ASCII count as letters.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# A term is a run of letters, where all code points beyond ASCII count as letters: in UTF-8, of the
+# bytes of A-Z, which become a-z, a-z and 0x80 to 0xFF. All other bytes become blanks.
+_TERM_BYTES = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256)).lower()
+#: Bytes of a text that are cut into terms at a time, and terms that a task holds before it hands
+#: their counts on; both bound memory and change no result.
+PIECE_BYTES = 1 << 20
+HELD_TERMS = 300_000
 UNIT = 1_000_000_000
 MIN_DOCS = 10
 TOP = 10
@@ -78,30 +85,75 @@ class Audit:
         digest = F.xxhash64("term")
         return digest if self.bits >= 64 else digest.bitwiseAND((1 << self.bits) - 1)
 
-    def _words(self) -> Column:
-        plain = F.translate("text", _UPPER, _LOWER)
-        return F.regexp_extract_all(plain, F.lit(TERM), F.lit(0))
-
     def occurrences(self) -> DataFrame:
-        """(g, l, digest, term, first): every term of every text; first marks one per document."""
-
-        def marked(words: Column) -> Column:
-            return F.transform(words, lambda w, i: F.struct(
-                w.alias("term"), F.coalesce(F.get(words, i - 1) != w, F.lit(True)).alias("first")))
-
-        found = self.docs.join(self.groups, ["lang", "source"]).select(
-            "g", "l", F.explode(let(F.sort_array(self._words()), marked)).alias("w"))
-        return found.select("g", "l", "w.term", "w.first").withColumn("digest", self._digest())
+        """(g, l, digest, term, c, docs): what one task found of a term before it handed it on."""
+        found = self.docs.join(self.groups, ["lang", "source"]).select("g", "l", "text").mapInArrow(
+            _count_terms, "g long, l long, term string, c long, docs long")
+        return found.withColumn("digest", self._digest())
 
     def names(self) -> DataFrame:
-        """(digest, term): the terms of every document, each once."""
-        words = self.docs.select(F.explode(F.array_distinct(self._words())).alias("term"))
-        return words.select(self._digest().alias("digest"), "term")
+        """(digest, term): the terms of a task, each once or a few times."""
+        return self.docs.select("text").mapInArrow(_list_terms, "term string").select(
+            self._digest().alias("digest"), "term")
+
+
+def _pieces(text: bytes) -> Iterator[list[bytes]]:
+    """The terms of a text, some ten thousands at a time."""
+    plain = text.translate(_TERM_BYTES)
+    start = 0
+    while start < len(plain):
+        end = plain.find(b" ", start + PIECE_BYTES)
+        end = len(plain) if end < 0 else end
+        yield plain[start:end].split()
+        start = end
+
+
+def _strings(terms: list[bytes]) -> pa.Array:
+    return pa.array(terms, pa.binary()).cast(pa.string())
+
+
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size = {}, 0
+
+    def hand_on() -> Iterator[pa.RecordBatch]:
+        for (g, lang), (count, docs) in held.items():
+            terms = list(count)
+            yield pa.RecordBatch.from_pydict({
+                "g": pa.array([g] * len(terms), pa.int64()),
+                "l": pa.array([lang] * len(terms), pa.int64()),
+                "term": _strings(terms), "c": pa.array(count.values(), pa.int64()),
+                "docs": pa.array([docs[t] for t in terms], pa.int64())})
+
+    for batch in batches:
+        for g, lang, text in zip(*(batch.column(i).to_pylist() for i in range(2)),
+                                 batch.column(2).cast(pa.binary()), strict=True):
+            count, docs = held.setdefault((g, lang), (Counter(), Counter()))
+            before, mine = len(count), set()
+            for terms in _pieces(text.as_py()):
+                count.update(terms)
+                mine.update(terms)
+            docs.update(mine)
+            size += len(count) - before
+            if size > HELD_TERMS:
+                yield from hand_on()
+                held, size = {}, 0
+    yield from hand_on()
+
+
+def _list_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = set()
+    for batch in batches:
+        for text in batch.column(0).cast(pa.binary()):
+            for terms in _pieces(text.as_py()):
+                held.update(terms)
+            if len(held) > HELD_TERMS:
+                yield pa.RecordBatch.from_arrays([_strings(list(held))], names=["term"])
+                held = set()
+    yield pa.RecordBatch.from_arrays([_strings(list(held))], names=["term"])
 
 
 def _counted(rows: DataFrame, *by: str) -> DataFrame:
-    return rows.groupBy("g", "l", *by).agg(
-        F.count(F.lit(1)).alias("c"), F.count_if("first").alias("docs"))
+    return rows.groupBy("g", "l", *by).agg(F.sum("c").alias("c"), F.sum("docs").alias("docs"))
 
 
 def _widespread(counts: DataFrame, min_docs: int, *by: str) -> DataFrame:
