@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilbus.plans.series import rolling, running
@@ -75,10 +75,10 @@ def label_by_intervals(rows: DataFrame, log: DataFrame, key: str = "vehicle_id",
 
 
 def sample_grid(state: DataFrame, columns: Sequence[str], step_us: int, key: str = "vehicle_id",
-                target_rows: float | None = None) -> DataFrame:
+                target_rows: float | None = None, until_us: Column | None = None) -> DataFrame:
     """State at every multiple of ``step_us`` from the first to the last row of the key.
 
-    Each row expands to the grid points before its successor, so no per-key grid is built.
+    With ``until_us`` the last state of a key goes on up to that time, which is not included. Each row expands to the grid points before its successor, so no per-key grid is built.
     """
     us = F.unix_micros("ts")
     backwards = [F.col("ts").desc(), F.col("seq").desc()]
@@ -87,7 +87,8 @@ def sample_grid(state: DataFrame, columns: Sequence[str], step_us: int, key: str
     )
     # Two steps, so that a long silence never becomes one huge array.
     first = F.ceil(us / step_us).cast("long")
-    last = F.floor(F.coalesce(F.col("_until"), us) / step_us).cast("long")
+    end = us if until_us is None else until_us - 1
+    last = F.floor(F.coalesce(F.col("_until"), end) / step_us).cast("long")
     spans = rows.withColumns({"_first": first, "_last": last}).where("_first <= _last").select(
         key, *columns, "_first", "_last",
         F.explode(F.sequence(F.floor(F.col("_first") / GRID_CHUNK),

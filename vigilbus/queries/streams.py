@@ -11,7 +11,7 @@ from vigilbus.queries.windows import NUMBERED_SQL
 
 from vigilbus.sources import readers, views
 from vigilbus.sources.views import FRAMES_SQL, PACKETS_SQL, SIGNALS_SQL, WEIGHTS_SQL
-from vigilbus.streaming import sinks, sources, stateful, windowed
+from vigilbus.streaming import batches, sinks, sources, stateful, windowed
 
 HOUR = 3_600_000_000
 DAY = 24 * HOUR
@@ -21,7 +21,15 @@ WINDOW_KEY = ["vehicle_id", "start_us"]
 def event_stream(spark, sf, per_trigger=None):
     """The signals view as a stream over the events file."""
     schema = views.table(spark, sf, "events").schema
-    raw = sources.files(spark, sf, schema, glob="events.parquet", files_per_trigger=per_trigger)
+    return _signals(sources.files(
+        spark, sf, schema, glob="events.parquet", files_per_trigger=per_trigger))
+
+
+def event_table(spark, sf):
+    return _signals(views.table(spark, sf, "events"))
+
+
+def _signals(raw):
     return raw.select(
         F.col("ts").cast("timestamp").alias("ts"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
         F.col("user_id").alias("vehicle_id"), F.col("event_id").alias("seq"),
@@ -38,26 +46,79 @@ def stream_rate_windows(spark, sf):
     return sinks.finish_newest(out, "rate", WINDOW_KEY)
 
 
-@query("j01_stream_exact_rate", with_sql(SIGNALS_SQL, f"""
+RATE_SQL = with_sql(SIGNALS_SQL, f"""
 SELECT vehicle_id, signal, seq, count(*) OVER (PARTITION BY vehicle_id, signal ORDER BY us
-  RANGE BETWEEN {6 * HOUR - 1} PRECEDING AND CURRENT ROW) AS rate FROM sig"""))
+  RANGE BETWEEN {6 * HOUR - 1} PRECEDING AND CURRENT ROW) AS rate FROM sig""")
+
+
+@query("j01_stream_exact_rate", RATE_SQL)
 def stream_exact_rate(spark, sf):
     stream = event_stream(spark, sf).select("vehicle_id", "signal", "us", "seq")
-    return sinks.finish(stateful.exact_rate(stream, 6 * HOUR), "exact")
+    return sinks.finish(stateful.exact_rate(stream, 6 * HOUR, block_us=10 * DAY), "exact")
+
 
+def _by_batches(rows, step, name, schema, landings=5):
+    """Land the rows in order of time, a share at a time; each landing is a micro-batch.
 
-@query("j02_stream_changed_state", with_sql(SIGNALS_SQL, """
+    The query is restarted from its checkpoint for every landing.
+    """
+    spark = rows.sparkSession
+    folder = sinks.scratch(spark, name)
+    low, high = rows.agg(F.min("us"), F.max("us")).first()
+    share = ((high or 0) - (low or 0)) // landings + 1
+    for i in range(landings):
+        rows.where(F.floor((F.col("us") - F.lit(low)) / share) == i).write.mode("append").parquet(
+            f"{folder}/landed")
+        stream = sources.files(spark, f"{folder}/landed", rows.schema, files_per_trigger=1_000_000)
+        batches.follow(stream, step, folder).awaitTermination()
+    return batches.results(spark, folder, schema)
+
+
+@query("j01_batches_exact_rate", RATE_SQL)
+def batches_exact_rate(spark, sf):
+    rows = event_table(spark, sf).select("ts", "us", "vehicle_id", "signal", "seq")
+    return _by_batches(rows, batches.exact_rate(6 * HOUR), "rates",
+                       "vehicle_id long, signal string, seq long, rate long")
+
+
+CHANGED_SQL = with_sql(SIGNALS_SQL, """
 st AS (SELECT vehicle_id, seq, ts, """ + ", ".join(
     f"coalesce(last_value(CASE WHEN signal = '{n}' THEN value END IGNORE NULLS) OVER w, {d}) AS {n}"
     for n, d in (("speed_kmh", 0.0), ("battery_level", 85.0), ("brake", 0.0))) + """
   FROM sig WINDOW w AS (PARTITION BY vehicle_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING))""", """
 SELECT vehicle_id, seq, speed_kmh, battery_level, brake FROM st
 WINDOW v AS (PARTITION BY vehicle_id ORDER BY ts, seq)
-QUALIFY row_number() OVER v = 1 OR speed_kmh <> lag(speed_kmh) OVER v OR battery_level <> lag(battery_level) OVER v OR brake <> lag(brake) OVER v"""))
+QUALIFY row_number() OVER v = 1 OR speed_kmh <> lag(speed_kmh) OVER v OR battery_level <> lag(battery_level) OVER v OR brake <> lag(brake) OVER v""")
+CHANGED_DEFAULTS = {"speed_kmh": 0.0, "battery_level": 85.0, "brake": 0.0}
+
+
+@query("j02_stream_changed_state", CHANGED_SQL)
 def stream_changed_state(spark, sf):
     stream = event_stream(spark, sf).select("vehicle_id", "us", "seq", "signal", "value")
-    defaults = {"speed_kmh": 0.0, "battery_level": 85.0, "brake": 0.0}
-    return sinks.finish(stateful.changed_state(stream, defaults), "changed")
+    return sinks.finish(stateful.changed_state(stream, CHANGED_DEFAULTS), "changed")
+
+
+@query("j02_batches_changed_state", CHANGED_SQL)
+def batches_changed_state(spark, sf):
+    rows = event_table(spark, sf).select("ts", "us", "vehicle_id", "seq", "signal", "value")
+    return _by_batches(rows, batches.changed_state(CHANGED_DEFAULTS), "changes",
+                       "vehicle_id long, seq long, speed_kmh double, battery_level double, brake double")
+
+
+@query("j03_stream_state_grid", with_sql(SIGNALS_SQL, """
+st AS (SELECT vehicle_id, us, seq, """ + ", ".join(
+    f"coalesce(last_value(CASE WHEN signal = '{n}' THEN value END IGNORE NULLS) OVER w, 0.0) AS {n}"
+    for n in ("speed_kmh", "brake")) + f"""
+  FROM sig WINDOW w AS (PARTITION BY vehicle_id ORDER BY us, seq ROWS UNBOUNDED PRECEDING)),
+nxt AS (SELECT *, coalesce(lead(us) OVER (PARTITION BY vehicle_id ORDER BY us, seq),
+  (SELECT max(us) // 1000 * 1000 FROM sig)) - 1 AS until_us FROM st),
+pts AS (SELECT vehicle_id, speed_kmh, brake, unnest(range((us + {6 * HOUR} - 1) // {6 * HOUR},
+  until_us // {6 * HOUR} + 1)) AS p FROM nxt)""", f"""
+SELECT vehicle_id, p * {6 * HOUR} AS grid_us, speed_kmh, brake FROM pts"""))
+def stream_state_grid(spark, sf):
+    stream = event_stream(spark, sf).select("ts", "vehicle_id", "us", "seq", "signal", "value")
+    return sinks.finish(stateful.state_grid(
+        stream, 6 * HOUR, "0 seconds", {"speed_kmh": 0.0, "brake": 0.0}), "grid")
 
 
 @query("j03_stream_sampled_state", with_sql(SIGNALS_SQL, f"""
@@ -100,17 +161,32 @@ def _stream_windows(spark, sf):
     return stateful.online_windows(rows.select("vehicle_id", "us", "seq", vector.alias("v")), 2)
 
 
-@query("j06_stream_windows", with_sql(NUMBERED_SQL, """
+WINDOWS_SQL = with_sql(NUMBERED_SQL, """
 raw AS (SELECT n.vehicle_id, n.seq, n.rn, s.value, s.k FROM num n JOIN sig s USING (seq))""", """
 SELECT a.vehicle_id, a.seq AS end_seq, round(sum((b.rn - a.rn + 19) * 2 * (b.value + b.k) + b.value + 2 * b.k), 4) AS checksum
-FROM raw a JOIN raw b ON a.vehicle_id = b.vehicle_id AND b.rn BETWEEN a.rn - 19 AND a.rn WHERE a.rn >= 20 GROUP BY 1, 2"""))
-def stream_windows(spark, sf):
+FROM raw a JOIN raw b ON a.vehicle_id = b.vehicle_id AND b.rn BETWEEN a.rn - 19 AND a.rn WHERE a.rn >= 20 GROUP BY 1, 2""")
+
+
+def _checksums(found):
     weighted = F.transform("flat", lambda x, i: x * (i + 1))
-    return sinks.finish(_stream_windows(spark, sf), "windows").select(
+    return found.select(
         "vehicle_id", "end_seq",
         F.round(F.aggregate(weighted, F.lit(0.0), lambda a, x: a + x), 4).alias("checksum"))
 
 
+@query("j06_stream_windows", WINDOWS_SQL)
+def stream_windows(spark, sf):
+    return _checksums(sinks.finish(_stream_windows(spark, sf), "windows"))
+
+
+@query("j06_batches_windows", WINDOWS_SQL)
+def batches_windows(spark, sf):
+    rows = event_table(spark, sf).select(
+        "ts", "us", "vehicle_id", "seq", "value", F.col("k").cast("double").alias("k"))
+    return _checksums(_by_batches(rows, batches.online_windows(["value", "k"]), "slides",
+                                  "vehicle_id long, end_seq long, flat array<double>"))
+
+
 @query("j06_stream_online_scores")
 def stream_online_scores(spark, sf):
     net = nets.GruAutoencoder(features=2)

@@ -1,159 +1,450 @@
-"""Stateful stream operators keyed by vehicle.
+"""Stateful stream operators on arbitrary state: lists, maps, values, timers and initial state.
 
-Rows of one key and micro-batch are sorted by (time, seq) before use, since Spark does not
-order them. The trigger's file limit bounds how many rows that is.
+The processors run on ``transformWithStateInPandas`` with a RocksDB state store. Rows of one key and
+micro-batch are sorted by (time, seq) before use, since Spark does not order them. The trigger's file
+limit bounds how many rows that is.
 
 With a ``delay`` the stream (which then also carries ``ts``) gets a watermark: rows behind it are
-dropped, and the state of a key that has been silent for ``keep`` is removed. Rows that are older
-than what a key has already emitted are late and dropped where order matters, with or without a
-watermark.
+dropped, and an event-time timer removes the state of a key that has been silent for ``keep_s``.
+Without one, state stays, or with ``ttl_s`` its entries expire that were not written for so many
+seconds of processing time. A stream with a TTL wants empty micro-batches for ever, so it does not end
+by itself when all data available now are done. Rows that are older than what a key has already
+emitted are late and dropped where order matters, with or without a watermark.
+
+``initial`` is a batch table from which the state starts, in the first micro-batch of a new
+checkpoint: a stream that is moved to another cluster goes on where the last one stopped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from vigilbus.operators.federated import SendPolicy
 from vigilbus.schema import STATE_DEFAULTS
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Rows of a growing result that are handed over at a time.
+PIECE = 10_000
+
+
+def use_rocks_state(spark: SparkSession) -> None:
+    """Streams started in the session from now on keep their state in RocksDB."""
+    spark.conf.set(PROVIDER, ROCKS)
+
 
 def _sorted(batches: Iterator[pd.DataFrame], by: Sequence[str] = ("us", "seq")) -> pd.DataFrame:
     return pd.concat(list(batches), ignore_index=True).sort_values(list(by), ignore_index=True)
 
 
-def _keyed(stream: DataFrame, by: Sequence[str], step, output: str, state_sql: str,
-           delay: str | None, keep_s: float) -> DataFrame:
-    """``step(key, sorted rows, state)`` for every key with rows, under an optional watermark."""
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pdf = _sorted(batches)
-        yield step(key, pdf, state)
-        if delay and state.exists:
-            silent = int(pdf["us"].iloc[-1] // 1000 + keep_s * 1000)
-            state.setTimeoutTimestamp(max(silent, state.getCurrentWatermarkMs() + 1))
+def _after(pdf: pd.DataFrame, last: tuple | None) -> pd.DataFrame:
+    """Rows after the last one that the key has emitted."""
+    if last is None:
+        return pdf
+    us, seq = last[0], last[1]
+    return pdf[(pdf["us"] > us) | ((pdf["us"] == us) & (pdf["seq"] > seq))].reset_index(drop=True)
+
+
+@dataclass(frozen=True)
+class Lifetime:
+    """How long state lives; see the module text."""
+
+    delay: str | None = None
+    keep_s: float = 86_400.0
+    ttl_s: float | None = None
+
+    def __post_init__(self) -> None:
+        if self.delay and self.ttl_s:
+            raise ValueError("state expires by watermark or by TTL, not both")
+
+    @property
+    def mode(self) -> str:
+        return "EventTime" if self.delay else "ProcessingTime" if self.ttl_s else "None"
+
+    @property
+    def ttl_ms(self) -> int | None:
+        return int(self.ttl_s * 1000) if self.ttl_s else None
+
+
+class Processor(StatefulProcessor):
+    """Keeps the position of a key's last row and, on a watermark, the one timer of the key."""
+
+    def __init__(self, life: Lifetime):
+        self.timed, self.ttl = life.delay is not None, life.ttl_ms
+        self.keep_ms = int(life.keep_s * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "us long, seq long, until long", self.ttl)
+
+    def close(self) -> None:
+        pass
+
+    def position(self) -> tuple | None:
+        """(us, seq, until) of the last row of the key, if it has state."""
+        return self.last.get() if self.last.exists() else None
 
-    rows = stream.withWatermark("ts", delay) if delay else stream
-    timeout = GroupStateTimeout.EventTimeTimeout if delay else GroupStateTimeout.NoTimeout
-    return rows.groupBy(*by).applyInPandasWithState(run, output, state_sql, "append", timeout)
+    def advance(self, us: int, seq: int, before: tuple | None, timer_values) -> None:
+        """Note the last row; the key's one timer moves on with it."""
+        until = us // 1000 + self.keep_ms
+        if self.timed:
+            until = max(until, timer_values.getCurrentWatermarkInMs() + 1)
+            if before is not None and before[2] != until:
+                self.handle.deleteTimer(before[2])
+            if before is None or before[2] != until:
+                self.handle.registerTimer(until)
+        self.last.update((int(us), int(seq), until))
+
+    def clear(self) -> None:
+        self.last.clear()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.clear()
+        return iter(())
+
+
+def _run(stream: DataFrame, by: Sequence[str], processor: StatefulProcessor, output: str,
+         life: Lifetime, initial: DataFrame | None) -> DataFrame:
+    use_rocks_state(stream.sparkSession)
+    rows = stream.withWatermark("ts", life.delay) if life.delay else stream
+    start = None if initial is None else initial.groupBy(*by)
+    return rows.groupBy(*by).transformWithStateInPandas(
+        processor, output, "Append", life.mode, start)
+
+
+class RateInBlock(Processor):
+    """Trailing counts of one (vehicle, signal, time block).
+
+    ``times`` holds the times that reach into the block. It is only appended to; the timer of the
+    block's end, or the TTL, removes it as a whole.
+    """
+
+    def __init__(self, span_us: int, block_us: int, life: Lifetime):
+        super().__init__(life)
+        self.span_us, self.block_us = span_us, block_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.times = handle.getListState("times", "us long", self.ttl)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self._add(key, initialState["us"].to_numpy("int64"), False)
+
+    def _add(self, key, new: np.ndarray, known: bool) -> None:
+        self.times.appendList([(t,) for t in new.tolist()])
+        if self.timed and not known:
+            self.handle.registerTimer((key[2] + 1) * self.block_us // 1000 + 1)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows), ignore_index=True)
+        known = self.times.exists()
+        old = np.array([t[0] for t in self.times.get()] if known else [], dtype="int64")
+        new = pdf["us"].to_numpy("int64")
+        self._add(key, new, known)
+        own = pdf[pdf["own"].to_numpy(bool)]
+        times = np.sort(np.concatenate([old, new]))
+        now = own["us"].to_numpy("int64")
+        rate = np.searchsorted(times, now, "right") - np.searchsorted(
+            times, now - self.span_us, "right")
+        yield pd.DataFrame({
+            "vehicle_id": key[0], "signal": key[1], "seq": own["seq"], "rate": rate})
+
+    def clear(self) -> None:
+        self.times.clear()
+
+
+def _in_blocks(rows: DataFrame, span_us: int, block_us: int) -> DataFrame:
+    """Rows under their time block, and once more under the next if they reach into it."""
+    block = F.floor(F.col("us") / block_us).cast("long")
+    reach = F.floor((F.col("us") + span_us - 1) / block_us).cast("long")
+    home = F.struct(block.alias("block"), F.lit(True).alias("own"))
+    halo = F.struct(reach.alias("block"), F.lit(False).alias("own"))
+    places = F.when(reach > block, F.array(home, halo)).otherwise(F.array(home))
+    return rows.withColumn("_p", F.explode(places)).select("*", "_p.*").drop("_p")
 
 
 def exact_rate(stream: DataFrame, span_us: int, delay: str | None = None,
-               keep_s: float = 86_400.0) -> DataFrame:
+               ttl_s: float | None = None, block_us: int | None = None,
+               initial: DataFrame | None = None) -> DataFrame:
     """Messages of the (vehicle, signal) in the trailing span, for every row.
 
-    Input: vehicle_id, signal, us, seq. The state keeps the times still inside the span.
+    Input: vehicle_id, signal, us, seq; ``initial``: vehicle_id, signal, us of rows before the stream.
+    Time is cut into blocks of ``block_us`` (sixteen spans unless given, one at least). A row is counted
+    under its block and, from the last span of a block, under the next one as well. So the rows of one
+    busy vehicle go to as many tasks as they have blocks, and a list never holds more than a block and
+    a span. A watermark removes a block's list once it has passed the block.
     """
-    def count(key, pdf: pd.DataFrame, state: GroupState) -> pd.DataFrame:
-        times = np.array(state.get[0] if state.exists else [], dtype="int64")
-        now = pdf["us"].to_numpy("int64")
-        times = np.sort(np.concatenate([times, now]))
-        rate = np.searchsorted(times, now, "right") - np.searchsorted(times, now - span_us, "right")
-        state.update((times[times > times[-1] - span_us].tolist(),))
-        return pd.DataFrame({"vehicle_id": key[0], "signal": key[1], "seq": pdf["seq"], "rate": rate})
-
+    life = Lifetime(delay, ttl_s=ttl_s)
+    block_us = block_us or 16 * span_us
+    if block_us < span_us:
+        raise ValueError("a block must be as long as the span")
     kind = dict(stream.dtypes)["vehicle_id"]
-    return _keyed(stream, ["vehicle_id", "signal"], count,
-                  f"vehicle_id {kind}, signal string, seq long, rate long", "times array<long>",
-                  delay, keep_s)
+    start = None if initial is None else _in_blocks(initial, span_us, block_us).drop("own")
+    return _run(_in_blocks(stream, span_us, block_us), ["vehicle_id", "signal", "block"],
+                RateInBlock(span_us, block_us, life),
+                f"vehicle_id {kind}, signal string, seq long, rate long", life, start)
 
 
-def _in_order(pdf: pd.DataFrame, last: tuple[int, int] | None) -> pd.DataFrame:
-    """Rows after the last one that the key has emitted."""
-    if last is None:
-        return pdf
-    us, seq = last
-    return pdf[(pdf["us"] > us) | ((pdf["us"] == us) & (pdf["seq"] > seq))].reset_index(drop=True)
+def _last_known(pdf: pd.DataFrame, names: Sequence[str], before: dict) -> pd.DataFrame:
+    """Value of every signal at each of the sorted rows."""
+    return pd.DataFrame({
+        n: pdf["value"].where(pdf["signal"] == n).ffill().fillna(before[n]) for n in names})
 
 
-def _last(pdf: pd.DataFrame) -> tuple[int, int]:
-    return int(pdf["us"].iloc[-1]), int(pdf["seq"].iloc[-1])
+class SignalState(Processor):
+    """A vehicle's last known value per signal, as a map."""
 
+    def __init__(self, defaults: dict[str, float], life: Lifetime):
+        super().__init__(life)
+        self.defaults, self.names = defaults, list(defaults)
 
-def changed_state(stream: DataFrame, defaults: dict[str, float] | None = None,
-                  delay: str | None = None, keep_s: float = 86_400.0) -> DataFrame:
-    """Last-known state of every signal, emitted only when it differs from what was sent.
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.known = handle.getMapState("known", "signal string", "value double", self.ttl)
 
-    Input: vehicle_id, us, seq, signal, value.
-    """
-    defaults = dict(defaults or STATE_DEFAULTS)
-    names = list(defaults)
+    def values(self) -> dict[str, float]:
+        return self.defaults | {k[0]: v[0] for k, v in self.known.iterator()}
+
+    def learn(self, before: dict, now: dict) -> None:
+        for name, value in now.items():
+            if value != before[name]:
+                self.known.updateValue((name,), (float(value),))
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        rows = initialState.sort_values(["us", "seq"], ignore_index=True)
+        before = self.values()
+        self.learn(before, _last_known(rows, self.names, before).iloc[-1].to_dict())
+        here = self.position()
+        end = (int(rows["us"].iloc[-1]), int(rows["seq"].iloc[-1]))
+        if here is None or here[:2] < end:
+            self.advance(*end, here, timerValues)
+
+    def clear(self) -> None:
+        super().clear()
+        self.known.clear()
 
-    def follow(key, pdf: pd.DataFrame, state: GroupState) -> pd.DataFrame:
-        known = dict(zip(names, state.get[2:], strict=True)) if state.exists else None
-        pdf = _in_order(pdf, tuple(state.get[:2]) if state.exists else None)
+
+class ChangedState(SignalState):
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        here = self.position()
+        pdf = _after(_sorted(rows), here)
         if pdf.empty:
-            return pd.DataFrame({"vehicle_id": [], "seq": [], **{n: [] for n in names}})
-        before = known or defaults
-        wide = pd.DataFrame({
-            n: pdf["value"].where(pdf["signal"] == n).ffill().fillna(before[n]) for n in names})
+            return
+        before = self.values() if here else dict(self.defaults)
+        wide = _last_known(pdf, self.names, before)
         previous = wide.shift(1)
-        previous.iloc[0] = [before[n] for n in names] if known else np.nan
+        previous.iloc[0] = [before[n] for n in self.names] if here else np.nan
         changed = (wide != previous).any(axis=1)
-        state.update((*_last(pdf), *(float(x) for x in wide.iloc[-1])))
+        self.learn(before, wide.iloc[-1].to_dict())
+        self.advance(pdf["us"].iloc[-1], pdf["seq"].iloc[-1], here, timerValues)
         out = wide[changed]
         out.insert(0, "seq", pdf["seq"][changed])
         out.insert(0, "vehicle_id", key[0])
-        return out
+        yield out
+
+
+def changed_state(stream: DataFrame, defaults: dict[str, float] | None = None,
+                  delay: str | None = None, keep_s: float = 86_400.0, ttl_s: float | None = None,
+                  initial: DataFrame | None = None) -> DataFrame:
+    """Last-known state of every signal, emitted only when it differs from what was sent.
 
+    Input and ``initial``: vehicle_id, us, seq, signal, value; of the initial rows the newest of each
+    signal is enough.
+    """
+    defaults = dict(defaults or STATE_DEFAULTS)
     kind = dict(stream.dtypes)["vehicle_id"]
-    values = ", ".join(f"{n} double" for n in names)
-    return _keyed(stream, ["vehicle_id"], follow, f"vehicle_id {kind}, seq long, {values}",
-                  f"last_us long, last_seq long, {values}", delay, keep_s)
+    values = ", ".join(f"{n} double" for n in defaults)
+    life = Lifetime(delay, keep_s, ttl_s)
+    return _run(stream, ["vehicle_id"], ChangedState(defaults, life),
+                f"vehicle_id {kind}, seq long, {values}", life, initial)
 
 
-def _slide(pdf: pd.DataFrame, state: GroupState, features: int, length: int):
-    """(sequence numbers, flattened windows) that end in this batch; keeps the tail as state."""
-    pdf = _in_order(pdf, tuple(state.get[:2]) if state.exists else None)
-    if pdf.empty:
-        return np.array([], dtype=int), np.empty((0, length * features))
-    old = np.array(state.get[2] if state.exists else [], dtype=float).reshape(-1, features)
-    rows = np.vstack([old, np.stack(pdf["v"].to_numpy()).astype(float)])
-    state.update((*_last(pdf), rows[-(length - 1):].ravel().tolist()))
-    first = max(0, length - 1 - len(old))
-    if first >= len(pdf):
-        return np.array([], dtype=int), np.empty((0, length * features))
-    windows = np.lib.stride_tricks.sliding_window_view(rows, length, axis=0).transpose(0, 2, 1)
-    return pdf["seq"].to_numpy()[first:], windows.reshape(len(windows), -1)
+class StateGrid(SignalState):
+    """State of a vehicle at each time step, also at steps without a row.
 
+    Rows wait in ``pending`` until the watermark has passed them, so that late ones take their place.
+    One timer per vehicle stands at its next step. It fires in the first micro-batch whose watermark
+    is beyond, whether or not the vehicle had rows, and gives all steps up to there.
+    """
 
-_TAIL = "last_us long, last_seq long, tail array<double>"
+    def __init__(self, defaults: dict[str, float], step_us: int, life: Lifetime, bounded: bool):
+        super().__init__(defaults, life)
+        self.step_us, self.bounded = step_us, bounded
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.pending = handle.getListState(
+            "pending", "us long, seq long, signal string, value double")
+        self.next = handle.getValueState("next", "point long")
 
-def online_windows(stream: DataFrame, features: int, length: int = 20, delay: str | None = None,
-                   keep_s: float = 86_400.0) -> DataFrame:
-    """A flattened window for every row from the ``length``-th on.
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self._wait(initialState)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        self._wait(pd.concat(list(rows), ignore_index=True))
+        return iter(())
 
-    Input: vehicle_id, us, seq, v array<double>. The state holds the last length-1 vectors.
+    def _wait(self, pdf: pd.DataFrame) -> None:
+        rows = zip(pdf["us"].tolist(), pdf["seq"].tolist(), pdf["signal"], pdf["value"].tolist(),
+                   strict=True)
+        self.pending.appendList(list(rows))
+        if self.last.exists():  # its steps have begun
+            return
+        first = -(-int(pdf["us"].min()) // self.step_us)
+        old = self.next.get()[0] if self.next.exists() else None
+        if old is None or first < old:
+            if old is not None:
+                self.handle.deleteTimer(self._due(old))
+            self._stand_at(first)
+
+    def _due(self, point: int) -> int:
+        """First millisecond at or after a step."""
+        return -(-point * self.step_us // 1000)
+
+    def _stand_at(self, point: int) -> None:
+        self.next.update((point,))
+        self.handle.registerTimer(self._due(point))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        closed_us = timerValues.getCurrentWatermarkInMs() * 1000  # steps before it are final
+        rows = pd.DataFrame(list(self.pending.get()), columns=["us", "seq", "signal", "value"])
+        ripe = rows["us"] < closed_us
+        ready = rows[ripe].sort_values(["us", "seq"], ignore_index=True)
+        self.pending.clear()
+        if not ripe.all():
+            self.pending.appendList(list(rows[~ripe].itertuples(index=False, name=None)))
+        here = self.position()
+        before = self.values() if here else dict(self.defaults)
+        wide = _last_known(ready, self.names, before)
+        if len(ready):
+            self.learn(before, wide.iloc[-1].to_dict())
+            here = (int(ready["us"].iloc[-1]), int(ready["seq"].iloc[-1]), 0)
+            self.last.update(here)
+        point = self.next.get()[0]
+        end = -(-closed_us // self.step_us)  # first step that is still open
+        silent = self.bounded and rows[~ripe].empty and here[0] + self.keep_ms * 1000 < closed_us
+        stop = min(end, (here[0] + self.keep_ms * 1000) // self.step_us + 1) if silent else end
+        table = np.vstack([[before[n] for n in self.names], wide.to_numpy(float)])
+        for low in range(point, stop, PIECE):
+            points = np.arange(low, min(low + PIECE, stop), dtype="int64") * self.step_us
+            at = np.searchsorted(ready["us"].to_numpy("int64"), points, "right")
+            out = pd.DataFrame(table[at], columns=self.names)
+            out.insert(0, "grid_us", points)
+            out.insert(0, "vehicle_id", key[0])
+            yield out
+        if silent:
+            self.clear()
+        else:
+            self._stand_at(end)
+
+    def clear(self) -> None:
+        super().clear()
+        self.next.clear()
+        self.pending.clear()
+
+
+def state_grid(stream: DataFrame, step_us: int, delay: str, defaults: dict[str, float] | None = None,
+               keep_s: float | None = None, initial: DataFrame | None = None) -> DataFrame:
+    """State of every signal at each multiple of ``step_us`` from a vehicle's first row on.
+
+    Input and ``initial``: ts, vehicle_id, us, seq, signal, value. A step is given once the watermark has
+    passed it; a silent vehicle goes on with its last state, for ``keep_s`` at most if that is given.
+    Then it starts anew.
     """
-    def slide(key, pdf: pd.DataFrame, state: GroupState) -> pd.DataFrame:
-        seq, flat = _slide(pdf, state, features, length)
+    defaults = dict(defaults or STATE_DEFAULTS)
+    kind = dict(stream.dtypes)["vehicle_id"]
+    values = ", ".join(f"{n} double" for n in defaults)
+    life = Lifetime(delay, keep_s or 0)
+    return _run(stream, ["vehicle_id"], StateGrid(defaults, step_us, life, keep_s is not None),
+                f"vehicle_id {kind}, grid_us long, {values}", life, initial)
+
+
+class OnlineWindows(Processor):
+    """Windows of consecutive rows of a vehicle; ``tail`` lists its last length-1 rows."""
+
+    def __init__(self, features: int, length: int, life: Lifetime):
+        super().__init__(life)
+        self.features, self.length = features, length
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.tail = handle.getListState("tail", "v array<double>", self.ttl)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self._slide(initialState.sort_values(["us", "seq"], ignore_index=True), timerValues)
+
+    def _slide(self, pdf: pd.DataFrame, timer_values) -> tuple[np.ndarray, np.ndarray]:
+        """(sequence numbers, flattened windows) that end in these rows."""
+        none = np.array([], dtype=int), np.empty((0, self.length * self.features))
+        here = self.position()
+        pdf = _after(pdf, here)
+        if pdf.empty:
+            return none
+        old = [list(t[0]) for t in self.tail.get()] if here else []
+        rows = np.vstack([np.array(old, float).reshape(-1, self.features),
+                          np.stack(pdf["v"].to_numpy()).astype(float)])
+        self.tail.put([(r,) for r in rows[len(rows) - min(len(rows), self.length - 1):].tolist()])
+        self.advance(pdf["us"].iloc[-1], pdf["seq"].iloc[-1], here, timer_values)
+        first = max(0, self.length - 1 - len(old))
+        if first >= len(pdf):
+            return none
+        windows = np.lib.stride_tricks.sliding_window_view(rows, self.length, axis=0)
+        flat = windows.transpose(0, 2, 1).reshape(len(windows), -1)
+        return pdf["seq"].to_numpy()[first:], flat
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        seq, flat = self._slide(_sorted(rows), timerValues)
+        yield self.result(key, seq, flat)
+
+    def result(self, key, seq: np.ndarray, flat: np.ndarray) -> pd.DataFrame:
         return pd.DataFrame({"vehicle_id": key[0], "end_seq": seq, "flat": list(flat)})
 
+    def clear(self) -> None:
+        super().clear()
+        self.tail.clear()
+
+
+class OnlineScores(OnlineWindows):
+    def __init__(self, net, shared, life: Lifetime):
+        super().__init__(net.features, net.length, life)
+        self.net, self.shared = net, shared
+
+    def result(self, key, seq: np.ndarray, flat: np.ndarray) -> pd.DataFrame:
+        score = self.net.scores(self.shared.value, flat) if len(flat) else np.array([])
+        return pd.DataFrame({"vehicle_id": key[0], "end_seq": seq, "score": score})
+
+
+def online_windows(stream: DataFrame, features: int, length: int = 20, delay: str | None = None,
+                   keep_s: float = 86_400.0, ttl_s: float | None = None,
+                   initial: DataFrame | None = None) -> DataFrame:
+    """A flattened window for every row from the ``length``-th on.
+
+    Input and ``initial``: vehicle_id, us, seq, v array<double>; windows that end in an initial row are
+    not given again.
+    """
     kind = dict(stream.dtypes)["vehicle_id"]
-    return _keyed(stream, ["vehicle_id"], slide,
-                  f"vehicle_id {kind}, end_seq long, flat array<double>", _TAIL, delay, keep_s)
+    life = Lifetime(delay, keep_s, ttl_s)
+    return _run(stream, ["vehicle_id"], OnlineWindows(features, length, life),
+                f"vehicle_id {kind}, end_seq long, flat array<double>", life, initial)
 
 
 def online_scores(stream: DataFrame, net, params, delay: str | None = None,
-                  keep_s: float = 86_400.0) -> DataFrame:
+                  keep_s: float = 86_400.0, ttl_s: float | None = None,
+                  initial: DataFrame | None = None) -> DataFrame:
     """Reconstruction error of every window as it completes; weights are sent once."""
     shared = stream.sparkSession.sparkContext.broadcast(params)
-
-    def judge(key, pdf: pd.DataFrame, state: GroupState) -> pd.DataFrame:
-        seq, flat = _slide(pdf, state, net.features, net.length)
-        score = net.scores(shared.value, flat) if len(flat) else np.array([])
-        return pd.DataFrame({"vehicle_id": key[0], "end_seq": seq, "score": score})
-
     kind = dict(stream.dtypes)["vehicle_id"]
-    return _keyed(stream, ["vehicle_id"], judge,
-                  f"vehicle_id {kind}, end_seq long, score double", _TAIL, delay, keep_s)
+    life = Lifetime(delay, keep_s, ttl_s)
+    return _run(stream, ["vehicle_id"], OnlineScores(net, shared, life),
+                f"vehicle_id {kind}, end_seq long, score double", life, initial)
 
 
 def send_decisions(stream: DataFrame, base_s: float = 3600.0, min_s: float = 900.0) -> DataFrame:
