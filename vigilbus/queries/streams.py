@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from vigilbus.models import nets
 
 from vigilbus.queries.registry import query, with_sql
+from vigilbus.queries.signals import LOCATION_SQL, location_feed
 from vigilbus.queries.windows import NUMBERED_SQL
 
 from vigilbus.sources import readers, views
 from vigilbus.sources.views import FRAMES_SQL, PACKETS_SQL, SIGNALS_SQL, WEIGHTS_SQL
-from vigilbus.streaming import batches, sinks, sources, stateful, windowed
+from vigilbus.streaming import batches, joins, sinks, sources, stateful, windowed
 
 HOUR = 3_600_000_000
 DAY = 24 * HOUR
@@ -161,6 +162,46 @@ def _stream_windows(spark, sf):
     return stateful.online_windows(rows.select("vehicle_id", "us", "seq", vector.alias("v")), 2)
 
 
+FAR_US = 4_102_444_800_000_000  # the year 2100
+
+
+def _closed_stream(rows, name, times):
+    """Rows that landed in a folder, as a stream; a last row far ahead closes all event times."""
+    spark = rows.sparkSession
+    folder = sinks.scratch(spark, name)
+    rows.write.parquet(folder)
+    fill = {"vehicle_id": F.lit(-1), "seq": F.lit(-1), **{t: F.timestamp_micros(F.lit(FAR_US + i))
+                                                         for i, t in enumerate(times)}, "us": F.lit(FAR_US)}
+    spark.range(1).select(*[fill.get(c, F.lit(None)).cast(k).alias(c) for c, k in rows.dtypes]
+                          ).write.mode("append").parquet(folder)
+    return sources.files(spark, folder, rows.schema, files_per_trigger=1_000_000)
+
+
+@query("d05_stream_interval_labels", with_sql(SIGNALS_SQL, views.ATTACK_LOG_SQL, """
+SELECT s.vehicle_id, s.seq, count(a.start_us) > 0 AS in_attack,
+       arg_max(a.attack_type, (a.end_us, a.attack_type)) AS attack_type
+FROM sig s LEFT JOIN atk a ON s.vehicle_id = a.vehicle_id AND s.us >= a.start_us AND s.us < a.end_us
+GROUP BY s.vehicle_id, s.seq"""))
+def stream_interval_labels(spark, sf):
+    rows = _closed_stream(event_table(spark, sf).select("ts", "vehicle_id", "seq"), "labelled", ["ts"])
+    log = _closed_stream(views.attack_log(spark, sf).drop("trigger_type"), "attacks",
+                         ["start_time", "end_time"])
+    out = joins.label_by_intervals(rows, log, 6 * 3600, "1 day", "1 day")
+    return sinks.finish(out, "intervals").where("vehicle_id >= 0").select(
+        "vehicle_id", "seq", "in_attack", "attack_type")
+
+
+@query("d03_stream_location_asof", with_sql(SIGNALS_SQL, LOCATION_SQL, """
+SELECT s.vehicle_id, s.seq, l.x, l.y FROM sig s ASOF LEFT JOIN loc l
+  ON s.vehicle_id = l.vehicle_id AND s.us >= l.us"""))
+def stream_location_asof(spark, sf):
+    rows = _closed_stream(event_table(spark, sf).select("ts", "us", "vehicle_id", "seq"), "fast", ["ts"])
+    feed = location_feed(spark, sf).withColumn("us", F.unix_micros("ts"))
+    slow = _closed_stream(feed.select("ts", "us", "vehicle_id", "seq", "x", "y"), "slow", ["ts"])
+    out = joins.asof_merge(rows, slow, ["x", "y"], "1 hour", "1 day")
+    return sinks.finish(out, "located").where("vehicle_id >= 0").select("vehicle_id", "seq", "x", "y")
+
+
 WINDOWS_SQL = with_sql(NUMBERED_SQL, """
 raw AS (SELECT n.vehicle_id, n.seq, n.rn, s.value, s.k FROM num n JOIN sig s USING (seq))""", """
 SELECT a.vehicle_id, a.seq AS end_seq, round(sum((b.rn - a.rn + 19) * 2 * (b.value + b.k) + b.value + 2 * b.k), 4) AS checksum
