@@ -55,7 +55,7 @@ SELECT vehicle_id, signal, seq, count(*) OVER (PARTITION BY vehicle_id, signal O
 @query("j01_stream_exact_rate", RATE_SQL)
 def stream_exact_rate(spark, sf):
     stream = event_stream(spark, sf).select("vehicle_id", "signal", "us", "seq")
-    return sinks.finish(stateful.exact_rate(stream, 6 * HOUR, block_us=10 * DAY), "exact")
+    return sinks.finish(stateful.exact_rate(stream, 6 * HOUR, block_us=64 * DAY), "exact")
 
 
 def _by_batches(rows, step, name, schema, landings=5):

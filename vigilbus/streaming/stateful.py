@@ -121,9 +121,9 @@ def _run(stream: DataFrame, by: Sequence[str], processor: StatefulProcessor, out
 
 
 class RateInBlock(Processor):
-    """Trailing counts of one (vehicle, signal, time block).
+    """Trailing counts of the signals of one (vehicle, time block).
 
-    ``times`` holds the times that reach into the block. It is only appended to; the timer of the
+    ``times`` lists the messages that reach into the block. It is only appended to; the timer of the
     block's end, or the TTL, removes it as a whole.
     """
 
@@ -133,29 +133,32 @@ class RateInBlock(Processor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.times = handle.getListState("times", "us long", self.ttl)
+        self.times = handle.getListState("times", "signal string, us long", self.ttl)
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        self._add(key, initialState["us"].to_numpy("int64"), False)
+        self._add(key, initialState, False)
 
-    def _add(self, key, new: np.ndarray, known: bool) -> None:
-        self.times.appendList([(t,) for t in new.tolist()])
+    def _add(self, key, new: pd.DataFrame, known: bool) -> None:
+        self.times.appendList(list(zip(new["signal"], new["us"].tolist(), strict=True)))
         if self.timed and not known:
-            self.handle.registerTimer((key[2] + 1) * self.block_us // 1000 + 1)
+            self.handle.registerTimer((key[1] + 1) * self.block_us // 1000 + 1)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True)
-        known = self.times.exists()
-        old = np.array([t[0] for t in self.times.get()] if known else [], dtype="int64")
-        new = pdf["us"].to_numpy("int64")
-        self._add(key, new, known)
-        own = pdf[pdf["own"].to_numpy(bool)]
-        times = np.sort(np.concatenate([old, new]))
-        now = own["us"].to_numpy("int64")
-        rate = np.searchsorted(times, now, "right") - np.searchsorted(
-            times, now - self.span_us, "right")
+        new = pd.concat(list(rows), ignore_index=True)
+        old = pd.DataFrame(list(self.times.get()), columns=["signal", "us"])
+        self._add(key, new, len(old) > 0)
+        every = new[["signal", "us"]] if old.empty else pd.concat([old, new[["signal", "us"]]])
+        us, code = every["us"].to_numpy("int64"), pd.factorize(every["signal"])[0]
+        own = new[new["own"].to_numpy(bool)]
+        mine = np.concatenate([np.zeros(len(old), bool), new["own"].to_numpy(bool)])
+        rate = np.zeros(len(every), dtype="int64")
+        for c in np.unique(code[mine]):
+            times, places = np.sort(us[code == c]), mine & (code == c)
+            rate[places] = np.searchsorted(times, us[places], "right") - np.searchsorted(
+                times, us[places] - self.span_us, "right")
+        rate = rate[mine]
         yield pd.DataFrame({
-            "vehicle_id": key[0], "signal": key[1], "seq": own["seq"], "rate": rate})
+            "vehicle_id": key[0], "signal": own["signal"], "seq": own["seq"], "rate": rate})
 
     def clear(self) -> None:
         self.times.clear()
@@ -178,7 +181,7 @@ def exact_rate(stream: DataFrame, span_us: int, delay: str | None = None,
 
     Input: vehicle_id, signal, us, seq; ``initial``: vehicle_id, signal, us of rows before the stream.
     Time is cut into blocks of ``block_us`` (sixteen spans unless given, one at least). A row is counted
-    under its block and, from the last span of a block, under the next one as well. So the rows of one
+    under its vehicle's block and, from the last span of a block, under the next one as well. So the rows of one
     busy vehicle go to as many tasks as they have blocks, and a list never holds more than a block and
     a span. A watermark removes a block's list once it has passed the block.
     """
@@ -188,7 +191,7 @@ def exact_rate(stream: DataFrame, span_us: int, delay: str | None = None,
         raise ValueError("a block must be as long as the span")
     kind = dict(stream.dtypes)["vehicle_id"]
     start = None if initial is None else _in_blocks(initial, span_us, block_us).drop("own")
-    return _run(_in_blocks(stream, span_us, block_us), ["vehicle_id", "signal", "block"],
+    return _run(_in_blocks(stream, span_us, block_us), ["vehicle_id", "block"],
                 RateInBlock(span_us, block_us, life),
                 f"vehicle_id {kind}, signal string, seq long, rate long", life, start)
 
