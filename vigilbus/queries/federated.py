@@ -218,7 +218,40 @@ def weight_checkpoints(spark, sf):
     return r(fed.load_latest(spark, path), 8, "value").select("round", "key", "idx", "value")
 
 
-@query("j09_send_decisions")
+_DRIFT = ("sqrt(list_sum(list_transform(range(1, len(w) + 1), "
+          "lambda j: (w[j] - ref[j]) * (w[j] - ref[j]))) / len(w))")
+SEND_SQL = f"""
+WITH RECURSIVE cyc AS (
+  SELECT 'edge_' || label AS client_id, vec_id * 300.0::DOUBLE AS time_s, (vec_id // 20)::INT AS round,
+    list_transform(embedding, lambda x: x::DOUBLE * 0.4) AS w, 1.0::DOUBLE / (1 + vec_id % 7) AS loss,
+    row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings),
+st AS (
+  SELECT DISTINCT client_id, 0::BIGINT AS n, NULL::DOUBLE AS time_s, NULL::INT AS round, false AS send,
+    ''::VARCHAR AS reason, 3600.0::DOUBLE AS wait, NULL::DOUBLE AS since, NULL::DOUBLE[] AS ref,
+    NULL::DOUBLE AS ref_loss, NULL::INT AS sent FROM cyc
+  UNION ALL
+  SELECT client_id, n, time_s, round, send, reason,
+    CASE reason WHEN 'concept_drift' THEN 3600.0::DOUBLE
+      WHEN 'skipped_stable' THEN least(wait * 1.5, 10800.0)::DOUBLE ELSE wait END,
+    CASE WHEN send OR reason = 'skipped_stable' THEN time_s ELSE since END,
+    CASE WHEN send THEN w ELSE ref END, CASE WHEN send THEN loss ELSE ref_loss END,
+    CASE WHEN send THEN round ELSE sent END
+  FROM (SELECT *, reason NOT IN ('already_sent', 'waiting', 'skipped_stable') AS send FROM (
+    SELECT *, CASE WHEN round = sent THEN 'already_sent' WHEN ref IS NULL THEN 'initial'
+        WHEN time_s - since > 900 AND drift > 0.1 THEN 'weight_divergence'
+        WHEN time_s - since > 900 AND abs(loss - ref_loss) / greatest(ref_loss, 1e-8) > 0.3
+          THEN 'concept_drift'
+        WHEN time_s - since < wait THEN 'waiting' WHEN drift > 0.01 THEN 'scheduled'
+        ELSE 'skipped_stable' END AS reason
+    FROM (SELECT *, {_DRIFT} AS drift FROM (
+      SELECT c.client_id, c.n, c.time_s, c.round, c.w, c.loss, s.wait, s.ref, s.ref_loss, s.sent,
+        coalesce(s.since, c.time_s) AS since
+      FROM st s JOIN cyc c ON c.client_id = s.client_id AND c.n = s.n + 1)))))
+SELECT client_id, time_s, round, send, reason FROM st WHERE n > 0
+"""
+
+
+@query("j09_send_decisions", SEND_SQL)
 def send_decisions(spark, sf):
     v = F.col("vec_id")
     rows = views.table(spark, sf, "embeddings").select(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vigilbus.models import nets
 
+from vigilbus.queries.federated import SEND_SQL
 from vigilbus.queries.registry import query, with_sql
 from vigilbus.queries.signals import LOCATION_SQL, location_feed
 from vigilbus.queries.windows import NUMBERED_SQL
@@ -369,7 +370,7 @@ def stream_capture_log(spark, sf):
     return lines.select(cut[0].alias("stamp"), body.alias("b")).select("stamp", "b.*")
 
 
-@query("j09_stream_send_decisions")
+@query("j09_stream_send_decisions", SEND_SQL)
 def stream_send_decisions(spark, sf):
     v = F.col("vec_id")
     schema = views.table(spark, sf, "embeddings").schema
