@@ -226,20 +226,21 @@ class SendPolicy:
         """(send, reason) for one training cycle; a send becomes the new reference."""
         if self.last_time is None:
             self.last_time = time_s
-        send, reason = self._decide(time_s, round_no, weights, loss)
+        send, reason = self.decide(time_s, round_no, weights, loss)
         if send:
             self.reference, self.loss = weights, loss
             self.last_time, self.sent_round = time_s, round_no
         return send, reason
 
-    def _decide(self, time_s, round_no, weights, loss):
+    def decide(self, time_s, round_no, weights, loss):
+        """(send, reason) by the rule alone; a back-off is noted, a send is not."""
         if round_no == self.sent_round:
             return False, "already_sent"
         if self.reference is None:
             return True, "initial"
         waited = time_s - self.last_time
         drift = float(np.sqrt(np.mean((weights - self.reference) ** 2)))
-        change = abs(loss - self.loss) / max(self.loss, 1e-8)
+        change = np.inf if self.loss is None else abs(loss - self.loss) / max(self.loss, 1e-8)
         if waited > self.min_s and drift > DIVERGENCE_LIMIT:
             return True, "weight_divergence"
         if waited > self.min_s and change > LOSS_LIMIT:

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from vigilbus.operators import decisions
 from vigilbus.operators import federated as fed
 from vigilbus.queries.registry import query, with_sql
 from vigilbus.session import ensure_checkpoint_dir
@@ -260,3 +261,73 @@ def send_decisions(spark, sf):
         F.transform("embedding", lambda x: x.cast("double") * 0.4).alias("weights"),
         (1.0 / (1 + v % 7)).alias("loss"))
     return fed.send_decisions(rows)
+
+
+CYCLES_SQL = f"""
+WITH RECURSIVE ev AS (
+  SELECT 'edge_' || label AS client_id, vec_id * 300.0::DOUBLE AS time_s, vec_id AS event,
+    CASE WHEN vec_id % 11 = 10 THEN 'global' ELSE 'cycle' END AS kind, (vec_id // 20)::INT AS round,
+    list_transform(embedding, lambda x: x::DOUBLE * 0.4) AS w,
+    1.0::DOUBLE / (1 + vec_id * 7 // 30 % 7) AS loss, vec_id % 13 = 5 AS requested,
+    row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings),
+low AS (
+  SELECT *, row_number() OVER o AS i, coalesce(loss < min(loss) OVER (
+      PARTITION BY client_id ORDER BY event ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS best,
+    coalesce(loss <= lag(loss, 2) OVER o, true) AS improving
+  FROM ev WHERE kind = 'cycle' WINDOW o AS (PARTITION BY client_id ORDER BY event)),
+streak AS (
+  SELECT *, i - max(CASE WHEN best THEN i END) OVER (PARTITION BY client_id ORDER BY event) AS worse FROM low),
+evs AS (
+  SELECT ev.*, coalesce(worse > 0 AND worse % 3 = 0, false) AS rolled_back, improving
+  FROM ev LEFT JOIN (SELECT event, worse, improving FROM streak) USING (event)),
+st AS (
+  SELECT DISTINCT client_id, 0::BIGINT AS n, NULL::BIGINT AS event, false AS send, ''::VARCHAR AS reason,
+    3600.0::DOUBLE AS wait, NULL::DOUBLE AS since, NULL::DOUBLE[] AS ref, NULL::DOUBLE AS ref_loss,
+    NULL::INT AS sent, false AS asked, false AS calibrated, NULL::DOUBLE AS known FROM ev
+  UNION ALL
+  SELECT client_id, n, event, send, reason,
+    CASE rule WHEN 'concept_drift' THEN 3600.0::DOUBLE
+      WHEN 'skipped_stable' THEN least(wait * 1.5, 10800.0)::DOUBLE ELSE wait END,
+    CASE WHEN send OR kind = 'global' OR rule = 'skipped_stable' THEN time_s ELSE since END,
+    CASE WHEN send OR kind = 'global' THEN w ELSE ref END,
+    CASE WHEN send OR kind = 'global' THEN now_loss ELSE ref_loss END,
+    CASE WHEN send THEN round ELSE sent END,
+    asking AND (rolled_back OR kind = 'global'),
+    CASE WHEN kind = 'global' THEN false WHEN rolled_back THEN calibrated ELSE true END, now_loss
+  FROM (SELECT *, CASE WHEN kind = 'global' THEN 'global_model' WHEN rolled_back THEN 'rolled_back'
+        WHEN asking THEN 'server_request' WHEN allowed AND NOT improving THEN 'not_improving'
+        ELSE rule END AS reason,
+      kind = 'cycle' AND NOT rolled_back AND (asking OR (allowed AND improving)) AS send
+    FROM (SELECT *, rule IS NOT NULL AND rule NOT IN ('already_sent', 'waiting', 'skipped_stable') AS allowed
+      FROM (SELECT *, CASE WHEN kind = 'global' OR rolled_back OR asking THEN NULL
+          WHEN round = sent THEN 'already_sent' WHEN ref IS NULL THEN 'initial'
+          WHEN time_s - since > 900 AND drift > 0.1 THEN 'weight_divergence'
+          WHEN time_s - since > 900 AND (ref_loss IS NULL
+            OR abs(loss - ref_loss) / greatest(ref_loss, 1e-8) > 0.3) THEN 'concept_drift'
+          WHEN time_s - since < wait THEN 'waiting' WHEN drift > 0.01 THEN 'scheduled'
+          ELSE 'skipped_stable' END AS rule
+        FROM (SELECT *, {_DRIFT} AS drift FROM (
+          SELECT c.client_id, c.n, c.event, c.time_s, c.kind, c.round, c.w, c.loss, c.rolled_back,
+            c.improving, s.wait, s.ref, s.ref_loss, s.sent, s.calibrated,
+            s.asked OR (c.kind = 'cycle' AND c.requested) AS asking,
+            coalesce(s.since, c.time_s) AS since,
+            CASE WHEN c.kind = 'cycle' THEN c.loss ELSE s.known END AS now_loss
+          FROM st s JOIN evs c ON c.client_id = s.client_id AND c.n = s.n + 1))))))
+SELECT evs.client_id, evs.time_s, evs.event, evs.kind, evs.round, evs.rolled_back, evs.improving,
+  st.send, st.reason, st.calibrated
+FROM st JOIN evs ON st.event = evs.event
+"""
+
+
+@query("l03_cycle_decisions", CYCLES_SQL)
+def cycle_decisions(spark, sf):
+    v = F.col("vec_id")
+    cycle = v % 11 != 10
+    return decisions.cycle_decisions(views.table(spark, sf, "embeddings").select(
+        F.concat(F.lit("edge_"), F.col("label").cast("string")).alias("client_id"),
+        (v * 300.0).alias("time_s"), v.alias("event"),
+        F.when(cycle, "cycle").otherwise("global").alias("kind"),
+        F.floor(v / 20).cast("int").alias("round"),
+        F.transform("embedding", lambda x: x.cast("double") * 0.4).alias("weights"),
+        F.when(cycle, 1.0 / (1 + F.floor(v * 7 / 30) % 7)).alias("loss"),
+        F.when(cycle, v % 13 == 5).alias("requested")))
