@@ -13,7 +13,7 @@ from vigilbus.queries.windows import NUMBERED_SQL
 
 from vigilbus.sources import readers, views
 from vigilbus.sources.views import FRAMES_SQL, PACKETS_SQL, SIGNALS_SQL, WEIGHTS_SQL
-from vigilbus.streaming import batches, joins, sinks, sources, stateful, windowed
+from vigilbus.streaming import batches, joins, sinks, sources, stateful, thresholds, windowed
 
 HOUR = 3_600_000_000
 DAY = 24 * HOUR
@@ -380,3 +380,22 @@ def stream_send_decisions(spark, sf):
         F.transform("embedding", lambda x: x.cast("double") * 0.4).alias("weights"),
         (1.0 / (1 + v % 7)).alias("loss"))
     return sinks.finish(stateful.send_decisions(cycles), "sends")
+
+
+@query("e11_stream_thresholds", """
+SELECT l_returnflag, count(l_extendedprice) AS n, true AS within_rank_error FROM lineitem GROUP BY l_returnflag""")
+def stream_thresholds(spark, sf):
+    table = views.table(spark, sf, "lineitem")
+    folder = sinks.scratch(spark, "sketches")
+    stream = sources.files(spark, sf, table.schema, glob="lineitem.parquet").select(
+        "l_returnflag", F.col("l_extendedprice").cast("double").alias("score"))
+    thresholds.follow(stream, folder, ["l_returnflag"], fraction=0.95, factor=1.0).awaitTermination()
+    found = thresholds.latest(spark, folder)
+    # The threshold's rank among all scores, ties counted on both sides.
+    price = F.col("l_extendedprice")
+    ranks = table.join(F.broadcast(found), "l_returnflag").groupBy("l_returnflag", "n").agg(
+        F.avg((price < F.col("threshold")).cast("double")).alias("below"),
+        F.avg((price <= F.col("threshold")).cast("double")).alias("up_to"))
+    error = 2 * thresholds.rank_error()
+    return ranks.select("l_returnflag", "n", ((F.col("below") <= 0.95 + error) & (
+        F.col("up_to") >= 0.95 - error)).alias("within_rank_error"))
