@@ -29,6 +29,12 @@ Step = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
 def follow(stream: DataFrame, step: Step, folder: str, initial: DataFrame | None = None,
            keep_s: float | None = None) -> StreamingQuery:
     """Run ``step`` on every micro-batch; state rows have the stream's columns, ``us`` among them."""
+    return follow_each(stream, lambda spark, number: step, folder, initial, keep_s)
+
+
+def follow_each(stream: DataFrame, choose: Callable[[SparkSession, int], Step], folder: str,
+                initial: DataFrame | None = None, keep_s: float | None = None) -> StreamingQuery:
+    """``follow`` with a step that ``choose`` makes for each batch number, alike if the batch runs again."""
     schema = stream.schema
 
     def handle(batch: DataFrame, number: int) -> None:
@@ -39,7 +45,7 @@ def follow(stream: DataFrame, step: Step, folder: str, initial: DataFrame | None
             held = spark.createDataFrame([], schema) if initial is None else initial.select(*schema.names)
         rows = batch.persist()
         try:
-            out, after = step(rows, held)
+            out, after = choose(spark, number)(rows, held)
             out.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
             if keep_s is not None:
                 newest = after.agg(F.max("us")).first()[0] or 0
