@@ -32,6 +32,19 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def boxed(df: DataFrame, *needed: str) -> DataFrame:
+    """All columns of ``df`` in one struct ``_row``, and the needed ones beside it.
+
+    Operators may add columns of any name to it; ``unboxed`` gives the columns of ``df`` back.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+    return df.select(whole, *[F.col(c).alias(c) for c in dict.fromkeys(needed)])
+
+
+def unboxed(df: DataFrame, *more: str) -> DataFrame:
+    return df.select("_row.*", *more)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is evaluated once, also where a lambda of ``body`` uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilbus.llm.columns import without
+from vigilbus.llm.columns import boxed, unboxed, without
 
 WINDOW = 13
 #: Benchmark text, in bytes, whose tables are broadcast at once.
@@ -223,5 +223,5 @@ def find_benchmark(
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` less the contaminated ones, in their own columns."""
-    return find_benchmark(docs, benchmark, **options).where(~F.col("contaminated")).select(
-        *docs.columns)
+    rows = boxed(docs, options.get("text", "text"))
+    return unboxed(find_benchmark(rows, benchmark, **options).where(~F.col("contaminated")))

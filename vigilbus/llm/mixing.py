@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilbus.llm.columns import byte_size, hex_long, without
+from vigilbus.llm.columns import byte_size, free_name, hex_long, without
 from vigilbus.session import cut_lineage
 
 #: A larger mean is drawn as the sum of several draws, so that exp(-mean) never underflows.
@@ -88,7 +88,8 @@ def poisson_mix(
     it, so that (partition, key) is a random order of all copies; no task sees one source.
     """
     docs = without(docs, *ADDED)
-    rates = rates.withColumnRenamed("source", "rate_source")
+    named, drawn_by = free_name(docs, "rate_source"), free_name(docs, "draw_digest")
+    rates = rates.select(F.col("source").alias(named), "rate")
     if rates.limit(SMALL_SOURCES + 1).count() <= SMALL_SOURCES:
         rates = F.broadcast(rates)
     digest = F.md5(F.concat_ws(
@@ -96,15 +97,15 @@ def poisson_mix(
         F.coalesce(F.md5(F.col(text).cast("binary")), F.lit("~")),
     ).cast("binary"))
     drawn = (
-        docs.join(rates, F.col(source).eqNullSafe(F.col("rate_source")))
-        .drop("rate_source")
-        .withColumn("draw_digest", digest)
-        .withColumn("copies", poisson_count(F.col("draw_digest"), F.col("rate")))
+        docs.join(rates, F.col(source).eqNullSafe(F.col(named)))
+        .drop(named)
+        .withColumn(drawn_by, digest)
+        .withColumn("copies", poisson_count(F.col(drawn_by), F.col("rate")))
         .where("copies > 0")
     )
     copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     keyed = copies.withColumn("shuffle_key", hex_long(F.md5(F.concat(
-        F.col("draw_digest"), F.lit("#"), F.col("copy").cast("string")).cast("binary")), 1, 15))
+        F.col(drawn_by), F.lit("#"), F.col("copy").cast("string")).cast("binary")), 1, 15))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         keyed.select(*docs.columns, *ADDED)

@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigilbus.llm import packed
+from vigilbus.llm.columns import boxed, unboxed
 from vigilbus.llm.components import components
 from vigilbus.llm.shingles import shingle_sets
 from vigilbus.session import cut_lineage
@@ -666,8 +667,8 @@ def one_per_group(
     dropped = rows.join(first, F.col("root") == F.col("group")).where("mark <> first").select(
         "mark").distinct()
     repeated = rows.groupBy("mark").count().where("count > 1").limit(1).count() > 0
-    marked = docs.withColumn("row_mark", F.xxhash64(key, text))
+    marked = boxed(docs, key, text).select("_row", F.xxhash64(key, text).alias("row_mark"))
     kept = marked.join(dropped, F.col("row_mark") == F.col("mark"), "left_anti")
     if repeated:
         kept = kept.dropDuplicates(["row_mark"])
-    return kept.select(*docs.columns)
+    return unboxed(kept)

@@ -25,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilbus.llm.columns import without
+from vigilbus.llm.columns import boxed, unboxed, without
 from vigilbus.session import cut_lineage
 
 # The kinds of personal data and their patterns.
@@ -251,7 +251,8 @@ def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """``docs`` with spans and the sanitised text."""
     docs = without(docs, *ADDED)
     spans = find_personal(docs, key, text).groupBy("mark").agg(F.first("spans").alias("spans"))
-    marked = docs.withColumn("row_mark", F.xxhash64(key, text))
+    marked = boxed(docs, key, text).select(
+        "_row", F.col(text).alias("body"), F.xxhash64(key, text).alias("row_mark"))
     return marked.join(spans, F.col("row_mark") == F.col("mark")).select(
-        *docs.columns, "spans",
-        sanitised(F.coalesce(F.col(text), F.lit("")), F.col("spans")).alias("sanitised"))
+        "_row.*", "spans",
+        sanitised(F.coalesce(F.col("body"), F.lit("")), F.col("spans")).alias("sanitised"))
