@@ -1,7 +1,9 @@
 """Corpus pipeline: five training-data stages, each a Spark job over what the last one kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result as
-Parquet under the checkpoint folder and reads it again as the next stage's documents.
+Parquet under the checkpoint folder and reads it again as the next stage's documents. Columns of any
+name pass through all stages but the last, which returns shards and slots. Nulls, empty tables,
+repeated rows and ties are handled as each operator states.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 
 from vigilbus.llm import decontaminate, mixing, ngram_join, quality, sharding
+from vigilbus.llm.columns import boxed, unboxed
 from vigilbus.llm.registry import table
 from vigilbus.queries.registry import Query
 from vigilbus.session import ensure_checkpoint_dir
@@ -21,7 +24,8 @@ SHARDS = 8
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line classifier, fitted on the labels of ``docs``, predicts as good."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score_quality(docs, model).where("predicted = 1").select(*docs.columns)
+    scored = quality.score_quality(boxed(docs, "doc_id", "text"), model)
+    return unboxed(scored.where("predicted = 1"))
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +40,8 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated by Poisson counts towards the sources' target weights."""
-    return mixing.poisson_mix(docs, mixing.repetition_rates(docs)).select(*docs.columns)
+    rows = boxed(docs, "doc_id", "source", "text")
+    return unboxed(mixing.poisson_mix(rows, mixing.repetition_rates(docs)))
 
 
 def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
