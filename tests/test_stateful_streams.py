@@ -2,9 +2,11 @@
 
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vigilbus.models import nets
 from vigilbus.operators import features, state, windows
 from vigilbus.streaming import batches, sinks, sources, stateful
 
@@ -184,3 +186,16 @@ def test_batch_plans_forget_silent_vehicles(spark, busy, tmp_path):
     first = batches.results(spark, folder, BATCHED["changed"][1]).where(
         "vehicle_id = 3 AND seq >= 1900").orderBy("seq").first()
     assert -1.0 in (first["speed_kmh"], first["brake"])
+
+
+def test_online_scores_are_those_of_the_windows(spark, busy, tmp_path):
+    net = nets.GruAutoencoder(features=1)
+    rows = busy.where("seq < 300").withColumn("v", F.array(F.col("value") / 5))
+    s = landed(spark, str(tmp_path / "in"), [rows.where("seq < 150"), rows.where("seq >= 150")])
+    got = sinks.finish(stateful.online_scores(
+        s.select("vehicle_id", "us", "seq", "v"), net, net.init(3)), "scores").collect()
+    done = windows.sliding(rows.withColumn("x", F.col("v")[0]), ["x"]).collect()
+    flat = np.array([np.ravel(w.w) for w in done], float)
+    want = dict(zip([(w.vehicle_id, w.end_seq) for w in done], net.scores(net.init(3), flat), strict=True))
+    assert {(r.vehicle_id, r.end_seq) for r in got} == set(want)
+    assert all(abs(r.score - want[(r.vehicle_id, r.end_seq)]) < 1e-6 for r in got)

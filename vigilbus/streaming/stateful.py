@@ -416,12 +416,14 @@ class OnlineWindows(Processor):
 
 
 class OnlineScores(OnlineWindows):
-    def __init__(self, net, shared, life: Lifetime):
+    """The weights travel with the processor: stateful processors can't read broadcast variables."""
+
+    def __init__(self, net, params, life: Lifetime):
         super().__init__(net.features, net.length, life)
-        self.net, self.shared = net, shared
+        self.net, self.params = net, params
 
     def result(self, key, seq: np.ndarray, flat: np.ndarray) -> pd.DataFrame:
-        score = self.net.scores(self.shared.value, flat) if len(flat) else np.array([])
+        score = self.net.scores(self.params, flat) if len(flat) else np.array([])
         return pd.DataFrame({"vehicle_id": key[0], "end_seq": seq, "score": score})
 
 
@@ -442,11 +444,10 @@ def online_windows(stream: DataFrame, features: int, length: int = 20, delay: st
 def online_scores(stream: DataFrame, net, params, delay: str | None = None,
                   keep_s: float = 86_400.0, ttl_s: float | None = None,
                   initial: DataFrame | None = None) -> DataFrame:
-    """Reconstruction error of every window as it completes; weights are sent once."""
-    shared = stream.sparkSession.sparkContext.broadcast(params)
+    """Reconstruction error of every window as it completes; the size of the weights is the model's."""
     kind = dict(stream.dtypes)["vehicle_id"]
     life = Lifetime(delay, keep_s, ttl_s)
-    return _run(stream, ["vehicle_id"], OnlineScores(net, shared, life),
+    return _run(stream, ["vehicle_id"], OnlineScores(net, params, life),
                 f"vehicle_id {kind}, end_seq long, score double", life, initial)
 
 
