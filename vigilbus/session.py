@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,7 +24,24 @@ def build_session(app: str = "vigilbus", master: str | None = None, **conf: str)
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    ship_package(session)
+    return session
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's modules to the executors, wherever the session was started from.
+
+    Spark serves the archive from the driver, so no shared folder is needed.
+    """
+    root = Path(__file__).resolve().parent
+    if any(f.endswith(f"{root.name}.zip") for f in spark.sparkContext.listFiles):
+        return
+    archive = Path(tempfile.mkdtemp(prefix=f"{root.name}-modules-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w") as packed:
+        for path in sorted(root.rglob("*.py")):
+            packed.write(path, path.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(archive))
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
