@@ -23,8 +23,7 @@ WINDOW_KEY = ["vehicle_id", "start_us"]
 def event_stream(spark, sf, per_trigger=None):
     """The signals view as a stream over the events file."""
     schema = views.table(spark, sf, "events").schema
-    return _signals(sources.files(
-        spark, sf, schema, glob="events.parquet", files_per_trigger=per_trigger))
+    return _signals(sources.table(spark, sf, "events", schema, per_trigger))
 
 
 def event_table(spark, sf):
@@ -245,7 +244,7 @@ FROM wts JOIN lat USING (client_id, round, update_id) GROUP BY 1, 2"""))
 def stream_round_average(spark, sf):
     schema = views.table(spark, sf, "embeddings").schema
     v, v_ = F.col("vec_id"), F.col("update_id")
-    updates = sources.files(spark, sf, schema, glob="embeddings.parquet").select(
+    updates = sources.table(spark, sf, "embeddings", schema).select(
         F.concat(F.lit("edge_"), F.col("label").cast("string")).alias("client_id"),
         (v % 5).cast("int").alias("round"), v.alias("update_id"), (100 + v % 50).alias("num_samples"),
         (1.0 / (1 + v % 7)).alias("loss"), F.col("embedding").cast("array<double>").alias("weights"))
@@ -374,7 +373,7 @@ def stream_capture_log(spark, sf):
 def stream_send_decisions(spark, sf):
     v = F.col("vec_id")
     schema = views.table(spark, sf, "embeddings").schema
-    cycles = sources.files(spark, sf, schema, glob="embeddings.parquet").select(
+    cycles = sources.table(spark, sf, "embeddings", schema).select(
         F.concat(F.lit("edge_"), F.col("label").cast("string")).alias("client_id"),
         (v * 300.0).alias("time_s"), F.floor(v / 20).cast("int").alias("round"),
         F.transform("embedding", lambda x: x.cast("double") * 0.4).alias("weights"),
@@ -387,7 +386,7 @@ SELECT l_returnflag, count(l_extendedprice) AS n, true AS within_rank_error FROM
 def stream_thresholds(spark, sf):
     table = views.table(spark, sf, "lineitem")
     folder = sinks.scratch(spark, "sketches")
-    stream = sources.files(spark, sf, table.schema, glob="lineitem.parquet").select(
+    stream = sources.table(spark, sf, "lineitem", table.schema).select(
         "l_returnflag", F.col("l_extendedprice").cast("double").alias("score"))
     thresholds.follow(stream, folder, ["l_returnflag"], fraction=0.95, factor=1.0).awaitTermination()
     found = thresholds.latest(spark, folder)

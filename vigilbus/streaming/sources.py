@@ -24,6 +24,12 @@ def files(spark: SparkSession, folder: str, schema: T.StructType, fmt: str = "pa
     return reader.load(folder)
 
 
+def table(spark: SparkSession, folder: str, name: str, schema: T.StructType,
+          files_per_trigger: int | None = None) -> DataFrame:
+    """A parquet table of the folder as a stream, be it one file or a folder of part files."""
+    return files(spark, f"{folder}/{{{name}}}.parquet", schema, files_per_trigger=files_per_trigger)
+
+
 def can_frames(spark: SparkSession, folder: str, files_per_trigger: int | None = None) -> DataFrame:
     return files(spark, folder, CAN_FRAMES, files_per_trigger=files_per_trigger)
 
