@@ -39,3 +39,15 @@ def test_folder_of_part_files(spark, parted, name):
     cur = con.execute(q.sql)
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     assert got[1] and got == rows_of([d[0] for d in cur.description], cur.fetchall())
+
+
+def test_vehicle_log_folders_are_bounded(spark, tmp_path):
+    i = F.col("id")
+    spark.range(600).select(
+        i.alias("event_id"), F.timestamp_micros(i + 1_700_000_000_000_000).cast("timestamp_ntz").alias("ts"),
+        (i % 300).alias("user_id"), F.lit("click").alias("event_type"), (i * 0.5).alias("value"),
+        F.lit('{"k": 3}').alias("props")).write.parquet(f"{tmp_path}/events.parquet")
+    log = QUERIES["a12_stream_vehicle_log"].run(spark, str(tmp_path))
+    folders = {f.rsplit("/", 2)[1] for f in log.inputFiles()}
+    assert log.count() == 600 and log.select("vehicle_id").distinct().count() == 300
+    assert len(folders) <= 64

@@ -297,8 +297,10 @@ def stream_csv_store(spark, sf):
 def stream_vehicle_log(spark, sf):
     rows = event_stream(spark, sf).select("vehicle_id", "seq", "us", "signal", "value")
     # A vehicle's rows go to a few tasks, not to all: few files per folder, and no hot task.
-    dealt = rows.repartition(F.col("vehicle_id"), F.pmod(F.col("seq"), F.lit(4)))
-    return sinks.finish(dealt, "log", partition_by=["vehicle_id"])
+    dealt = rows.withColumn("folder", sinks.folder("vehicle_id")).repartition(
+        "folder", F.pmod(F.col("seq"), F.lit(4)))
+    return sinks.finish(dealt, "log", partition_by=["folder"]).select(
+        "seq", "us", "signal", "value", "vehicle_id")
 
 
 @query("a13_stream_json_lines", with_sql(SIGNALS_SQL, "SELECT vehicle_id, seq, us, value FROM sig"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -66,6 +66,11 @@ def finish_newest(stream: DataFrame, name: str, keys: Sequence[str]) -> DataFram
     return rows.groupBy(*keys).agg(newest.alias("_r")).select(*keys, "_r.*")
 
 
+def folder(key: str, folders: int = 64) -> Column:
+    """Folder number of a key such as the vehicle: their number does not grow with the fleet."""
+    return F.pmod(F.xxhash64(key), F.lit(folders)).cast("int")
+
+
 def telemetry_csv(flat: DataFrame, flush_s: int = 600) -> DataFrame:
     """Flat rows with the folder columns of the CSV store: day and flush interval."""
     start = F.window("ts", f"{flush_s} seconds")["start"]
