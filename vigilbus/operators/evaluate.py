@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
+from itertools import groupby
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +16,8 @@ from vigilbus.plans.series import MAX_SMALL_ROWS, positions, running, small_side
 from vigilbus.plans.stats import percentile_grid, percentiles
 
 PERCENTILE, SAFETY, MIN_ERRORS = 0.99, 1.5, 20
+#: Bootstrap: values that are sent to every task, draws of a task and at a time.
+SENT_VALUES, SHARE_DRAWS, DRAWS = 8_000_000, 20_000_000, 8192
 
 
 def calibrate(scores: DataFrame, score: str = "score", by: Sequence[str] = (),
@@ -179,30 +184,55 @@ def bootstrap_mean(values: DataFrame, value: str, order: Sequence[str], n_boot:
                    target_rows: float | None = None) -> DataFrame:
     """Mean and percentile interval of the mean over resamples with replacement.
 
-    Draw i of a resample is a seeded index. A short column is sent to the tasks as one array, and
-    each resample adds up its draws in place. A long one (more than ``MAX_SMALL_ROWS``) expands
-    every row to one row per resample, whose index an equi-join turns into a value. Nulls take no part.
+    Draw i of a resample is a seeded index. The column is sent to the tasks in blocks of values; a task
+    draws the indexes of some resamples and adds up those that fall into a block. So a draw is a number
+    in a task, never a row. Nulls take no part.
     """
     values = values.where(F.col(value).isNotNull())
     n = values.count()
-    numbered = positions(values.select(value, *order), [], order, "_i", target_rows)
-    one = F.lit(1).alias("_one")
-    if n <= MAX_SMALL_ROWS:
-        listed = numbered.agg(F.sort_array(F.collect_list(F.struct("_i", value))).alias("_s")).select(
-            F.transform("_s", lambda s: s[value]).alias("_v"), one)
-        boots = values.sparkSession.range(n_boot).select(F.col("id").alias("boot"), one)
-        drawn_sum = F.aggregate(
-            F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long")), F.lit(0.0), lambda a, i: a + F.get(
-                F.col("_v"), F.floor(noise.uniform(seed, "boot", i) * n).cast("int")))
-        means = boots.join(F.broadcast(listed), "_one").select((drawn_sum / n).alias("_mean"))
-        return _mean_band(values, value, means, alpha)
-    draws = numbered.select("_i", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("boot"))
-    drawn = draws.select("boot", (F.floor(noise.uniform(seed, "boot", "_i") * n) + 1).alias("_i"))
-    resampled = drawn.join(small_side(numbered.select("_i", value)), "_i")
-    means = resampled.groupBy("boot").agg((F.sum(value) / n).alias("_mean"))
+    spark = values.sparkSession
+    numbered = positions(
+        values.select(F.col(value).cast("double").alias(value), *order), [], order, "_i", target_rows)
+    size = MAX_SMALL_ROWS
+    blocks = numbered.groupBy(F.expr(f"(_i - 1) div {size}").alias("block")).agg(
+        F.sort_array(F.collect_list(F.struct("_i", value))).alias("_s")).select(
+        "block", F.transform("_s", lambda s: s[value]).alias("v"))
+    # One share to a partition, since each meets all blocks.
+    shares = min(n_boot, max(spark.sparkContext.defaultParallelism, n * n_boot // SHARE_DRAWS))
+    boots = spark.range(0, shares, 1, shares)
+    near = F.broadcast(blocks) if n <= SENT_VALUES else blocks
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = sorted(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
+                              range(batch.num_rows), strict=True))
+            for share, found in groupby(rows, lambda r: r[0]):
+                here = list(found)
+                place = np.full(-(-n // size), -1)  # of a block's first value, if it is here
+                place[[b for _, b, _ in here]] = np.arange(len(here)) * size
+                x = np.concatenate([batch.column(2)[i].values.to_numpy() for _, _, i in here])
+                mine = range(share * n_boot // shares, (share + 1) * n_boot // shares)
+                yield pa.RecordBatch.from_pydict({
+                    "boot": pa.array(mine, pa.int64()), "part": pa.array(
+                        [_drawn_sum(x, place, size, n, f"{seed}|{b}") for b in mine], pa.float64())})
+
+    means = boots.crossJoin(near).mapInArrow(draw, "boot long, part double").groupBy("boot").agg(
+        (F.sum("part") / n).alias("_mean"))
     return _mean_band(values, value, means, alpha)
 
 
+def _drawn_sum(x: np.ndarray, place: np.ndarray, size: int, n: int, prefix: str) -> float:
+    """Sum of the values among a resample's ``n`` draws that are in the blocks at hand."""
+    total = 0.0
+    for start in range(1, n + 1, DRAWS):
+        at = np.floor(noise.uniforms(prefix, start, min(start + DRAWS, n + 1)) * n).astype(np.int64)
+        if len(x) < n:
+            first = place[at // size]
+            at = (first + at % size)[first >= 0]
+        total += float(x[at].sum())
+    return total
+
+
 def _mean_band(values: DataFrame, value: str, means: DataFrame, alpha: float) -> DataFrame:
     band = percentiles(means, "_mean", {"ci_low": alpha / 2, "ci_high": 1 - alpha / 2})
     one = F.lit(1).alias("_one")
