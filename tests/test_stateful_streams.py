@@ -115,6 +115,29 @@ def test_grid_goes_on_for_silent_vehicles(spark, busy, tmp_path):
     same(kept, want)
 
 
+def test_grid_state_is_kept_by_shares(spark, busy, tmp_path):
+    """200 vehicles, one without id, in three shares: the state store holds and wakes shares, not vehicles."""
+    vehicle = F.when(F.col("seq") % 200 != 7, F.col("seq") % 200)
+    rows = busy.withColumn("vehicle_id", vehicle).where("seq < 1500 OR vehicle_id < 150").cache()
+    untimed = rows.where("seq % 100 = 3").withColumns({
+        "ts": F.lit(None).cast("timestamp"), "us": F.lit(None).cast("long")})
+    part = F.least(F.expr("seq div 500") + F.when(F.col("seq") % 11 == 0, 1).otherwise(0), F.lit(3))
+    dealt = rows.withColumn("_p", part)
+    parts = [dealt.where(f"_p = {i}").drop("_p").orderBy(F.xxhash64("seq")) for i in range(4)]
+    s = landed(spark, str(tmp_path / "in"), [parts[0].union(untimed), *parts[1:]])
+    grid = stateful.state_grid(s, 1_000_000, "40 seconds", DEFAULTS, shares=3)
+    out = str(tmp_path / "out")
+    running = sinks.to_files(grid, out, str(tmp_path / "state"))
+    running.awaitTermination()
+    closed = rows.agg(F.max("us")).first()[0] // 1000 * 1000 - 40_000_000
+    before = state.assemble_state(rows.where(F.col("us") < closed), DEFAULTS)
+    same(spark.read.schema(grid.schema).parquet(out),
+         state.sample_grid(before, list(DEFAULTS), 1_000_000, until_us=F.lit(closed)))
+    held = [p["stateOperators"][0] for p in running.recentProgress]
+    assert 0 < max(h["numRowsTotal"] for h in held) <= 3 * 3  # pending, fleet and next step of each
+    assert 0 < max(h["customMetrics"]["numExpiredTimers"] for h in held) <= 3
+
+
 def test_ttl_streams_run_until_stopped(spark, busy, tmp_path):
     s = landed(spark, str(tmp_path / "in"), [busy.where("seq < 200")])
     rated = stateful.exact_rate(s.select("vehicle_id", "signal", "us", "seq"), 1_000_000, ttl_s=3600.0)

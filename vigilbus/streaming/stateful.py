@@ -34,6 +34,8 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Rows of a growing result that are handed over at a time.
 PIECE = 10_000
+#: After all steps and sequence numbers.
+NEVER = 2**63 - 1
 
 
 def use_rocks_state(spark: SparkSession) -> None:
@@ -270,22 +272,32 @@ def changed_state(stream: DataFrame, defaults: dict[str, float] | None = None,
                 f"vehicle_id {kind}, seq long, {values}", life, initial)
 
 
-class StateGrid(SignalState):
-    """State of a vehicle at each time step, also at steps without a row.
+class StateGrid(Processor):
+    """State of the vehicles of a share at each time step, also at steps without a row.
 
     Rows wait in ``pending`` until the watermark has passed them, so that late ones take their place.
-    One timer per vehicle stands at its next step. It fires in the first micro-batch whose watermark
-    is beyond, whether or not the vehicle had rows, and gives all steps up to there.
+    ``fleet`` holds the next step, the last row's time and the known values of the vehicles whose steps
+    have begun. The share's one timer stands at the first of its vehicles' next steps. It fires in the
+    first micro-batch whose watermark is beyond, whether or not there were rows, and gives all steps
+    up to there. All of it is kept as columns, an entry for each row or vehicle: a share takes the same
+    few calls to the state store whatever its number of vehicles.
     """
 
+    columns = "vehicle", "us", "seq", "signal", "value"
+
     def __init__(self, defaults: dict[str, float], step_us: int, life: Lifetime, bounded: bool):
-        super().__init__(defaults, life)
+        super().__init__(life)
+        self.defaults, self.names = defaults, list(defaults)
         self.step_us, self.bounded = step_us, bounded
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
+        self.handle = handle
         self.pending = handle.getListState(
-            "pending", "us long, seq long, signal string, value double")
+            "pending", "vehicle array<string>, us array<long>, seq array<long>, signal array<string>, "
+            "value array<double>")
+        self.fleet = handle.getValueState(
+            "fleet", "vehicle array<string>, point array<long>, us array<long>, "
+            "known map<string, array<double>>")
         self.next = handle.getValueState("next", "point long")
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
@@ -296,11 +308,7 @@ class StateGrid(SignalState):
         return iter(())
 
     def _wait(self, pdf: pd.DataFrame) -> None:
-        rows = zip(pdf["us"].tolist(), pdf["seq"].tolist(), pdf["signal"], pdf["value"].tolist(),
-                   strict=True)
-        self.pending.appendList(list(rows))
-        if self.last.exists():  # its steps have begun
-            return
+        self.pending.appendList([tuple(pdf[c].tolist() for c in self.columns)])
         first = -(-int(pdf["us"].min()) // self.step_us)
         old = self.next.get()[0] if self.next.exists() else None
         if old is None or first < old:
@@ -316,58 +324,123 @@ class StateGrid(SignalState):
         self.next.update((point,))
         self.handle.registerTimer(self._due(point))
 
+    def _waiting(self) -> dict[str, np.ndarray]:
+        """Columns of the pending rows."""
+        pieces = list(self.pending.get())
+        kinds = object, "int64", "int64", object, float
+        return {c: np.array([x for piece in pieces for x in piece[i]], kinds[i])
+                for i, c in enumerate(self.columns)}
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        step, keep_us = self.step_us, self.keep_ms * 1000
         closed_us = timerValues.getCurrentWatermarkInMs() * 1000  # steps before it are final
-        rows = pd.DataFrame(list(self.pending.get()), columns=["us", "seq", "signal", "value"])
+        end = -(-closed_us // step)  # first step that is still open
+        rows = self._waiting()
+        old = self.fleet.get() if self.fleet.exists() else ([], [], [], {})
+        begun = len(old[0])
+        code, vehicles = _codes(pd.Series([*old[0], *rows["vehicle"]], dtype=object))
+        who, size = code[begun:], len(vehicles)  # the first codes are the fleet's
+
+        point = np.full(size, NEVER)
+        point[:begun] = old[1]
+        new = who >= begun
+        np.minimum.at(point, who[new], -(-rows["us"][new] // step))
+        due = point <= closed_us // step
         ripe = rows["us"] < closed_us
-        ready = rows[ripe].sort_values(["us", "seq"], ignore_index=True)
-        self.pending.clear()
-        if not ripe.all():
-            self.pending.appendList(list(rows[~ripe].itertuples(index=False, name=None)))
-        here = self.position()
-        before = self.values() if here else dict(self.defaults)
-        wide = _last_known(ready, self.names, before)
-        if len(ready):
-            self.learn(before, wide.iloc[-1].to_dict())
-            here = (int(ready["us"].iloc[-1]), int(ready["seq"].iloc[-1]), 0)
-            self.last.update(here)
-        point = self.next.get()[0]
-        end = -(-closed_us // self.step_us)  # first step that is still open
-        silent = self.bounded and rows[~ripe].empty and here[0] + self.keep_ms * 1000 < closed_us
-        stop = min(end, (here[0] + self.keep_ms * 1000) // self.step_us + 1) if silent else end
-        table = np.vstack([[before[n] for n in self.names], wide.to_numpy(float)])
-        for low in range(point, stop, PIECE):
-            points = np.arange(low, min(low + PIECE, stop), dtype="int64") * self.step_us
-            at = np.searchsorted(ready["us"].to_numpy("int64"), points, "right")
-            out = pd.DataFrame(table[at], columns=self.names)
-            out.insert(0, "grid_us", points)
-            out.insert(0, "vehicle_id", key[0])
-            yield out
-        if silent:
-            self.clear()
+        take = np.flatnonzero(ripe & due[who])
+        take = take[np.lexsort((rows["seq"][take], rows["us"][take], who[take]))]
+        last = np.zeros(size, "int64")
+        last[:begun] = old[2]
+        np.maximum.at(last, who[take], rows["us"][take])
+        silent = due & (last + keep_us < closed_us) & self.bounded
+        silent[who[~ripe]] = False
+        stop = np.where(silent, np.minimum(end, (last + keep_us) // step + 1), end)
+
+        # The state before and the ripe rows of one vehicle after the other, each with its first step.
+        live = np.flatnonzero(due)
+        owner = np.concatenate([live, who[take]])
+        since = np.concatenate([point[live], -(-rows["us"][take] // step)])
+        turn = np.argsort(owner, kind="stable")
+        owner, since = owner[turn], since[turn]
+        known, table = {}, {}
+        for n in self.names:
+            known[n] = np.full(size, float(self.defaults[n]))
+            known[n][:begun] = old[3].get(n, known[n][:begun])
+            told = np.where(rows["signal"][take] == n, rows["value"][take], np.nan)
+            cells = np.concatenate([known[n][live], told])[turn]
+            given = np.concatenate([np.ones(len(live), bool), ~np.isnan(told)])[turn]
+            table[n] = cells[np.maximum.accumulate(np.where(given, np.arange(len(cells)), 0))]
+            known[n][live] = table[n][np.searchsorted(owner, live, "right") - 1]
+
+        # The result's rows are numbered through; ``place`` is the first that a table row applies to.
+        count = np.where(due, np.maximum(stop - point, 0), 0)
+        begin = np.cumsum(count) - count
+        place = begin[owner] + np.clip(since - point[owner], 0, count[owner])
+        for low in range(0, int(count.sum()), PIECE):
+            number = np.arange(low, min(low + PIECE, int(count.sum())))
+            at = np.searchsorted(place, number, "right") - 1
+            of = owner[at]
+            yield pd.DataFrame({
+                "vehicle_id": vehicles[of], "grid_us": (point[of] + number - begin[of]) * step,
+                **{n: table[n][at] for n in self.names}})
+
+        point[due] = end
+        rest = np.delete(np.arange(len(who)), take)
+        if len(rest):
+            self.pending.put([tuple(rows[c][rest].tolist() for c in self.columns)])
+        else:
+            self.pending.clear()
+        stay = (due | (np.arange(size) < begun)) & ~silent
+        if stay.any():
+            self.fleet.update((vehicles[stay].tolist(), point[stay].tolist(), last[stay].tolist(),
+                               {n: known[n][stay].tolist() for n in self.names}))
         else:
-            self._stand_at(end)
+            self.fleet.clear()
+        ahead = point[~silent]
+        if len(ahead):
+            self._stand_at(int(ahead.min()))
+        else:
+            self.next.clear()
 
     def clear(self) -> None:
-        super().clear()
         self.next.clear()
         self.pending.clear()
+        self.fleet.clear()
+
+
+def _codes(names: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Number of each name in order of appearance, and the names; null is one of them."""
+    codes, found = pd.factorize(names.to_numpy(object), use_na_sentinel=False)
+    return codes, np.array([n if isinstance(n, str) else None for n in found], object)
+
+
+def _in_shares(rows: DataFrame, shares: int) -> DataFrame:
+    """Rows that have a time, with their vehicle's share; its id is text here, a null number comes last."""
+    vehicle = F.col("vehicle_id").cast("string")
+    return rows.where("us IS NOT NULL").withColumns({
+        "vehicle": vehicle, "share": F.pmod(F.xxhash64(vehicle), F.lit(shares)).cast("int"),
+        "seq": F.coalesce("seq", F.lit(NEVER))}).drop("vehicle_id")
 
 
 def state_grid(stream: DataFrame, step_us: int, delay: str, defaults: dict[str, float] | None = None,
-               keep_s: float | None = None, initial: DataFrame | None = None) -> DataFrame:
+               keep_s: float | None = None, initial: DataFrame | None = None,
+               shares: int = 1024) -> DataFrame:
     """State of every signal at each multiple of ``step_us`` from a vehicle's first row on.
 
     Input and ``initial``: ts, vehicle_id, us, seq, signal, value. A step is given once the watermark has
     passed it; a silent vehicle goes on with its last state, for ``keep_s`` at most if that is given.
-    Then it starts anew.
+    Then it starts anew. State is kept for ``shares`` of the vehicles, dealt by hash: one share's rows
+    and vehicles must fit a task's memory. A checkpoint goes on with the number it began with.
     """
     defaults = dict(defaults or STATE_DEFAULTS)
     kind = dict(stream.dtypes)["vehicle_id"]
     values = ", ".join(f"{n} double" for n in defaults)
     life = Lifetime(delay, keep_s or 0)
-    return _run(stream, ["vehicle_id"], StateGrid(defaults, step_us, life, keep_s is not None),
-                f"vehicle_id {kind}, grid_us long, {values}", life, initial)
+    start = None if initial is None else _in_shares(initial, shares)
+    out = _run(_in_shares(stream, shares), ["share"],
+               StateGrid(defaults, step_us, life, keep_s is not None),
+               f"vehicle_id string, grid_us long, {values}", life, start)
+    return out.withColumn("vehicle_id", F.col("vehicle_id").cast(kind))
 
 
 class OnlineWindows(Processor):
